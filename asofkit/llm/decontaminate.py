@@ -16,7 +16,8 @@ no leaks. Items of equal text each get their rows. Null and empty documents matc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -91,6 +92,8 @@ class Matcher:
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, distance, end of the match) of each item found in the normalised text."""
+        if not self.items:
+            return []
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (length, owners) in self.automaton.iter(text):
             for at, offset in owners:
@@ -126,33 +129,48 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
     yield block
 
 
+def _wanted(items: DataFrame, id_col: str, text_col: str, min_item: int) -> DataFrame:
+    wanted = id_text(items, id_col, text_col)
+    return wanted.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("text")).where(F.length("text") >= min_item)
+
+
+def _senders(spark, wanted: DataFrame, rate: float, min_piece: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
+    """For each block of items, what makes its matcher in a task."""
+    for block in _blocks(wanted, block_chars):
+        sent, name = spark.sparkContext.broadcast([(i, normal(t)) for i, t in block]), uuid.uuid4().hex
+        yield lambda sent=sent, name=name: once(("decontaminate", name), lambda: Matcher(sent.value, rate, min_piece))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, min_piece: int = 12, min_item: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, distance, match_end (in the normalised text), n_chars of the item."""
-    sc = docs.sparkSession.sparkContext
-    wanted = id_text(items, item_id_col, item_text_col)
-    wanted = wanted.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("text")).where(F.length("text") >= min_item)
     texts = id_text(docs, id_col, text_col)
 
-    def matched(block: list[tuple[int, str]]) -> DataFrame:
-        sent = sc.broadcast([(i, normal(t)) for i, t in block])
-
+    def matched(matcher_of: Callable[[], Matcher]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = once(("decontaminate", sent.id, rate, min_piece), lambda: Matcher(sent.value, rate, min_piece))
+            matcher = matcher_of()
             size = {i: len(t) for i, t, _, _ in matcher.items}
             for batch in batches:
                 rows: list[tuple] = []
-                if matcher.items:
-                    for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                        rows += [(doc, i, d, end, size[i]) for i, d, end in matcher.hits(normal(text.as_py()))]
+                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    rows += [(doc, i, d, end, size[i]) for i, d, end in matcher.hits(normal(text.as_py()))]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "match_end", "n_chars"])
 
         return texts.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionByName, [matched(b) for b in _blocks(wanted, block_chars)])
+    senders = _senders(docs.sparkSession, _wanted(items, item_id_col, item_text_col, min_item), rate, min_piece, block_chars)
+    return reduce(DataFrame.unionByName, map(matched, senders))
+
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, min_piece: int = 12, min_item: int = 24, block_chars: int = 4_000_000) -> DataFrame:
+    """docs less the documents that hold a test item; all columns stay, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for matcher_of in _senders(docs.sparkSession, _wanted(items, item_id_col, item_text_col, min_item), rate, min_piece, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], matcher_of=matcher_of) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of()
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.hits(normal(t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
 
-def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs less the documents that hold a test item; all columns stay. Rows with a null id stay."""
-    bad = contaminated(docs, items, id_col, **options).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_bad_id"], "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

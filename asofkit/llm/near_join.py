@@ -265,8 +265,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marks.select("doc_id", "cls", "n_shingles").join(by_class, "cls").select(own(F.col("doc_id"), "doc_id"), "n_shingles", own(F.col("class_id"), "class_id"), "class_size", F.when(some, F.col("class_size") - 1 + F.col("docs")).otherwise(0).alias("n_links"), "n_class_links", own(F.when(some, F.col("group_id")).otherwise(F.col("doc_id")), "group_id"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one document, the one of least id, of each group of near duplicates; all columns stay."""
-    stay = near_duplicates(docs, id_col, **options).where("doc_id <=> group_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """docs with one document, the one of least id, of each group of near duplicates; all columns stay.
+
+    Rows that share an id are taken as one document: it stays if any of them does, with one of its rows."""
+    judged = written(near_duplicates(docs, id_col, **options).select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("group_id")).alias("stays")))
+    by_id = judged.groupBy("_id").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    gone = by_id.where("not stays").select("_id")
+    few = _small(gone, broadcast_rows)
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    return kept if by_id.where("rows > 1").isEmpty() else kept.dropDuplicates([id_col])

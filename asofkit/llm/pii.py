@@ -16,6 +16,7 @@ the text stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,16 @@ PATTERNS = (
     ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
 )
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Señora|Г-жа)\b"
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+
+def _any(kinds: dict[str, str]) -> str:
+    """One expression for all patterns: inside a word it fails at once, at a word's start its first character picks the branch."""
+    of = lambda *names: "|".join(f"(?:{kinds[n]})" for n in names if n in kinds) or "(?!)"
+    numbers, capitals, other = of("email", "ip", "card", "ssn", "phone", "secret"), of("email", "iban", "secret", "name"), of("email", "secret")
+    return rf"(?<![\p{{L}}\p{{N}}])(?:(?=[\d+(])(?:{numbers})|(?=\p{{Lu}})(?:{capitals})|(?=\P{{Lu}})(?![\d+(\s])(?:{other}))"
+
+
+ANY = _any(dict(PATTERNS))
+NO_EMAIL = _any({k: p for k, p in PATTERNS if k != "email"})
 #: Syllables for names, by script (fixed values).
 LATIN = "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne".split()
 CYRILLIC = "ба бе би бо да де ди до фа фе га го ка ке ки ко ла ле ли ло ма ме ми мо на не".split()
@@ -111,8 +121,19 @@ def _name(normal: Column, digest: Column) -> Column:
     return F.when(normal.rlike(r"^\S+ \S+ \S+"), F.concat(first, F.lit(" "), last)).otherwise(last)
 
 
-def surrogate_of(kind: Column, entity: Column, normal: Column, attempt: Column, key: str) -> Column:
-    d = _digest(key, kind, normal, attempt)
+def described(entities: Column) -> Column:
+    """array<struct<entity,kind,normal>>, each value worked out once."""
+    with_kind = F.transform(entities, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    return F.transform(with_kind, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), normal_of(s["kind"], s["entity"]).alias("normal")))
+
+
+def surrogates(items: Column, attempt_of: Callable[[Column], Column], key: str) -> Column:
+    """array<string>: the surrogate of each struct<entity,kind,normal>."""
+    with_digest = F.transform(items, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["normal"].alias("normal"), _digest(key, s["kind"], s["normal"], attempt_of(s)).alias("digest")))
+    return F.transform(with_digest, lambda s: _surrogate(s["kind"], s["entity"], s["normal"], s["digest"]))
+
+
+def _surrogate(kind: Column, entity: Column, normal: Column, d: Column) -> Column:
     n = F.length(normal)
     body = F.concat(F.substr(normal, F.lit(1), F.lit(1)), _digits(n - 2, d))
     check = (_luhn(normal) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10
@@ -141,23 +162,29 @@ def _of(kind: Column, normal: Column) -> Column:
 
 
 def entities_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """The entities in order; texts without an at sign need no look for addresses."""
+    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NO_EMAIL), F.lit(0)))
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ordinal, kind, entity, normal: a row for each entity of each text."""
-    texts = df.select(F.col(id_col).alias("doc_id"), F.posexplode(entities_of(F.coalesce(F.col(text_col), F.lit("")))).alias("ordinal", "entity"))
-    return texts.withColumn("kind", kind_of(F.col("entity"))).withColumn("normal", normal_of(F.col("kind"), F.col("entity")))
+    items = described(entities_of(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.select(F.col(id_col).alias("doc_id"), F.posexplode(items).alias("ordinal", "item")).select("doc_id", "ordinal", "item.kind", "item.entity", "item.normal")
 
 
 def later_attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame | None:
     """kind, normal, attempt of the entities whose first surrogate is not theirs alone; None if there are none."""
     distinct = written(entities.select("kind", "normal").distinct())
     kind, normal = F.col("kind"), F.col("normal")
-    given = lambda df: df.withColumn("surrogate", normal_of(kind, surrogate_of(kind, _of(kind, normal), normal, F.col("attempt"), key)))
+
+    def given(df: DataFrame) -> DataFrame:
+        item = F.struct(_of(kind, normal).alias("entity"), kind.alias("kind"), normal.alias("normal"))
+        made = surrogates(F.array(item), lambda _: F.col("attempt"), key)
+        return df.withColumn("surrogate", F.get(F.transform(made, lambda x: normal_of(kind, x)), 0))
+
     waiting, settled, done = distinct.withColumn("attempt", F.lit(0)), None, []
     for attempt in range(rounds):
-        tried = given(waiting)
+        tried = written(given(waiting))
         # of the entities with one surrogate the least keeps it, unless an entity of the texts or an earlier surrogate is the same
         winners = tried.groupBy("kind", "surrogate").agg(F.min("normal").alias("winner"))
         taken = distinct.select("kind", normal.alias("surrogate"))
@@ -180,7 +207,7 @@ def pseudonymised(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """df with surrogates in its text, and n_entities and entity_kinds (sorted, distinct) added."""
     later = later_attempts(found(df, id_col, text_col), key)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.withColumn("_entities", entities_of(text))
+    marked = df.withColumn("_entities", described(entities_of(text)))
     if later is None:
         marked = marked.withColumn("_later", F.lit(None).cast("map<string,int>"))
     else:
@@ -191,13 +218,8 @@ def pseudonymised(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         small = maps.limit(broadcast_rows + 1).count() <= broadcast_rows
         marked = marked.join(F.broadcast(maps) if small else maps, marked[id_col].eqNullSafe(maps["_id"]), "left").drop("_id")
 
-    def replaced(entity: Column) -> Column:
-        kind = kind_of(entity)
-        normal = normal_of(kind, entity)
-        attempt = F.coalesce(F.col("_later")[F.concat_ws("\n", kind, normal)], F.lit(0))
-        return surrogate_of(kind, entity, normal, attempt, key)
-
+    attempt = lambda s: F.coalesce(F.col("_later")[F.concat_ws("\n", s["kind"], s["normal"])], F.lit(0))
     gaps = F.split(text, ANY, -1)
-    woven = F.concat(F.concat_ws("", F.zip_with(F.slice(gaps, F.lit(1), F.size("_entities")), F.transform("_entities", replaced), lambda g, e: F.concat(g, e))), F.element_at(gaps, -1))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_entities", kind_of))), ",")
+    woven = F.concat(F.concat_ws("", F.zip_with(F.slice(gaps, F.lit(1), F.size("_entities")), surrogates(F.col("_entities"), attempt, key), lambda g, e: F.concat(g, e))), F.element_at(gaps, -1))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_entities", lambda s: s["kind"]))), ",")
     return marked.withColumn(text_col, F.when(F.size("_entities") > 0, woven).otherwise(text)).withColumn("n_entities", F.size("_entities").cast("long")).withColumn("entity_kinds", kinds).drop("_entities", "_later")

@@ -160,22 +160,46 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_co
     return fit([(list(c), min(max(int(g), 0), grades - 1)) for c, g in zip(rows["columns"], rows["grade"], strict=True)], grades, **options)
 
 
+def _scorer(m: OrdinalModel, memo: int):
+    """Scores of a text under the model, for use within one task."""
+    columns = Memo(lambda w: tuple(c for c in columns_of(w) if c in m.weights), memo).__getitem__
+
+    def scored(text: str) -> float:
+        found = set(chain.from_iterable(map(columns, set(_WORDS(text.lower())))))
+        return fsum(map(m.weights.__getitem__, found)) / max(1, len(found))
+
+    return scored
+
+
+def _judged(m: OrdinalModel, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected severity and P(grade >= 1)."""
+    if m.constant is not None:
+        return np.full(len(score), m.constant), np.full(len(score), min(1.0, m.constant))
+    p = _sigmoid(score[:, None] - m.thresholds[None, :])
+    return p.sum(axis=1), p[:, 0]
+
+
 def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (P(grade >= 1)), a row for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        columns = Memo(lambda w: tuple(c for c in columns_of(w) if c in m.weights), memo).__getitem__
-
-        def scored(text: str) -> float:
-            found = set(chain.from_iterable(map(columns, set(_WORDS(text.lower())))))
-            return fsum(map(m.weights.__getitem__, found)) / max(1, len(found))
-
+        scored = _scorer(sent.value, memo)
         for batch in batches:
-            score = np.array([scored(t.as_py()) for t in batch["text"]], np.float64)
-            p = _sigmoid(score[:, None] - m.thresholds[None, :])
-            severity, toxic = (p.sum(axis=1), p[:, 0]) if m.constant is None else (np.full(len(score), m.constant), np.full(len(score), min(1.0, m.constant)))
+            severity, toxic = _judged(sent.value, np.array([scored(t.as_py()) for t in batch["text"]], np.float64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(severity), pa.array(toxic)], names=["doc_id", "severity", "p_toxic"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double")
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float, text_col: str = "text", memo: int = 400_000) -> DataFrame:
+    """docs less those with P(grade >= 1) at the threshold or above; all columns stay, nothing is shuffled."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scorer(sent.value, memo)
+        for batch in batches:
+            _, toxic = _judged(sent.value, np.array([scored(t.as_py() or "") for t in batch.column(at)], np.float64))
+            yield batch.filter(pa.array(toxic < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
