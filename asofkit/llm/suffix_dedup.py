@@ -36,7 +36,7 @@ from ._common import id_text, once, written
 
 LENGTH, K = 400, 200
 SPAN = LENGTH - K + 1  # k-strings inside a string of LENGTH; LENGTH - K bytes may lie before one
-HOT = 1024
+HOT = 8192  # contexts of 600 bytes: 5 MB at most go to one task together
 NO_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
