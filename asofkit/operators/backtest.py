@@ -29,7 +29,8 @@ def run(targets: DataFrame, prices: DataFrame, by: Sequence[str], date: str, mem
 
     A target without a price stays unfilled and its weight stays cash; a holding without a price keeps its last mark. A strategy is
     one group: its rows are dates times members held, bounded by the universe; many strategies run in parallel."""
-    rows = targets.join(prices, [date, member], "full").select(*by, date, member, F.col(weight).cast("double").alias("weight"), F.col(close).cast("double").alias("close"))
+    priced = targets.select(*by, member).distinct().join(prices.select(date, member, close), member)  # what a strategy may hold, at all dates
+    rows = targets.join(priced, [*by, date, member], "full").select(*by, date, member, F.col(weight).cast("double").alias("weight"), F.col(close).cast("double").alias("close"))
     kinds = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{kinds}{', ' if by else ''}`{date}` {targets.schema[date].dataType.simpleString()}, equity double, turnover double, n_held long, unfilled long"
 

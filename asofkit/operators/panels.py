@@ -33,7 +33,11 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, n:
 def level_vs_history(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int, reference: str = "median") -> DataFrame:
     """level: v less the median, min or max of the n values before it; null with fewer."""
     w = _in_time(keys, order).rowsBetween(-n, -1)
-    base = {"median": F.median, "min": F.min, "max": F.max}[reference](value).over(w)
+    if reference == "median":  # which Spark has not over a frame
+        held = F.array_sort(F.collect_list(value).over(w))
+        base = (F.get(held, F.lit((n - 1) // 2)) + F.get(held, F.lit(n // 2))) / 2
+    else:
+        base = {"min": F.min, "max": F.max}[reference](value).over(w)
     return df.withColumn("level", F.when(F.count(value).over(w) == n, F.col(value) - base))
 
 

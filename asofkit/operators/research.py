@@ -36,7 +36,7 @@ def ols_many(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> Dat
     """by, n, term, coef, se, t, r2 of y on several x with an intercept; null coefficients where the system is singular.
 
     Spark sums the cross products (p (p + 1) / 2 of them, whatever the rows); a task solves one small system for each group."""
-    ok = df.where(F.lit(True) if not xs else F.array_contains(F.array(*[F.col(c).isNull() for c in (*xs, y)]), False) & ~F.array_contains(F.array(*[F.col(c).isNull() for c in (*xs, y)]), True))
+    ok = df.dropna(subset=[*xs, y])
     columns = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
     p = len(columns)
     sums = [F.sum(columns[i] * columns[j]).alias(f"_{i}_{j}") for i in range(p) for j in range(i, p)]
@@ -215,11 +215,11 @@ def calibration(df: DataFrame, by: Sequence[str], predicted: str, realised: str)
 
 def turnover(weights: DataFrame, by: Sequence[str], window: str, series: str, weight: str) -> DataFrame:
     """by, window, turnover: half the absolute change of weights from the window numbered one less; null where that is missing (a gap)."""
-    per = weights.where(F.col(weight).isNotNull()).groupBy(*by, window).agg(F.map_from_entries(F.collect_list(F.struct(series, weight))).alias("w"))
-    prev = per.select(*by, (F.col(window) + 1).alias(window), F.col("w").alias("prev"))
-    names = F.array_union(F.map_keys("w"), F.map_keys("prev"))
-    change = F.aggregate(F.array_sort(names), F.lit(0.0), lambda a, s: a + F.abs(F.coalesce(F.col("w")[s], F.lit(0.0)) - F.coalesce(F.col("prev")[s], F.lit(0.0))))
-    return per.join(prev, [*by, window], "left").select(*by, window, F.when(F.col("prev").isNotNull(), change / 2).alias("turnover"))
+    per = weights.where(F.col(weight).isNotNull()).groupBy(*by, window).agg(F.map_from_entries(F.collect_list(F.struct(series, weight))).alias("_w"))
+    prev = per.select(*by, (F.col(window) + 1).alias(window), F.col("_w").alias("_prev"))
+    names = F.array_union(F.map_keys("_w"), F.map_keys("_prev"))
+    change = F.aggregate(F.array_sort(names), F.lit(0.0), lambda a, s: a + F.abs(F.coalesce(F.col("_w")[s], F.lit(0.0)) - F.coalesce(F.col("_prev")[s], F.lit(0.0))))
+    return per.join(prev, [*by, window], "left").select(*by, window, F.when(F.col("_prev").isNotNull(), change / 2).alias("turnover"))
 
 
 def concentration(weights: DataFrame, by: Sequence[str], weight: str) -> DataFrame:

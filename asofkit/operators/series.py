@@ -47,10 +47,10 @@ def worst_episode(df: DataFrame, by: Sequence[str], order: str, level: str) -> D
     w = Window.partitionBy(*by).orderBy(order)
     placed = drawdowns(df, by, order, level).withColumn("_i", F.row_number().over(w))
     placed = placed.withColumn("_peak_at", F.max(F.when((F.lag("peak").over(w).isNull()) | (F.col("peak") > F.lag("peak").over(w)), F.col("_i"))).over(w))
-    trough = placed.groupBy(*by).agg(F.min(F.struct("drawdown", "_i", "_peak_at", "peak")).alias("t"))
-    after = placed.join(trough, list(by)).where((F.col("_i") > F.col("t._i")) & (F.col(level) >= F.col("t.peak"))).groupBy(*by).agg(F.min("_i").alias("_back"))
-    fell = F.col("t.drawdown") < 0
-    return trough.join(after, list(by), "left").select(*by, (-F.col("t.drawdown")).alias("max_drawdown"), F.when(fell, F.col("t._i") - F.col("t._peak_at")).otherwise(0).cast("long").alias("duration"), F.when(fell, F.col("_back") - F.col("t._i")).cast("long").alias("recovery"))
+    trough = placed.groupBy(*by).agg(F.min(F.struct("drawdown", "_i", "_peak_at", "peak")).alias("_t"))
+    after = placed.join(trough, list(by)).where((F.col("_i") > F.col("_t._i")) & (F.col(level) >= F.col("_t.peak"))).groupBy(*by).agg(F.min("_i").alias("_back"))
+    fell = F.col("_t.drawdown") < 0
+    return trough.join(after, list(by), "left").select(*by, (-F.col("_t.drawdown")).alias("max_drawdown"), F.when(fell, F.col("_t._i") - F.col("_t._peak_at")).otherwise(0).cast("long").alias("duration"), F.when(fell, F.col("_back") - F.col("_t._i")).cast("long").alias("recovery"))
 
 
 def value_at_risk(df: DataFrame, by: Sequence[str], ret: str, level: float = 0.95) -> DataFrame:

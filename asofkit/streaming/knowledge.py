@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """stream with its watermark; times without a zone are taken in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def observations(stream: DataFrame, id_col: str, time: str, delay: str) -> DataFrame:
     """Each observation once, whatever is delivered again within the delay."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark([id_col])
 
 
 def latest(stream: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], value: str) -> DataFrame:
@@ -21,4 +26,4 @@ def latest(stream: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str
 
 def windowed(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str) -> DataFrame:
     """Sums of tumbling windows, closed once the watermark passes them."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    return _timed(stream, time, delay).groupBy(F.window(time, width), *keys).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
