@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 from math import fsum
 from typing import NamedTuple
@@ -95,13 +95,13 @@ def _ratio(with_high: np.ndarray, with_low: np.ndarray, high: float, low: float)
     return 2 * g
 
 
-def fit(rows: list[tuple[list[int], int]], grades: int, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4, level: float = 0.01, max_words: int = 20_000) -> OrdinalModel:
+def fit(rows: list[tuple[Sequence[int], int]], grades: int, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4, level: float = 0.01, max_words: int = 20_000) -> OrdinalModel:
     """Maximum likelihood with a ridge by Adam, over the words that pass the test."""
     y = np.array([g for _, g in rows], np.int64)
     if len(y) == 0 or y.min() == y.max():
         return OrdinalModel({}, np.zeros(max(1, grades - 1)), float(y.mean()) if len(y) else 0.0)
-    names, columns = np.unique(np.concatenate([np.asarray(c, np.int64) for c, _ in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
+    names, columns = np.unique(np.concatenate([np.asarray(c, np.uint32) for c, _ in rows]), return_inverse=True)
+    columns, owner = columns.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
     high = y > 0
     rows_weight = _row_weights(columns, owner, len(rows), names)
     ratio = _ratio(np.bincount(columns, (high * rows_weight)[owner], len(names)), np.bincount(columns, (~high * rows_weight)[owner], len(names)), rows_weight[high].sum(), rows_weight[~high].sum())
@@ -150,14 +150,12 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = pa.array([features(t.as_py()) for t in batch["text"]], pa.list_(pa.int64()))
+            columns = pa.array([np.array(features(t.as_py()), np.uint32).tobytes() for t in batch["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], columns], names=["doc_id", "grade", "columns"])
 
-    rows = joined.mapInArrow(run, "doc_id long, grade int, columns array<long>").toPandas()
-    rows["size"] = rows["columns"].map(len)
-    rows["first"] = rows["columns"].map(lambda c: zlib.crc32(np.asarray(c, np.int64).tobytes()))
-    rows = rows.sort_values(["doc_id", "grade", "size", "first"])
-    return fit([(list(c), min(max(int(g), 0), grades - 1)) for c, g in zip(rows["columns"], rows["grade"], strict=True)], grades, **options)
+    held = joined.mapInArrow(run, "doc_id long, grade int, columns binary").toArrow()
+    rows = sorted(zip(*[held[c].to_pylist() for c in ("doc_id", "grade", "columns")], strict=True))  # the same order each time
+    return fit([(np.frombuffer(c, np.uint32), min(max(g, 0), grades - 1)) for _, g, c in rows], grades, **options)
 
 
 def _scorer(m: OrdinalModel, memo: int):
