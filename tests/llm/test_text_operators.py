@@ -1,0 +1,342 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from compare import duck_rows, spark_rows
+from pyspark.sql import functions as F
+
+from asofkit.llm import chat, decontaminate, language_model, near_join, pieces, pii, queries, suffix_dedup, syncmers, token_counts, toxicity, vocab
+
+OPS = [q for q in queries.queries() if q.startswith("op")]
+
+
+def docs(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in all columns, empty and long texts, repeated rows, columns whose names operators use inside."""
+    texts = [None, "", " \n\t", "a", "a", "é😀" * 30_000, "Mr. John Smith wrote to a@b.com " * 3, "▁x  y"]
+    rows = [(i if i != 3 else None, t, i, None, "z", 7) for i, t in enumerate(texts)] + [(4, "a", 4, None, "z", 7)]
+    return spark.createDataFrame(rows, "doc_id long, text string, cls int, key string, bucket string, n long")
+
+
+APPLIED = {
+    "counts": token_counts.token_counts,
+    "codec": pieces.encoded_and_decoded,
+    "clean": lambda d: decontaminate.contaminated(d, d.where("text is null or length(text) < 1000").select(F.col("doc_id").alias("item_id"), "text")),
+    "prints": syncmers.edited_fingerprints,
+    "near": near_join.near_duplicates,
+    "one": near_join.one_of_each_group,
+    "toxic": lambda d: toxicity.severities(d, toxicity.fitted(d, d.select("doc_id", F.lit(1).alias("toxic")), F.col("toxic"), 2)),
+    "suffix": suffix_dedup.without_repeats,
+    "pii": lambda d: pii.pseudonymised(d, "k"),
+    "scores": language_model.scores,
+}
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_odd_rows(odd, name):
+    n = APPLIED[name](odd).count()
+    assert n == odd.count() or name in ("clean", "one")
+
+
+@pytest.mark.parametrize("name", sorted(APPLIED))
+def test_empty_tables(odd, name):
+    assert APPLIED[name](odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf, name):
+    assert spark_rows(queries.queries()[name](spark, sf)) == duck_rows(sf, queries.oracle_sql()[name])
+
+
+# 1
+
+
+def test_token_counts_equal_greedy_matching():
+    rng = random.Random(1)
+    for _ in range(30):
+        known = {*"▁abc"} | {"".join(rng.choices("▁abc", k=rng.randint(1, 5))) for _ in range(12)}
+        automaton = token_counts.LongestMatch(known)
+        for _ in range(60):
+            word = "".join(rng.choices("abcé", k=rng.randint(1, 12)))
+            text, at, tokens, odd = "▁" + word, 0, 0, 0
+            while at < len(text):
+                n = next((k for k in range(len(text) - at, 0, -1) if text[at : at + k] in known), 0)
+                tokens += 1 if n else len(text[at].encode())
+                odd += 0 if n else len(text[at].encode())
+                at += max(n, 1)
+            assert automaton.count(word) == (tokens, odd), (known, word)
+
+
+# 2
+
+
+def test_pieces_have_the_best_score_and_decode(spark, corpus):
+    held = vocab.load_pieces()
+    codec = pieces.PieceCodec(held)
+    by_text = {p.text: p.score for p in held if p.kind in (vocab.NORMAL, vocab.USER_DEFINED)}
+    longest = max(map(len, by_text))
+    for text in (" two  blanks", "Привет, мир", "naïve façade", "x\ny", "a" * 40, "the cat sat"):
+        marked = vocab.SPACE + text.replace(" ", vocab.SPACE)
+        best = [0.0] + [-math.inf] * len(marked)
+        for i in range(len(marked)):
+            for j in range(i + 1, min(len(marked), i + longest) + 1):
+                if marked[i:j] in by_text:
+                    best[j] = max(best[j], best[i] + by_text[marked[i:j]])
+            if marked[i] not in by_text:
+                best[i + 1] = max(best[i + 1], best[i] + codec.unknown_score)
+        ids = codec.encode(text)
+        if not set(ids) & set(codec.byte_of):
+            assert sum(held[i].score for i in ids) == pytest.approx(best[-1])
+        assert codec.decode(ids) == text
+    made = pieces.encoded_and_decoded(corpus)
+    assert made.where("not round_trip").join(corpus, "doc_id").where(~F.col("text").contains("▁")).count() == 0
+    again = pieces.decode(pieces.encode(corpus)).join(corpus.withColumnRenamed("text", "was"), "doc_id")
+    assert again.where("text <> replace(was, '▁', ' ')").count() == 0
+
+
+# 3
+
+
+def test_decontamination_equals_edit_distance(spark):
+    rng = random.Random(3)
+    items = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(14)) for _ in range(6)]
+    texts = [words(rng, 60) for _ in range(4)]
+    for item in items:
+        near = list(item)
+        for _ in range(rng.choice([0, 2, 4, 6, 9])):
+            near[rng.randrange(len(near))] = rng.choice("xyz")
+        texts.append(words(rng, 9) + " " + "".join(near).upper() + "  " + words(rng, 9))
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            before, row = row, [i]
+            for j, d in enumerate(text, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != d)))
+        return min(row)
+
+    want = {(d, i, k) for d, t in enumerate(texts) for i, item in enumerate(items) if (k := least(item, decontaminate.normal(t))) <= decontaminate.budget(len(item), 0.05, 12)}
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (4_000_000, 100):  # one pass and several
+        got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(docs(spark, texts), table, block_chars=block).collect()}
+        assert got == want and want
+    kept = {r["doc_id"] for r in decontaminate.without_contaminated(docs(spark, texts), table).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _, _ in want}
+
+
+# 4
+
+
+def test_fingerprints_follow_the_contract(spark, corpus):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in corpus.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in syncmers.edited_fingerprints(corpus).collect()}
+    assert len(got) == len(rows)
+    own = lambda t: syncmers.sketch(syncmers.anchors(t)[1])
+    prints = {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (syncmers.as_text(own(text)), syncmers.as_text(own(edited)))
+        assert (r["near_edited"], r["near_next"]) == (syncmers.likeness(own(text), own(edited)), syncmers.likeness(own(text), own(after)))
+        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+
+
+def test_syncmers_do_not_depend_on_their_surroundings():
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdef ", k=300))
+    a, b = (syncmers.anchors(x + passage + y) for x, y in (("", "tail" * 9), ("head " * 20, "")))
+    inside = lambda f, at: {(int(p) - at, int(h)) for p, h in zip(*f, strict=True) if at <= p <= at + 300 - syncmers.K}
+    assert inside(a, 0) == inside(b, 100) != set()
+
+
+# 5
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    rng = random.Random(5)
+    texts = [None, "", "one two", "one  TWO", words(rng, 4)]
+    for _ in range(12):
+        base = words(rng, 120, 5000).split()
+        for edits in (0, 0, 1, 2, 3, 8):
+            near = list(base)
+            for at in rng.sample(range(120), edits):
+                near[at] = f"edit{rng.random()}"
+            texts.append(" ".join(near))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = {i: {j for j in range(len(texts)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in range(len(texts))}
+    group = {}
+    for i in links:
+        reach, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - reach
+            reach |= new
+            todo += new
+        group[i] = min(reach)
+    for rows in (200_000, 0):  # broadcast joins and shuffled ones
+        got = {r["doc_id"]: (r["n_links"], r["group_id"]) for r in near_join.near_duplicates(docs(spark, texts), broadcast_rows=rows).collect()}
+        assert got == {i: (len(links[i]), group[i]) for i in links}
+    kept = {r["doc_id"] for r in near_join.one_of_each_group(docs(spark, texts)).collect()}
+    assert kept == set(group.values())
+
+
+# 6
+
+
+def test_toxicity_separates_held_out_documents(spark):
+    where = "/root/testdata/sf0.01"
+    corpus, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fitted(corpus, labels.where("doc_id % 2 = 0"), queries.grade(), queries.GRADES)
+    judged = toxicity.severities(corpus, model).join(labels.where("doc_id % 2 = 1"), "doc_id").select("p_toxic", "toxic").collect()
+    right = sum((r["p_toxic"] >= queries.REJECT) == (r["toxic"] == 1) for r in judged)
+    assert len(judged) > 50 and right / len(judged) >= 0.9
+    assert list(model.thresholds) == sorted(model.thresholds)
+
+
+def test_severity_is_the_expected_grade():
+    rows = [([1, 5], 0)] * 40 + [([2, 5], 1)] * 40 + [([3, 5], 2)] * 40
+    m = toxicity.fit([([*c, 100 + i], g) for i, (c, g) in enumerate(rows)], 3)
+    score = lambda c: toxicity._judged(m, [sum(m.weights.get(x, 0.0) for x in c) / max(1, sum(x in m.weights for x in c))] @ __import__("numpy").eye(1))[0][0]
+    assert score([1]) < 0.6 < score([2]) < score([3]) <= 2
+
+
+# 7
+
+
+def test_layouts_and_escapes(spark):
+    record = ['{"messages":[{"role":"user","content":"a</s>\\\\"},{"role":"assistant","content":"<|end|>ok"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"r"}]}', '{"instruction":"do","input":"","output":"done"}', '{"unknown":1}', "no json", None, '{"messages":[]}']
+    df = spark.createDataFrame(list(enumerate(record)), "i int, record string")
+    made = chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_mask"))).orderBy("i").collect()
+    assert [[tuple(t) for t in r["turns"] or []] for r in made[:3]] == [[("user", "a</s>\\"), ("assistant", "<|end|>ok")], [("user", "q"), ("assistant", "r")], [("user", "do"), ("assistant", "done")]]
+    assert [r["loss"] for r in made[:3]] == ["<|end|>ok", "r", "done"]
+    assert [r["layout"] for r in made[:4]] == ["messages", "from_value", "instruction_input", None] and made[4]["layout"] is None
+    assert "</s>" not in made[0]["formatted"] and made[0]["formatted"].count(chat.END) == 2
+
+
+# 8
+
+
+def without_repeats(texts):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - 399):
+            if seen[d[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        left = bytes(c for c, g in zip(d, gone, strict=True) if not g)
+        out.append((len(d), sum(gone), runs, hashlib.sha256(left).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [8192, 1, 0])
+def test_suffix_removal_equals_counting_all_strings(spark, hot):
+    rng = random.Random(8)
+    shared = [words(rng, n) for n in (90, 130, 240)] + ["é" * 260, "ab" * 350]
+    texts = [None, "", "x" * 399, "x" * 400, "y" * 401, shared[1], shared[1]]
+    for _ in range(25):
+        at = rng.choice(shared)
+        lo = rng.randrange(60)
+        texts.append(words(rng, rng.randrange(60)) + at[lo : len(at) - rng.randrange(60)] + rng.choice(["", " ", words(rng, 40)]) + rng.choice([*shared, ""])[: rng.randrange(900)])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(docs(spark, texts), hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == without_repeats(texts)
+
+
+def test_suffixes_are_sorted():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 99, (200, 40), dtype=np.uint8)
+    size, group = rng.integers(0, 41, 200), np.sort(rng.integers(0, 3, 200))
+    made = suffix_dedup.SortedSuffixes(data, size, group)
+    keys = [(int(group[i]), data[i, : size[i]].tobytes()) for i in made.order]
+    assert keys == sorted(keys)
+
+
+# 9
+
+
+def test_surrogates(spark):
+    texts = ["Write to Jane.Doe@mail.com or jane.doe@mail.com, call +1 415-555-0134.", "Mr. John Smith met Mrs. Anna Smith; Mr John Smith left.", "Г-жа Анна Иванова, 10.1.2.3", "card 4111 1111 1111 1111, ssn 123-45-6789", "Nothing to hide in 2024 at 12:30.", None]
+    made = [r["text"] for r in pii.pseudonymised(docs(spark, texts), "key").orderBy("doc_id").collect()]
+    assert made == [r["text"] for r in pii.pseudonymised(docs(spark, texts), "key").orderBy("doc_id").collect()] and made[4:] == [texts[4], ""]
+    mails = re.findall(r"\S+@\S+?\.com", made[0].lower())
+    assert mails[0] == mails[1] != "jane.doe@mail.com" and "+1 " in made[0] and "555-0134" not in made[0]
+    men = re.findall(r"Mr\.? (\w+ \w+)", made[1])
+    assert men[0] == men[1] != "John Smith" and men[0] != re.search(r"Mrs\. (\w+ \w+)", made[1])[1]
+    assert re.search(r"Mrs\. \w+a ", made[1]) and re.fullmatch(r"Г-жа [А-Яа-я]+ [А-Яа-я]+, [\d.]+", made[2]) and "Анна" not in made[2]
+    card = re.sub(r"\D", "", made[3].split(",")[0])
+    assert re.search(r"card \d{4} \d{4} \d{4} \d{4}, ssn \d{3}-\d{2}-\d{4}", made[3]) and card != "4" + "1" * 15
+    assert sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(card)) % 10 == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    texts = [f"Mr. {a}{b}{c} came." for a in "ABCDEFGHIJ" for b in "aeiou" for c in ("n", "r", "s", "t")]
+    texts += [f"ssn 00{i // 100}-{i % 100:02d}-0000" for i in range(300)]
+    df = pii.pseudonymised(docs(spark, texts), "key")
+    assert df.select("text").distinct().count() == len(set(texts)) and df.where(F.col("text").isin(texts)).count() == 0
+
+
+# 10
+
+
+def test_language_model_follows_the_contract(spark, sf, corpus):
+    texts = {r["doc_id"]: r["text"] or "" for r in corpus.select("doc_id", "text").collect()}
+    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())), None] for i, t in texts.items()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    c = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for head in (200_000, 50):  # all words in the head, and most of them counted by the join
+        got = {r["doc_id"]: r for r in language_model.scores(corpus, head=head).collect()}
+        for i, ws in tokens.items():
+            r = got[i]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(ws), sum(c[w] > 0 for w in ws), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
+    assert all(r["score"] < 0 for r in got.values())
+
+
+def test_language_model_beats_counts_on_held_out_documents(spark):
+    got = language_model.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+# the pipeline
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "sentencepiece"]
+    corpus = spark.read.parquet(f"{sf}/documents.parquet")
+    held = corpus
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, held, sf)
+        assert after.columns == corpus.columns
+        ids = {r["doc_id"] for r in after.select("doc_id").collect()}
+        before = {r["doc_id"] for r in held.select("doc_id").collect()}
+        assert ids <= before and len(ids) == after.count() and len(ids) > 0.5 * len(before)
+        held = spark.createDataFrame(after.collect(), corpus.schema)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids
