@@ -234,6 +234,17 @@ def test_layouts_and_escapes(spark):
     assert "</s>" not in made[0]["formatted"] and made[0]["formatted"].count(chat.END) == 2
 
 
+def test_long_conversations_are_whole(spark):
+    long = F.when(F.col("id") == 0, F.expr("repeat('a</s>', 4200000)")).otherwise(F.lit("ok"))
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), long.alias("text"))
+    made = chat.format_turns(chat.turns_of_rows(rows)).select("layout", "schema_fingerprint", F.length("formatted").alias("n"), F.size("loss_mask").alias("k")).first()
+    short = chat.format_chats(chat.records_of(rows.where("turn = 1"))).first()
+    fixed = 2 * len(chat.TURN + chat.TEXT + chat.END) + len("userassistantok")
+    assert tuple(made) == ("messages", short["schema_fingerprint"], fixed + 4_200_000 * 6, 1)
+    with pytest.raises(Exception, match="limits of Spark's parser"):
+        chat.format_chats(chat.records_of(rows)).select("layout").collect()
+
+
 # 8
 
 
