@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Memo, id_text, once, written
@@ -101,17 +101,22 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = 1e-6) -> list
     return out
 
 
+def text_hash(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (of the shingle set), n_shingles, bands (none for an empty set)."""
+    """doc_id, text_hash, cls (of the shingle set), n_shingles, bands (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = _word_hashes()
         for batch in batches:
             sets = [shingles(t.as_py(), word_hash) for t in batch["text"]]
             bands = [band_keys(signature(s)) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "cls", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "cls", "n_shingles", "bands"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, cls binary, n_shingles long, bands array<long>")
+    texts = id_text(df, id_col, text_col).withColumn("text_hash", text_hash(F.col("text")))
+    return texts.mapInArrow(run, "doc_id long, text_hash binary, cls binary, n_shingles long, bands array<long>")
 
 
 class _Group:
@@ -231,9 +236,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each row of df: doc_id, n_shingles, class_id (least id with the same shingle set), class_size,
     n_links (other documents at the threshold or above, copies among them), n_class_links, group_id (least id of
     the group of near duplicates)."""
+    return judged(df, id_col, text_col, threshold, tolerance, broadcast_rows).drop("text_hash", "stays")
+
+
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = 1e-6, broadcast_rows: int = 200_000) -> DataFrame:
+    """The columns of near_duplicates, text_hash, and stays: whether the row has the least id and text hash of its group (a null
+    id is the least; rows without shingles are each their own group)."""
     texts = id_text(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     marks = written(signed(texts))
-    classes = written(marks.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("n_shingles").alias("n_shingles")))
+    classes = written(marks.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("class_size"), F.min("n_shingles").alias("n_shingles")))
     one = marks.join(classes.where("n_shingles > 0").select("cls", F.col("class_id").alias("doc_id")), ["cls", "doc_id"]).dropDuplicates(["cls"])
     entries = one.select("cls", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.min("cls").alias("m")).where("n > 1")
@@ -258,20 +269,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.groupBy("cls").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("classes"))
     roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cls"), "root")
     grouped = classes.join(links, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    by_class = grouped.join(least, "root").select("cls", "class_id", "class_size", "group_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("classes", F.lit(0)).alias("n_class_links"))
+    least = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("first").alias("group_first"))
+    by_class = grouped.join(least, "root").select("cls", "class_id", "class_size", "group_id", "group_first", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("classes", F.lit(0)).alias("n_class_links"))
     some = F.col("n_shingles") > 0
     own = lambda c, name: F.nullif(c, F.lit(NO_ID)).alias(name)
-    return marks.select("doc_id", "cls", "n_shingles").join(by_class, "cls").select(own(F.col("doc_id"), "doc_id"), "n_shingles", own(F.col("class_id"), "class_id"), "class_size", F.when(some, F.col("class_size") - 1 + F.col("docs")).otherwise(0).alias("n_links"), "n_class_links", own(F.when(some, F.col("group_id")).otherwise(F.col("doc_id")), "group_id"))
+    stays = ~some | (F.struct("doc_id", "text_hash") == F.col("group_first"))
+    return marks.select("doc_id", "text_hash", "cls", "n_shingles").join(by_class, "cls").select(own(F.col("doc_id"), "doc_id"), "n_shingles", own(F.col("class_id"), "class_id"), "class_size", F.when(some, F.col("class_size") - 1 + F.col("docs")).otherwise(0).alias("n_links"), "n_class_links", own(F.when(some, F.col("group_id")).otherwise(F.col("doc_id")), "group_id"), "text_hash", stays.alias("stays"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 200_000, text_col: str = "text", **options) -> DataFrame:
+    """docs with one row, the one of least id and then text hash, of each group of near duplicates; all columns stay.
 
+    Rows are judged by their id and text together, so rows that share an id (or have none) stay if their texts are no near
+    duplicates. Of rows with the same id and text one stays; those without shingles all stay."""
+    marks = judged(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options)
+    marks = written(marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays", (F.col("n_shingles") > 0).alias("some")))
+    gone = marks.where("not stays").select("_id", "_hash").distinct()
+    repeated = marks.where("stays and some").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash")
+    keyed = docs.withColumn("_own", F.col(id_col).cast("long")).withColumn("_text", text_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """docs with one document, the one of least id, of each group of near duplicates; all columns stay.
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(keys) if _small(keys, broadcast_rows) else keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), how)
 
-    Rows that share an id are taken as one document: it stays if any of them does, with one of its rows."""
-    judged = written(near_duplicates(docs, id_col, **options).select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("group_id")).alias("stays")))
-    by_id = judged.groupBy("_id").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
-    gone = by_id.where("not stays").select("_id")
-    few = _small(gone, broadcast_rows)
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
-    return kept if by_id.where("rows > 1").isEmpty() else kept.dropDuplicates([id_col])
+    kept = joined(keyed, gone, "left_anti")
+    if not repeated.isEmpty():
+        kept = joined(kept, repeated, "left_anti").unionByName(joined(kept, repeated, "left_semi").dropDuplicates(["_own", "_text"]))
+    return kept.drop("_own", "_text")

@@ -201,6 +201,15 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert kept == set(group.values())
 
 
+def test_one_of_each_group_judges_rows(spark):
+    rng = random.Random(55)
+    a, b, c, d, e = (words(rng, 60, 5000) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, c), (9, d), (5, e), (5, e), (6, ""), (6, None), (10, a)]
+    for some in (200_000, 0):
+        kept = near_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=some).collect()
+        assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (7, c), (7, d), (5, e), (6, ""), (6, None)])
+
+
 # 6
 
 
