@@ -31,8 +31,8 @@ PATTERNS = (
     ("card", r"(?<![\p{L}\d])\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}(?!\d)"),
     ("ssn", r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"),
-    ("iban", r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"),
-    ("secret", r"(?<![\p{L}\d])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\d])"),
+    ("iban", r"(?<![\p{L}\d])(?![0-9A-F]{32})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"),
+    ("secret", r"(?<![\p{L}\d])(?:[0-9a-fA-F]{32,}+|(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|sk-[A-Z0-9]{20,}+))(?![\p{L}\d])"),
     ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
 )
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Señora|Г-жа)\b"
@@ -65,7 +65,7 @@ def normal_of(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind == "email", F.lower(entity))
+        .when((kind == "email") | ((kind == "secret") & entity.rlike("^[0-9a-fA-F]+$")), F.lower(entity))
         .when(kind == "name", F.concat(gender, F.regexp_replace(entity, r"^\S+ ", "")))
         .otherwise(entity)
     )
@@ -150,7 +150,7 @@ def _surrogate(kind: Column, entity: Column, normal: Column, d: Column) -> Colum
         .when(kind == "phone", _refilled(entity, F.concat(F.substr(normal, F.lit(1), country), _digits(n - country, d))))
         .when(kind == "ssn", _refilled(entity, _digits(n, d)))
         .when(kind == "iban", F.concat(F.substr(entity, F.lit(1), F.lit(2)), _alike(F.substr(entity, F.lit(3)), d)))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), hexes)
+        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), F.when((F.upper(entity) == entity) & (F.lower(entity) != entity), F.upper(hexes)).otherwise(hexes))
         .when(kind == "secret", F.concat(F.substr(entity, F.lit(1), F.lit(4)), _alike(F.substr(entity, F.lit(5)), d)))
         .otherwise(F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), _name(normal, d)))
     )

@@ -320,6 +320,15 @@ def test_surrogates_stay_distinct(spark):
     assert df.select("text").distinct().count() == len(set(texts)) and df.where(F.col("text").isin(texts)).count() == 0
 
 
+def test_secrets_in_capitals(spark):
+    token = "ab12" + "9c3f" * 9
+    texts = [f"TOKEN = {token}", f'TOKEN = "{token.upper()}"', f"x {token[:32].upper()} y", f"x {token[:32]} y", "GHP_" + "A1B2C3D4E5" * 3, "iban DE89 3704 0044 0532 0130 00"]
+    made = [r["text"] for r in pii.pseudonymised(docs(spark, texts), "key").orderBy("doc_id").collect()]
+    assert not any(x.lower() in y.lower() for x, y in zip((token, token, token[:32], token[:32], texts[4], texts[5]), made, strict=True))
+    assert made[0][8:].upper() == made[1][9:-1] and made[2] == f"x {made[3][2:-2].upper()} y"
+    assert [r["entity_kinds"] for r in pii.pseudonymised(docs(spark, texts), "key").orderBy("doc_id").collect()] == ["secret"] * 5 + ["iban"]
+
+
 # 10
 
 
