@@ -1,28 +1,76 @@
-"""A small gated recurrent network over word classes in numpy: truncated backpropagation and scoring of whole documents."""
+"""A small gated recurrent network over words in numpy: truncated backpropagation and scoring of whole documents.
+
+The input is the previous word, by its class and its own embedding; the output a class by a softmax on the state, then a
+word of the class by a softmax on the state over the members of that class."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN, WINDOW, STREAMS = 16, 16, 512
+HIDDEN, WINDOW, STREAMS, EMBEDDED = 16, 16, 512, 16
 F32 = np.float32
 
 
 def shapes(classes: int, hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
-    return {"x": (classes, 3 * hidden), "u": (hidden, 3 * hidden), "n": (hidden,), "o": (hidden, classes), "b": (classes,)}
+    return {"x": (classes, 3 * hidden), "u": (hidden, 3 * hidden), "n": (hidden,), "e": (EMBEDDED, 3 * hidden), "o": (hidden, classes), "b": (classes,)}
 
 
 def initial(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 10) -> dict[str, np.ndarray]:
     """Small random weights; the output bias is the log of the classes' counts, so it starts as a unigram model."""
     r = np.random.default_rng(seed)
-    p = {k: r.normal(0, 0.3 if k in "xu" else 0.05, s).astype(F32) for k, s in shapes(len(counts), hidden).items()}
+    p = {k: r.normal(0, 0.3 if k in "xue" else 0.05, s).astype(F32) for k, s in shapes(len(counts), hidden).items()}
     p["b"] = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(F32)
     return p
 
 
+class Vocabulary(NamedTuple):
+    """Words in order of their classes: class of each word, first word and number of words of each class, log share in its class."""
+
+    cls: np.ndarray
+    first: np.ndarray
+    members: np.ndarray
+    log_share: np.ndarray
+
+
+class Tables(NamedTuple):
+    """Of each word: its embedding as input, and its weights (the last one a bias) in the softmax over its class."""
+
+    e: np.ndarray
+    w: np.ndarray
+
+
+def tables(words: int, hidden: int = HIDDEN, seed: int = 11) -> Tables:
+    """Small random embeddings; without weights words start at their shares of the class."""
+    return Tables(np.random.default_rng(seed).normal(0, 0.1, (words, EMBEDDED)).astype(F32), np.zeros((words, hidden + 1), F32))
+
+
+def _by_class(target: np.ndarray, ok: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first word, end, places of the targets) of each class with several words that is among the targets."""
+    cls = v.cls[target]
+    places = np.flatnonzero(ok & (v.members[cls] > 1))
+    places = places[np.argsort(cls[places], kind="stable")]
+    if len(places):
+        sorted_ = cls[places]
+        cuts = np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1
+        for part in np.split(places, cuts):
+            c = cls[part[0]]
+            yield int(v.first[c]), int(v.first[c] + v.members[c]), part
+
+
+def _within(states: np.ndarray, lo: int, hi: int, t: Tables, v: Vocabulary) -> np.ndarray:
+    """Probabilities of the words lo to hi of a class for each state."""
+    prob = states @ t.w[lo:hi, :-1].T
+    prob += t.w[lo:hi, -1] + v.log_share[lo:hi]
+    prob -= prob.max(axis=1, keepdims=True)
+    np.exp(prob, out=prob)
+    prob /= prob.sum(axis=1, keepdims=True)
+    return prob
+
+
 def packed(p: dict[str, np.ndarray]) -> list[float]:
     return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(float).tolist()
 
@@ -85,8 +133,8 @@ def _windows(docs: list[np.ndarray], end: int, width: int, window: int) -> Itera
         yield prev[t : t + window, :live], target[t : t + window, :live], doc[t : t + window, :live], fresh[t : t + window, :live, None]
 
 
-def score(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, width: int = STREAMS, window: int = WINDOW) -> np.ndarray:
-    """Natural log probability of each document's classes, state carried from window to window."""
+def score(p: dict[str, np.ndarray], tab: Tables, v: Vocabulary, docs: list[np.ndarray], end: int, width: int = STREAMS, window: int = WINDOW) -> np.ndarray:
+    """Natural log probability of each document's words, state carried from window to window."""
     hidden = len(p["n"])
     out = np.zeros(len(docs))
     h = np.zeros((min(width, max(1, len(docs))), hidden), F32)
@@ -96,32 +144,38 @@ def score(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, width: int
         states = np.empty((steps, live, hidden), F32)
         for t in range(steps):
             h = h * fresh[t]
-            x = p["x"][prev[t]]
+            x = p["x"][v.cls[prev[t]]] + tab.e[prev[t]] @ p["e"]
             a = h @ p["u"]
             g = _sigmoid(x[:, : 2 * hidden] + a[:, : 2 * hidden])
             z, r = g[:, :hidden], g[:, hidden:]
             n = np.tanh(x[:, 2 * hidden :] + r * (a[:, 2 * hidden :] + p["n"]))
             h = n + z * (h - n)
             states[t] = h
-        logits = states.reshape(-1, hidden) @ p["o"]
+        flat, words = states.reshape(-1, hidden), target.ravel()
+        logits = flat @ p["o"]
         logits += p["b"]
-        chosen = logits[np.arange(len(logits)), target.ravel()].astype(np.float64)
+        chosen = logits[np.arange(len(logits)), v.cls[words]].astype(np.float64)
         top = logits.max(axis=1, keepdims=True)
         logits -= top
         np.exp(logits, out=logits)
         chosen -= np.log(logits.sum(axis=1)) + top[:, 0]
         d = doc.ravel()
         ok = d >= 0
+        for lo, hi, at in _by_class(words, ok, v):
+            chosen[at] += np.log(np.maximum(_within(flat[at], lo, hi, tab, v)[np.arange(len(at)), words[at] - lo], 1e-30))
         out += np.bincount(d[ok], chosen[ok], len(docs))
     return out
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, rate: float = 0.02, width: int = STREAMS, window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of Adam with backpropagation truncated to a window; the state goes on into the next window. The weights and the tokens seen."""
-    p = {k: v.copy() for k, v in p.items()}
+def train(p: dict[str, np.ndarray], tab: Tables, v: Vocabulary, seen: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.02, width: int = STREAMS, window: int = WINDOW, word_rate: float = 0.1) -> tuple[dict[str, np.ndarray], int]:
+    """One pass with backpropagation truncated to a window; the state goes on into the next window. The weights and the tokens seen.
+
+    Adam for the weights, plain steps for the tables of words, which change in place; seen gets, for each word, how often it
+    was an input and how often its class was a target."""
+    p = {k: w.copy() for k, w in p.items()}
     hidden, classes = len(p["n"]), len(p["b"])
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in p.items()}
+    m = {k: np.zeros_like(w) for k, w in p.items()}
+    v2 = {k: np.zeros_like(w) for k, w in p.items()}
     h0 = np.zeros((min(width, max(1, len(docs))), hidden), F32)
     tokens = step = 0
     total = sum(map(len, docs))
@@ -132,7 +186,7 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, rate: floa
         states = np.empty((steps, live, hidden), F32)
         for t in range(steps):
             h = h * fresh[t]
-            x = p["x"][prev[t]]
+            x = p["x"][v.cls[prev[t]]] + tab.e[prev[t]] @ p["e"]
             a = h @ p["u"]
             g = _sigmoid(x[:, : 2 * hidden] + a[:, : 2 * hidden])
             before[t], zs[t], rs[t] = h, g[:, :hidden], g[:, hidden:]
@@ -150,10 +204,22 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, rate: floa
         prob -= prob.max(axis=1, keepdims=True)
         np.exp(prob, out=prob)
         prob /= prob.sum(axis=1, keepdims=True)
-        prob[np.arange(len(prob)), target.ravel()] -= 1
+        words = target.ravel()
+        prob[np.arange(len(prob)), v.cls[words]] -= 1
         prob *= ok[:, None] / max(1, n_ok)
         grad = {"o": flat.T @ prob, "b": prob.sum(axis=0)}
-        d_states = (prob @ p["o"].T).reshape(steps, live, hidden)
+        d_flat = prob @ p["o"].T
+        fade = F32(word_rate * (1 - 0.9 * tokens / max(1, total)))
+        for lo, hi, at in _by_class(words, ok > 0, v):
+            own = flat[at]
+            inner = _within(own, lo, hi, tab, v)
+            inner[np.arange(len(at)), words[at] - lo] -= 1
+            d_flat[at] += inner @ tab.w[lo:hi, :-1] / max(1, n_ok)
+            inner *= fade / F32(np.sqrt(len(at)))
+            tab.w[lo:hi, :-1] -= inner.T @ own
+            tab.w[lo:hi, -1] -= inner.sum(axis=0)
+            seen[lo:hi, 1] += len(at)
+        d_states = d_flat.reshape(steps, live, hidden)
         d_gates = np.empty((steps, live, 3 * hidden), F32)
         d_x = np.empty((steps, live, 3 * hidden), F32)
         dh = np.zeros((live, hidden), F32)
@@ -169,15 +235,15 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, rate: floa
             dh = (dh * z + d_gates[t] @ p["u"].T) * fresh[t]
         grad["u"] = before.reshape(-1, hidden).T @ d_gates.reshape(-1, 3 * hidden)
         grad["n"] = d_gates[:, :, 2 * hidden :].sum(axis=(0, 1))
-        one_hot = np.zeros((classes, steps * live), F32) if classes * steps * live <= 1 << 20 else None
-        if one_hot is not None:
-            one_hot[prev.ravel(), np.arange(steps * live)] = 1
-            grad["x"] = one_hot @ d_x.reshape(-1, 3 * hidden)
-        else:
-            order = np.argsort(prev.ravel(), kind="stable")
-            ids, starts = np.unique(prev.ravel()[order], return_index=True)
-            grad["x"] = np.zeros_like(p["x"])
-            grad["x"][ids] = np.add.reduceat(d_x.reshape(-1, 3 * hidden)[order], starts, axis=0)
+        inputs, d_in = prev.ravel(), d_x.reshape(-1, 3 * hidden)
+        order = np.argsort(inputs, kind="stable")
+        ids, starts, times = np.unique(inputs[order], return_index=True, return_counts=True)
+        by_word = np.add.reduceat(d_in[order], starts, axis=0)
+        grad["e"] = tab.e[ids].T @ by_word
+        grad["x"] = np.zeros_like(p["x"])
+        np.add.at(grad["x"], v.cls[ids], by_word)
+        tab.e[ids] -= (by_word @ p["e"].T) * (fade * n_ok / np.sqrt(times).astype(F32))[:, None]
+        seen[ids, 0] += times
         step += 1
         now = F32(rate * n_ok / (window * width) * (1 - 0.9 * tokens / max(1, total)))  # smaller where few streams are left, and towards the end
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))

@@ -6,14 +6,15 @@ others are held out. Tokens are the words of the lower-cased (A-Z) text between
 Counts cover all training documents: words are counted by task, then summed by a shuffle. The `head` most frequent words (a bound)
 go to all tasks; counts of the other words reach the documents by a join.
 
-The network's output is factored by classes: P(token) = P(class | state) P(token | class). Head words are binned into
-classes by their share of the text, the end and the tail of rarer words are classes of their own. The class comes from
-a softmax on the state; within a class the softmax has a bias for each word, whose best value is the log of
-its count (in the tail (c + 0.5), with 0.5 for all words never seen). So a text's score is the log of a proper
+The network's input is the previous word: the embedding of a head word and of its class. Its output is factored by
+classes: P(token) = P(class | state) P(token | class, state). Head words are binned into classes, about the square root
+of the head in number, by the square roots of their counts; the end and the tail of rarer words are classes of their own.
+The class comes from a softmax on the state, the word from a softmax on the state over its class. Only within the tail
+the state plays no part: there it is the share of (c + 0.5), with 0.5 for all words never seen. So a text's score is the log of a proper
 probability under the same convention as the base score.
 
 The network is trained on all training documents, each once: tasks run truncated backpropagation on their
-documents from the same weights, which are then averaged by tokens; first over a tenth of the documents, from
+documents from the same weights, which are then averaged by tokens (a word's own, by how often a task had it); first over a tenth of the documents, from
 there over the rest. In scoring, the state is carried from window to window through a whole document.
 
 Null and empty texts are one end token. Without training documents all counts are 0 and the network stays as it starts.
@@ -35,7 +36,8 @@ from . import gru
 from ._common import id_text, once, written
 
 END = b""
-CLASSES, HEAD = 64, 200_000
+HEAD = 200_000
+BLOCK = 4096  # words
 FIRST_SHARE = 10  # per cent of the training documents in the first round
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -72,24 +74,31 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
 class Words:
     """The head words with their classes; bounded, and the same in all tasks."""
 
-    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int, classes: int = CLASSES):
+    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int):
         """head: words and counts without the end, most frequent first."""
         self.total, self.distinct, self.ends = total, distinct, ends
         self.index = {w: i + 1 for i, (w, _) in enumerate(head)}  # 0: tail
         c = np.array([0, *(n for _, n in head)], np.float64)
         held = c.sum()
-        before = np.cumsum(c) - c
-        bins = classes - 2
-        self.cls = np.minimum(before * bins / max(held, 1), bins - 1).astype(np.int64) + 2
+        bins = max(1, int(np.ceil(np.sqrt(len(head)))))
+        self.classes = classes = bins + 2
+        root = np.sqrt(c)
+        before = np.cumsum(root) - root
+        self.cls = np.minimum(before * bins / max(root.sum(), 1), bins - 1).astype(np.int64) + 2
         self.cls[0] = 1  # the tail; the end is class 0
-        self.end = 0
         mass = np.bincount(self.cls, c, classes)
         tail_seen = distinct - len(head) - (1 if ends else 0)
         self.tail_mass = (total - held - ends) + 0.5 * (tail_seen + 1)
         self.class_counts = mass.copy()
         self.class_counts[0], self.class_counts[1] = ends, total - held - ends
         with np.errstate(divide="ignore"):
-            self.log_within = np.log10(np.where(c > 0, c, 1) / np.where(c > 0, mass[self.cls], 1))
+            log_share = np.log(np.where(c > 0, c, 1) / np.where(c > 0, mass[self.cls], 1))
+        self.end = len(c)  # as a word, after the head
+        cls = np.append(self.cls, 0).astype(np.int32)
+        members = np.bincount(cls, minlength=classes)
+        first = np.zeros(classes, np.int64)
+        first[2:] = 1 + np.cumsum(members[2:]) - members[2:]
+        self.vocabulary = gru.Vocabulary(cls, first, members, np.append(log_share, 0).astype(np.float32))
         self.log_base = np.log10(c + 0.5)
         self.log_base[0] = 0.0  # the tail's counts come by a join
 
@@ -98,27 +107,56 @@ class Words:
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
 
-def _classes(words: Words, texts) -> list[np.ndarray]:
-    return [np.append(words.cls[words.ids(words_of(t.as_py()))], words.end).astype(np.int32) for t in texts]
+def _word_ids(words: Words, texts) -> list[np.ndarray]:
+    return [np.append(words.ids(words_of(t.as_py())), words.end).astype(np.int32) for t in texts]
 
 
-def _trained(texts: DataFrame, sent, weights: list[float]) -> list[float]:
+def _trained(texts: DataFrame, sent, weights: tuple[list[float], gru.Tables]) -> tuple[list[float], gru.Tables]:
     """Weights after one pass over texts: each task starts from the given ones; the mean, weighted by tokens, comes back."""
-    start = texts.sparkSession.sparkContext.broadcast(weights)
+    spark = texts.sparkSession
+    start = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Words = sent.value
-        p, seen = gru.unpacked(start.value, CLASSES), 0
+        dense, tab = start.value
+        p, total = gru.unpacked(dense, words.classes), 0
+        tab = gru.Tables(tab.e.copy(), tab.w.copy())
+        seen = np.zeros((len(tab.e), 2), np.float32)
         for batch in batches:
-            p, n = gru.train(p, _classes(words, batch["text"]), words.end)
-            seen += n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([gru.packed(p)], pa.list_(pa.float64()))], names=["n", "w"])
-
-    made = texts.select("text").mapInArrow(run, "n double, w array<double>")
-    mean = made.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
-    rows = mean.orderBy("i").collect()  # one row for each weight: a fixed number
-    return [r["w"] for r in rows] if rows else weights
+            p, n = gru.train(p, tab, words.vocabulary, seen, _word_ids(words, batch["text"]), words.end)
+            total += n
+        if total:
+            blocks, sums = [-1], [np.append(np.array(gru.packed(p)) * total, total).tobytes()]
+            for lo in range(0, len(seen), BLOCK):
+                part = slice(lo, lo + BLOCK)
+                if seen[part].any():
+                    blocks.append(lo)
+                    sums.append(np.hstack([tab.e[part] * seen[part, :1], tab.w[part] * seen[part, 1:], seen[part]]).astype(np.float32).tobytes())
+            for b, s in zip(blocks, sums, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([s], pa.binary())], names=["block", "s"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # of the few blocks of a partition
+        for batch in batches:
+            for b, s in zip(batch["block"].to_pylist(), batch["s"], strict=True):
+                s = np.frombuffer(s.as_buffer(), np.float32 if b >= 0 else np.float64)
+                held[b] = held[b] + s if b in held else s.copy()
+        for b, s in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["block", "s"])
+
+    dense, tab = weights
+    e, w = tab.e.copy(), tab.w.copy()
+    made = texts.select("text").mapInArrow(run, "block long, s binary").repartition(2 + len(e) // BLOCK, "block")
+    for row in made.mapInArrow(summed, "block long, s binary").collect():  # bounded by head
+        s = np.frombuffer(row["s"], np.float32 if row["block"] >= 0 else np.float64)
+        if row["block"] < 0:
+            dense = (s[:-1] / s[-1]).tolist()
+            continue
+        s = s.reshape(-1, gru.EMBEDDED + w.shape[1] + 2)
+        for table, columns, n in ((e, s[:, : gru.EMBEDDED], s[:, -2]), (w, s[:, gru.EMBEDDED : -2], s[:, -1])):
+            some = np.flatnonzero(n > 0)
+            table[row["block"] + some] = columns[some] / n[some, None]
+    return dense, gru.Tables(e, w)
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -128,10 +166,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     training = texts.where(remainder() != 1)
     counts = written(word_counts(training))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).collect()  # bounded by head
-    sent = sc.broadcast(Words([(bytes(r["word"]), r["c"]) for r in top], totals["ends"], totals["n"], totals["v"]))
+    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).toArrow()  # bounded by head
+    sent = sc.broadcast(Words(list(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)), totals["ends"], totals["n"], totals["v"]))
     words = sent.value
-    weights = gru.packed(gru.initial(words.class_counts))
+    weights = gru.packed(gru.initial(words.class_counts)), gru.tables(words.end + 1)
     first = F.pmod(F.xxhash64(F.lit("round"), F.col("doc_id"), F.octet_length("text")), F.lit(100)) < FIRST_SHARE
     for part in (training.where(first), training.where(~first)):
         weights = _trained(part, sent, weights)
@@ -139,21 +177,20 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Words = sent.value
-        p = once(("network", name), lambda: gru.unpacked(model.value, CLASSES))
+        p = once(("network", name), lambda: gru.unpacked(model.value[0], words.classes))
         for batch in batches:
-            docs, n_tokens, known, base, within, tails = [], [], [], [], [], []
+            docs, n_tokens, known, base, tails = [], [], [], [], []
             for text in batch["text"]:
                 split = words_of(text.as_py())
                 ids = words.ids(split)
-                docs.append(np.append(words.cls[ids], words.end).astype(np.int32))
+                docs.append(np.append(ids, words.end).astype(np.int32))
                 rare = np.flatnonzero(ids == 0)
                 n_tokens.append(len(split) + 1)
                 known.append(len(split) - len(rare) + (words.ends > 0))
                 base.append(words.log_base[ids].sum() + np.log10(words.ends + 0.5))
-                within.append(words.log_within[ids].sum())
                 tails.append([split[i] for i in rare.tolist()])
-            network = gru.score(p, docs, words.end) / np.log(10)
-            columns = [batch["uid"], batch["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(network + np.array(within)), pa.array(tails, pa.list_(pa.binary()))]
+            network = gru.score(p, model.value[1], words.vocabulary, docs, words.end) / np.log(10)
+            columns = [batch["uid"], batch["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(network), pa.array(tails, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n_tokens", "known", "base", "network", "tail"])
 
     part = texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, network double, tail array<binary>")

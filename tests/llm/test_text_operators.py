@@ -352,6 +352,25 @@ def test_language_model_beats_counts_on_held_out_documents(spark):
     assert got[0] > got[1]
 
 
+def test_words_of_a_class_depend_on_the_word_before():
+    import numpy as np
+
+    from asofkit.llm import gru
+
+    words = language_model.Words([(b"a", 100), (b"b", 100), (b"c", 100), (b"d", 100)], 10, 410, 5)
+    pairs = [("a", "c"), ("b", "d")]  # what follows can only be told from the word itself
+    assert words.cls[1] == words.cls[2] and words.cls[3] == words.cls[4]
+    rng = random.Random(10)
+    docs_ = [np.append(words.ids([w.encode() for _ in range(20) for w in rng.choice(pairs)]), words.end).astype(np.int32) for _ in range(300)]
+    p, tab = gru.initial(words.class_counts), gru.tables(words.end + 1)
+    seen = np.zeros((words.end + 1, 2), np.float32)
+    for _ in range(30):
+        p, _ = gru.train(p, tab, words.vocabulary, seen, docs_, words.end)
+    right, wrong = (np.append(words.ids([*w * 20]), words.end).astype(np.int32) for w in ([b"a", b"c"], [b"a", b"d"]))
+    got = gru.score(p, tab, words.vocabulary, [right, wrong], words.end)
+    assert got[0] - got[1] > 10 and seen[1:-1].all()
+
+
 # the pipeline
 
 
