@@ -10,8 +10,10 @@ lower case with runs of white space as one blank.
 Items come from a table whose size is checked: they go to the tasks in blocks of at most `block_chars`
 characters, one pass over the documents for each block, so memory is bounded for any number of items.
 
-Null and empty items match nothing; so do items shorter than `min_item` characters, whose chance matches are
-no leaks. Items of equal text each get their rows. Null and empty documents match nothing.
+Items and texts are normalised by one function (`normal`), so all kinds of blanks count alike. An item shorter than
+`min_item` characters in that form is found only where it is a whole document: inside longer texts its chance matches are no
+leaks (`short_items` lists them). Null items, empty ones and those of blanks match nothing. Items of equal text each get their rows. Null
+and empty documents match nothing. Repeated documents each get their rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -77,10 +79,15 @@ def myers(masks: dict[str, int], m: int, text: str, limit: int) -> tuple[int, in
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int, min_item: int = 0):
+        """items: ids and normalised texts, none empty."""
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t), rate, min_piece), masks_of(t)) for i, t in items]
+        self.short: dict[str, list[int]] = {}
+        for i, t in items:
+            if len(t) < min_item:
+                self.short.setdefault(t, []).append(i)
+        self.items = [(i, t, budget(len(t), rate, min_piece), masks_of(t)) for i, t in items if len(t) >= min_item]
         where: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, errors, _) in enumerate(self.items):
             for offset, piece in pieces_of(text, errors):
@@ -92,15 +99,15 @@ class Matcher:
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, distance, end of the match) of each item found in the normalised text."""
+        out = [(i, 0, len(text)) for i in self.short.get(text, ())]
         if not self.items:
-            return []
+            return out
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (length, owners) in self.automaton.iter(text):
             for at, offset in owners:
                 _, item, errors, _ = self.items[at]
                 start = last + 1 - length - offset
                 windows.setdefault(at, []).append((max(0, start - errors), start + len(item) + errors))
-        out = []
         for at, spans in windows.items():
             item_id, item, errors, masks = self.items[at]
             best = (errors + 1, -1)
@@ -119,26 +126,36 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items that are not empty, some at a time."""
     block, size = [], 0
     for row in items.toLocalIterator():  # one partition at a time; only a block is held
-        if block and size + len(row.text) > block_chars:
+        text = normal(row.text)
+        if not text:
+            continue
+        if block and size + len(text) > block_chars:
             yield block
             block, size = [], 0
-        block.append((row.doc_id, row.text))
-        size += len(row.text)
+        block.append((row.doc_id, text))
+        size += len(text)
     yield block
 
 
-def _wanted(items: DataFrame, id_col: str, text_col: str, min_item: int) -> DataFrame:
-    wanted = id_text(items, id_col, text_col)
-    return wanted.select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).alias("text")).where(F.length("text") >= min_item)
+def short_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", min_item: int = 24) -> DataFrame:
+    """item_id and text of the items that are searched for as whole documents only, or not at all (empty ones)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.array([len(normal(t.as_py())) < min_item for t in batch["text"]], pa.bool_())
+            yield batch.filter(short).rename_columns(["item_id", "text"])
 
-def _senders(spark, wanted: DataFrame, rate: float, min_piece: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
+    return id_text(items, id_col, text_col).mapInArrow(run, "item_id long, text string")
+
+
+def _senders(spark, items: DataFrame, rate: float, min_piece: int, min_item: int, block_chars: int) -> Iterator[Callable[[], Matcher]]:
     """For each block of items, what makes its matcher in a task."""
-    for block in _blocks(wanted, block_chars):
-        sent, name = spark.sparkContext.broadcast([(i, normal(t)) for i, t in block]), uuid.uuid4().hex
-        yield lambda sent=sent, name=name: once(("decontaminate", name), lambda: Matcher(sent.value, rate, min_piece))
+    for block in _blocks(items, block_chars):
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        yield lambda sent=sent, name=name: once(("decontaminate", name), lambda: Matcher(sent.value, rate, min_piece, min_item))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, min_piece: int = 12, min_item: int = 24, block_chars: int = 4_000_000) -> DataFrame:
@@ -148,7 +165,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def matched(matcher_of: Callable[[], Matcher]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of()
-            size = {i: len(t) for i, t, _, _ in matcher.items}
+            size = {i: len(t) for i, t, _, _ in matcher.items} | {i: len(t) for t, ids in matcher.short.items() for i in ids}
             for batch in batches:
                 rows: list[tuple] = []
                 for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -158,14 +175,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         return texts.mapInArrow(run, SCHEMA)
 
-    senders = _senders(docs.sparkSession, _wanted(items, item_id_col, item_text_col, min_item), rate, min_piece, block_chars)
+    senders = _senders(docs.sparkSession, id_text(items, item_id_col, item_text_col), rate, min_piece, min_item, block_chars)
     return reduce(DataFrame.unionByName, map(matched, senders))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, min_piece: int = 12, min_item: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """docs less the documents that hold a test item; all columns stay, nothing is shuffled."""
     at = docs.columns.index(text_col)
-    for matcher_of in _senders(docs.sparkSession, _wanted(items, item_id_col, item_text_col, min_item), rate, min_piece, block_chars):
+    for matcher_of in _senders(docs.sparkSession, id_text(items, item_id_col, item_text_col), rate, min_piece, min_item, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], matcher_of=matcher_of) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of()
