@@ -1,6 +1,11 @@
 """Operator 2: SentencePiece encoding and decoding.
 
-Encoding finds the segmentation with the best sum of piece scores. An Aho-Corasick automaton over the pieces
+Encoding finds the segmentation of greatest likelihood under a unigram model of the pieces. The public models at hand are BPE
+models, whose scores are merge ranks and no log probabilities; tokenizers are not trained here, so a piece of rank r has the
+probability that Zipf's law gives it, in proportion to 1 / (r + 2.7) (`log_scores`; models that bring log probabilities keep
+theirs). So ids are those of the likeliest segmentation, not those that replaying the BPE merges would give.
+
+An Aho-Corasick automaton over the pieces
 reads the text once; at each position its output links give all pieces that end there, longest first, and
 each relaxes the best score of that position (Viterbi). A character that is no piece of its own may be taken
 as unknown at the lowest score less 10, and is written as its UTF-8 bytes' pieces. Ties go to the longer
@@ -20,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import inf
+from math import fsum, inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +35,19 @@ from ._common import Memo, id_text, once
 from .vocab import BYTE, NORMAL, SPACE, UNKNOWN, USER_DEFINED, Piece, load_pieces, model_path
 
 UNKNOWN_PENALTY = 10.0
+ZIPF_SHIFT = 2.7
 _LINES = "\n\r\t"
 
 
+def log_scores(pieces: list[Piece]) -> list[Piece]:
+    """pieces with log probabilities as scores: their own, or by Zipf's law where the scores are ranks (whole numbers from 0 down)."""
+    scores = [p.score for p in pieces if p.kind == NORMAL]
+    if len(scores) < 2 or any(x > 0 or x != int(x) for x in scores):
+        return pieces
+    total = log(fsum(1 / (ZIPF_SHIFT - x) for x in scores))
+    return [p._replace(score=-log(ZIPF_SHIFT - p.score) - total) if p.kind == NORMAL else p for p in pieces]
+
+
 class PieceCodec:
     def __init__(self, pieces: list[Piece], memo: int = 400_000):
         import ahocorasick
@@ -128,7 +143,7 @@ class PieceCodec:
 
 
 def _codec(path: str, memo: int) -> PieceCodec:
-    return once(("pieces", path, memo), lambda: PieceCodec(load_pieces(path), memo))
+    return once(("pieces", path, memo), lambda: PieceCodec(log_scores(load_pieces(path)), memo))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, memo: int = 400_000) -> DataFrame:
@@ -158,7 +173,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
 
 
 def encoded_and_decoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, memo: int = 400_000) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, n_bytes_pieces, ids, decoded_sha256, round_trip."""
+    """Encode and decode in one pass: doc_id, n_tokens, n_byte_pieces, ids, decoded_sha256, round_trip."""
     path = model_path(model)
     names = ["doc_id", "n_tokens", "n_byte_pieces", "ids", "decoded_sha256", "round_trip"]
 
