@@ -88,11 +88,12 @@ def test_token_counts_equal_greedy_matching():
 
 
 def test_pieces_have_the_best_score_and_decode(spark, corpus):
-    held = vocab.load_pieces()
+    held = pieces.log_scores(vocab.load_pieces())
     codec = pieces.PieceCodec(held)
+    assert sum(math.exp(p.score) for p in held if p.kind == vocab.NORMAL) == pytest.approx(1)
     by_text = {p.text: p.score for p in held if p.kind in (vocab.NORMAL, vocab.USER_DEFINED)}
     longest = max(map(len, by_text))
-    for text in (" two  blanks", "Привет, мир", "naïve façade", "x\ny", "a" * 40, "the cat sat"):
+    for text in (" two  blanks", "Привет, мир", "naïve façade", "x\ny", "a" * 40, "the cat sat", "ab𝕏𝕐cd ☃☃", "\u2028 x\t𝕏\r", "internationalization"):
         marked = vocab.SPACE + text.replace(" ", vocab.SPACE)
         best = [0.0] + [-math.inf] * len(marked)
         for i in range(len(marked)):
@@ -102,8 +103,8 @@ def test_pieces_have_the_best_score_and_decode(spark, corpus):
             if marked[i] not in by_text:
                 best[i + 1] = max(best[i + 1], best[i] + codec.unknown_score)
         ids = codec.encode(text)
-        if not set(ids) & set(codec.byte_of):
-            assert sum(held[i].score for i in ids) == pytest.approx(best[-1])
+        odd = sum(codec.byte_of[i] < 0x80 or codec.byte_of[i] >= 0xC0 for i in ids if i in codec.byte_of)  # first bytes of characters
+        assert sum(held[i].score for i in ids if i not in codec.byte_of) + odd * codec.unknown_score == pytest.approx(best[-1])
         assert codec.decode(ids) == text
     made = pieces.encoded_and_decoded(corpus)
     assert made.where("not round_trip").join(corpus, "doc_id").where(~F.col("text").contains("▁")).count() == 0
@@ -141,6 +142,20 @@ def test_decontamination_equals_edit_distance(spark):
     assert kept == set(range(len(texts))) - {d for d, _, _ in want}
 
 
+def test_items_of_odd_blanks_and_short_items(spark):
+    blank = "\u00a0"
+    long = "seven words that no other text would hold"
+    items = [(1, blank * 30), (2, "a" + blank * 30), (3, long.replace(" ", "\u3000")), (4, None), (5, ""), (6, "two words")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["a text that holds a", "b", f"x {long} y", f"x {long.replace(' ', '\u2003')} y", None, "A", " Two\u00a0 words ", "two words more"]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(docs(spark, texts), table).collect()}
+    assert got == {(2, 3, 0), (3, 3, 0), (5, 2, 0), (6, 6, 0)}
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs(spark, texts), table).collect()} == {0, 1, 4, 7}
+    assert {r["item_id"] for r in decontaminate.short_items(table).collect()} == {1, 2, 4, 5, 6}
+    for none in (table.limit(0), table.where("item_id in (1, 4, 5)")):
+        assert decontaminate.contaminated(docs(spark, texts), none).count() == 0 and decontaminate.without_contaminated(docs(spark, texts), none).count() == len(texts)
+
+
 # 4
 
 
@@ -285,6 +300,24 @@ def test_suffix_removal_equals_counting_all_strings(spark, hot):
     assert [got[i] for i in range(len(texts))] == without_repeats(texts)
 
 
+def test_suffix_removal_verifies_hashes(spark, monkeypatch):
+    """With polynomial hashes that collide all the time, results stay those of the bytes."""
+    rng = random.Random(88)
+    shared = words(rng, 240)
+    texts = [words(rng, 30) + shared[a : a + n] + words(rng, 90) for a, n in ((0, 700), (100, 620), (300, 500), (0, 390))] + [words(rng, 300)]
+    import numpy as np
+
+    same = suffix_dedup.SortedSuffixes.extension
+    monkeypatch.setattr(suffix_dedup.SortedSuffixes, "extension", lambda self, x, y: np.minimum(same(self, x, y) + 3, np.minimum(self.size[x], self.size[y])))
+    data = [t.encode() for t in texts]
+    held = [[(int(p), int(h)) for p, h in zip(*suffix_dedup.anchors(d), strict=True)] for d in data]
+    rows = sorted((0, d[max(0, p - 200) : p], d[p : p + 400]) for d, found in zip(data, held, strict=True) for p, _ in found)  # one group: as if all anchors had one hash
+    found = suffix_dedup.repeated_starts(np.zeros(len(rows), np.int64), [r[1] for r in rows], [r[2] for r in rows])
+    parts = [{a: left[len(left) - a :] + right[: 400 - a] for a in range(201) if a <= len(left) and 400 - a <= len(right)} for _, left, right in rows]
+    seen = Counter((a, s) for part in parts for a, s in part.items())
+    assert [[seen[a, part[a]] > 1 if a in part else False for a in range(201)] for part in parts] == found.tolist()
+
+
 def test_suffixes_are_sorted():
     import numpy as np
 
