@@ -9,7 +9,7 @@ Sorting the suffixes of the whole corpus would move each byte hundreds of times,
    400-byte strings have equal anchors at the same place, so a repeat shows as a repeated anchor hash. About one
    position in a hundred is an anchor; rows hold hashes and positions, no text.
 2. Around an anchor lie at most 200 bytes before and 400 from it on (its context). Anchors are counted by hash and
-   context, pre-aggregated before the shuffle; contexts are told apart by a 128-bit digest (BLAKE2) of their own bytes and the
+   context, pre-aggregated before the shuffle; contexts are told apart by 96 bits of a digest (BLAKE2) of their own bytes and the
    anchor's place in them, which verifies what the 64-bit polynomial hashes found. Where a context occurs twice, all its 400-byte
    strings repeat: settled.
 3. Of the other anchors with a repeated hash, one context of each kind goes to the task of its hash. There, the
@@ -72,9 +72,9 @@ def _sums(data: np.ndarray) -> np.ndarray:
 
 
 def context_digest(data: bytes, pos: int) -> bytes:
-    """128 bits of the bytes round an anchor and of its place in them."""
+    """96 bits of the bytes round an anchor and of its place in them."""
     left = min(pos, LENGTH - K)
-    return hashlib.blake2b(data[pos - left : pos + LENGTH], digest_size=16, salt=left.to_bytes(2, "little")).digest()
+    return hashlib.blake2b(data[pos - left : pos + LENGTH], digest_size=12, salt=left.to_bytes(2, "little")).digest()
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +118,11 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 hashes.append(h)
                 digests += [context_digest(data, p) for p in pos.tolist()]
             owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            digest = np.frombuffer(b"".join(digests), np.dtype([("c1", "<i8"), ("c2", "<i4")]))
             pos, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(owner), batch["th"].take(owner), pa.array(pos), pa.array(h), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=["doc_id", "th", "pos", "h", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(owner), batch["th"].take(owner), pa.array(pos), pa.array(h), pa.array(digest["c1"].copy()), pa.array(digest["c2"].copy())], names=["doc_id", "th", "pos", "h", "c1", "c2"])
 
-    return texts.mapInArrow(run, "doc_id long, th long, pos long, h long, c1 long, c2 long")
+    return texts.mapInArrow(run, "doc_id long, th long, pos long, h long, c1 long, c2 int")
 
 
 class SortedSuffixes:
@@ -352,7 +352,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mark = F.struct("pos", "h", settled.alias("settled"), emit.alias("emit"), (F.col("kinds") > hot).alias("hot"))
     marks = here.select("doc_id", "th", mark.alias("m")).where("m.settled or m.emit").groupBy("doc_id", "th").agg(F.collect_set("m").alias("marks"))
     joined = texts.join(marks, ["doc_id", "th"], "left")
-    sent = written(joined.mapInArrow(_contexts, _EMIT))  # read twice, the texts once
+    sent = joined.mapInArrow(_contexts, _EMIT)
     contexts = sent.where("kind = 0").select("h", "doc_id", "th", "pos", "before", "after", "settled")
     sorted_spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans, _SPANS)
     singles = sent.where("kind = 1").select("key", "doc_id", "th", "pos")
