@@ -9,9 +9,9 @@ Sorting the suffixes of the whole corpus would move each byte hundreds of times,
    400-byte strings have equal anchors at the same place, so a repeat shows as a repeated anchor hash. About one
    position in a hundred is an anchor; rows hold hashes and positions, no text.
 2. Around an anchor lie at most 200 bytes before and 400 from it on (its context). Anchors are counted by hash and
-   context, pre-aggregated before the shuffle; contexts are told apart by 96 bits of a digest (BLAKE2) of their own bytes and the
-   anchor's place in them, which verifies what the 64-bit polynomial hashes found. Where a context occurs twice, all its 400-byte
-   strings repeat: settled.
+   context, pre-aggregated before the shuffle. Where a context occurs twice, all its 400-byte strings repeat: settled. The bytes
+   of all settled contexts are verified: those of one hash must have one 128-bit digest (BLAKE2), else the job ends in an error
+   rather than remove bytes that do not repeat.
 3. Of the other anchors with a repeated hash, one context of each kind goes to the task of its hash. There, the
    suffixes that start at the anchors, and the reversed texts before them, are sorted by mergesort; two suffixes
    are compared through their longest common extension, found by binary search on prefix polynomial hashes. Orders and
@@ -27,6 +27,7 @@ are documents of their own.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,16 +72,10 @@ def _sums(data: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _tables(len(data) + 1)[1][: len(data)], dtype=np.uint64)])
 
 
-def context_digest(data: bytes, pos: int) -> bytes:
-    """96 bits of the bytes round an anchor and of its place in them."""
-    left = min(pos, LENGTH - K)
-    return hashlib.blake2b(data[pos - left : pos + LENGTH], digest_size=12, salt=left.to_bytes(2, "little")).digest()
-
-
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors and hashes of their k-strings."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors, hashes of their k-strings and of their contexts."""
     n = len(data)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, n - LENGTH + 1, _PART):  # windows that start in [start, start + _PART)
         base = max(0, start - (LENGTH - K))
         part = np.frombuffer(data, np.uint8, min(n, start + _PART + 2 * LENGTH) - base, base)
@@ -96,33 +91,29 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             width *= 2
         least = np.minimum(least[:windows], least[SPAN - width : SPAN - width + windows]) & _LOW
         at = least[np.concatenate(([True], least[1:] != least[:-1]))].astype(np.int64)
-        found.append((at + start, kh[at]))
+        pos = at + start
+        left, right = np.minimum(pos, LENGTH - K), np.minimum(n - pos, LENGTH)
+        context = (s[pos - base + right] - s[pos - base - left]) * power[pos - base - left]
+        found.append((pos, kh[at], _mix(_mix(context) + (left * 1000 + right).astype(np.uint64))))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    pos, h, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
     first = np.concatenate(([True], pos[1:] != pos[:-1]))
-    return pos[first], h[first]
+    return pos[first], h[first], ctx[first]
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, h and c1, c2 (the digest of the context) of the anchors of all texts."""
+    """doc_id, th (hash of the text), pos, h, ctx of the anchors of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, places, hashes, digests = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-            for t in batch["text"]:
-                data = t.as_py().encode("utf-8", "surrogatepass")
-                pos, h = anchors(data)
-                counts.append(len(pos))
-                places.append(pos)
-                hashes.append(h)
-                digests += [context_digest(data, p) for p in pos.tolist()]
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            digest = np.frombuffer(b"".join(digests), np.dtype([("c1", "<i8"), ("c2", "<i4")]))
-            pos, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(owner), batch["th"].take(owner), pa.array(pos), pa.array(h), pa.array(digest["c1"].copy()), pa.array(digest["c2"].copy())], names=["doc_id", "th", "pos", "h", "c1", "c2"])
-
-    return texts.mapInArrow(run, "doc_id long, th long, pos long, h long, c1 long, c2 int")
+            made = [anchors(t.as_py().encode("utf-8", "surrogatepass")) for t in batch["text"]]
+            counts = [len(m[0]) for m in made]
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            pos, h, ctx = (np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.uint64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner)), batch["th"].take(pa.array(owner)), pa.array(pos.astype(np.int64)), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64))], names=["doc_id", "th", "pos", "h", "ctx"])
+
+    return texts.mapInArrow(run, "doc_id long, th long, pos long, h long, ctx long")
 
 
 class SortedSuffixes:
@@ -248,34 +239,39 @@ def _spans(pos: int, starts: np.ndarray) -> list[tuple[int, int]]:
     return [(pos - int(a[hi]), pos - int(a[lo]) + LENGTH) for lo, hi in zip([0, *(cut + 1)], [*cut, len(a) - 1], strict=True)]
 
 
-_EMIT = "kind int, key binary, h long, doc_id long, th long, pos long, before binary, after binary, settled boolean"
+_EMIT = "kind int, key binary, digest binary, h long, doc_id long, th long, pos long, before binary, after binary, settled boolean"
 _SPANS = "doc_id long, th long, start long, stop long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts (kind 0) for sorting by hash, single strings (kind 1) of hot hashes."""
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+    """Contexts (kind 0) for sorting by hash, single strings (kind 1) of hot hashes, digests of settled contexts (kind 2) to verify."""
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
     names = [x.split()[0] for x in _EMIT.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 9, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 10, kinds, strict=True)], names=names)
 
     for batch in batches:
         rows: list[tuple] = []
         for doc, th, text, marks in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["text"], batch["marks"].to_pylist(), strict=True):
-            wanted = [m for m in marks or () if m["emit"]]
-            if not wanted:
+            if not marks:
                 continue
             data = text.as_py().encode("utf-8", "surrogatepass")
             singles: set[int] = set()
-            for m in wanted:
+            for m in marks:
                 pos = m["pos"]
+                if m["settled"]:
+                    left = min(pos, LENGTH - K)
+                    digest = hashlib.blake2b(data[pos - left : pos + LENGTH], digest_size=16, salt=left.to_bytes(2, "little")).digest()
+                    rows.append((2, struct.pack("<qq", m["h"], m["ctx"]), digest, 0, doc, th, pos, None, None, True))
+                if not m["emit"]:
+                    continue
                 if m["hot"]:
                     singles.update(range(max(0, pos - (LENGTH - K)), min(pos, len(data) - LENGTH) + 1))
                 else:
-                    rows.append((0, None, m["h"], doc, th, pos, data[max(0, pos - (LENGTH - K)) : pos], data[pos : pos + LENGTH], m["settled"]))
+                    rows.append((0, None, None, m["h"], doc, th, pos, data[max(0, pos - (LENGTH - K)) : pos], data[pos : pos + LENGTH], m["settled"]))
             for s in sorted(singles):
-                rows.append((1, hashlib.blake2b(data[s : s + LENGTH], digest_size=16).digest(), 0, doc, th, s, None, None, False))
+                rows.append((1, hashlib.blake2b(data[s : s + LENGTH], digest_size=16).digest(), None, 0, doc, th, s, None, None, False))
                 if len(rows) >= 20_000:
                     yield out(rows)
                     rows = []
@@ -343,21 +339,23 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, which may cut a character)."""
     texts = id_text(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
     found = written(anchor_rows(texts.where(F.octet_length("text") >= LENGTH)))
-    kinds = found.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
+    kinds = found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     hashes = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    repeated = written(kinds.join(hashes, "h").select("h", "c1", "c2", "n", "first", "kinds"))
-    here = found.join(repeated, ["h", "c1", "c2"])
+    repeated = written(kinds.join(hashes, "h").select("h", "ctx", "n", "first", "kinds"))
+    here = found.join(repeated, ["h", "ctx"])
     settled = F.col("n") > 1
     emit = (F.col("kinds") > 1) & (~settled | (F.struct("doc_id", "th", "pos") == F.col("first")))
-    mark = F.struct("pos", "h", settled.alias("settled"), emit.alias("emit"), (F.col("kinds") > hot).alias("hot"))
+    mark = F.struct("pos", "h", "ctx", settled.alias("settled"), emit.alias("emit"), (F.col("kinds") > hot).alias("hot"))
     marks = here.select("doc_id", "th", mark.alias("m")).where("m.settled or m.emit").groupBy("doc_id", "th").agg(F.collect_set("m").alias("marks"))
     joined = texts.join(marks, ["doc_id", "th"], "left")
     sent = joined.mapInArrow(_contexts, _EMIT)
     contexts = sent.where("kind = 0").select("h", "doc_id", "th", "pos", "before", "after", "settled")
     sorted_spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_spans, _SPANS)
-    singles = sent.where("kind = 1").select("key", "doc_id", "th", "pos")
-    common = singles.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    single_spans = singles.join(common, "key").select("doc_id", "th", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
+    singles = sent.where("kind > 0")
+    counted = singles.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    collided = F.raise_error(F.lit("two contexts of one hash have different bytes")).cast("boolean")
+    common = counted.where(F.when(F.col("least") < F.col("most"), collided).otherwise((F.col("kind") == 1) & (F.col("n") > 1))).select("key")
+    single_spans = singles.where("kind = 1").join(common, "key").select("doc_id", "th", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
     spans = sorted_spans.unionByName(single_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     done = joined.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "marks", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
