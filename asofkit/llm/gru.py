@@ -1,7 +1,11 @@
-"""A small gated recurrent network over words in numpy: truncated backpropagation and scoring of whole documents.
+"""A small gated recurrent network over words in numpy: truncated backpropagation, and scoring of whole documents.
 
-The input is the previous word, by its class and its own embedding; the output a class by a softmax on the state, then a
-word of the class by a softmax on the state over the members of that class."""
+The input is the previous word's embedding, one row for each gate. The output is factored by classes: a softmax on the state gives the
+class, another one, over the words of that class alone, the word. Words are numbered by frequency and classes hold
+neighbours: many small classes for frequent words, larger ones for rarer words, so that few outputs are worked out for each word.
+
+Documents of any length and number may be given: they run in lanes side by side, a window at a time, and memory follows the
+tokens given, not the longest document. An empty list scores nothing and trains nothing."""
 
 from __future__ import annotations
 
@@ -11,108 +15,99 @@ from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN, WINDOW, STREAMS, EMBEDDED = 16, 16, 512, 16
+HIDDEN, WINDOW, LANES, SEGMENT = 16, 16, 256, 2048
+#: Sizes of the classes of words in order of frequency: (classes, words in each); the rest goes to classes of REST words.
+TIERS, REST = ((16, 16), (32, 64)), 256
 F32 = np.float32
 
 
-def shapes(classes: int, hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
-    return {"x": (classes, 3 * hidden), "u": (hidden, 3 * hidden), "n": (hidden,), "e": (EMBEDDED, 3 * hidden), "o": (hidden, classes), "b": (classes,)}
-
-
-def initial(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 10) -> dict[str, np.ndarray]:
-    """Small random weights; the output bias is the log of the classes' counts, so it starts as a unigram model."""
-    r = np.random.default_rng(seed)
-    p = {k: r.normal(0, 0.3 if k in "xue" else 0.05, s).astype(F32) for k, s in shapes(len(counts), hidden).items()}
-    p["b"] = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(F32)
-    return p
-
-
 class Vocabulary(NamedTuple):
-    """Words in order of their classes: class of each word, first word and number of words of each class, log share in its class."""
-
-    cls: np.ndarray
-    first: np.ndarray
-    members: np.ndarray
-    log_share: np.ndarray
-
-
-class Tables(NamedTuple):
-    """Of each word: its embedding as input, and its weights (the last one a bias) in the softmax over its class."""
-
-    e: np.ndarray
-    w: np.ndarray
-
+    """Words 0: the tail, 1..head by frequency, head + 1: the end. Classes 0: the end, 1: the tail, from 2 on those of the head."""
 
-def tables(words: int, hidden: int = HIDDEN, seed: int = 11) -> Tables:
-    """Small random embeddings; without weights words start at their shares of the class."""
-    return Tables(np.random.default_rng(seed).normal(0, 0.1, (words, EMBEDDED)).astype(F32), np.zeros((words, hidden + 1), F32))
+    head: int
+    cls: np.ndarray  # of each word
+    first: np.ndarray  # of each class of the head, its first row in the table of outputs; row: word - 1
+    width: np.ndarray  # its rows (those beyond the head are padding)
 
+    @property
+    def rows(self) -> int:
+        return int(self.first[-1] + self.width[-1]) if len(self.first) else 0
 
-def _by_class(target: np.ndarray, ok: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, end, places of the targets) of each class with several words that is among the targets."""
-    cls = v.cls[target]
-    places = np.flatnonzero(ok & (v.members[cls] > 1))
-    places = places[np.argsort(cls[places], kind="stable")]
-    if len(places):
-        sorted_ = cls[places]
-        cuts = np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1
-        for part in np.split(places, cuts):
-            c = cls[part[0]]
-            yield int(v.first[c]), int(v.first[c] + v.members[c]), part
 
+def vocabulary(head: int) -> Vocabulary:
+    first, width, at = [], [], 0
+    for n, size in (*TIERS, (head, REST)):
+        while n and at < head:
+            first.append(at)
+            width.append(size)
+            at, n = at + size, n - 1
+    first, width = np.array(first, np.int64), np.array(width, np.int64)
+    cls = np.zeros(head + 2, np.int64)
+    cls[0] = 1
+    cls[1 : head + 1] = np.searchsorted(first, np.arange(head), side="right") + 1
+    return Vocabulary(head, cls, first, width)
 
-def _within(states: np.ndarray, lo: int, hi: int, t: Tables, v: Vocabulary) -> np.ndarray:
-    """Probabilities of the words lo to hi of a class for each state."""
-    prob = states @ t.w[lo:hi, :-1].T
-    prob += t.w[lo:hi, -1] + v.log_share[lo:hi]
-    prob -= prob.max(axis=1, keepdims=True)
-    np.exp(prob, out=prob)
-    prob /= prob.sum(axis=1, keepdims=True)
-    return prob
 
+class Model:
+    """Weights, what the optimizer holds of them, and how often each word was an input (in) and its class a target (out)."""
 
-def packed(p: dict[str, np.ndarray]) -> list[float]:
-    return np.concatenate([p[k].ravel() for k in sorted(p)]).astype(float).tolist()
+    def __init__(self, v: Vocabulary, dense: dict[str, np.ndarray], e: np.ndarray, w: np.ndarray):
+        """e: a row for each word, 3 x HIDDEN and the sum of squares; w: a row for each output, HIDDEN, a bias and the sum of squares."""
+        self.v, self.dense, self.e, self.w = v, dense, e, w
+        self.m, self.s = ({k: np.zeros_like(x) for k, x in dense.items()} for _ in range(2))
+        self.step = self.tokens = 0
+        self.seen_e, self.seen_w = np.zeros(len(e), F32), np.zeros(len(w), F32)
 
 
-def unpacked(values, classes: int, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
-    flat, out, at = np.asarray(values, F32), {}, 0
-    for k, s in sorted(shapes(classes, hidden).items()):
-        n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).copy()
-        at += n
-    return out
-
-
-def streams(docs: list[np.ndarray], end: int, width: int = STREAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whole documents dealt to streams of nearly equal length, longest stream first.
-
-    Returns previous token, target, document (each steps x streams) and the stream lengths. At a document's start
-    the previous token is the end token and document is marked by a change.
-    """
-    sizes = [len(d) for d in docs]
-    width = max(1, min(width, len(docs)))
-    heap = [(0, i) for i in range(width)]
-    dealt: list[list[int]] = [[] for _ in range(width)]
-    for i in sorted(range(len(docs)), key=lambda i: (-sizes[i], i)):
-        n, s = heapq.heappop(heap)
-        dealt[s].append(i)
-        heapq.heappush(heap, (n + sizes[i], s))
-    lengths = np.array([sum(sizes[i] for i in d) for d in dealt])
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
-    steps = int(lengths[0]) if len(lengths) else 0
-    target, doc = np.zeros((width, steps), np.int32), np.full((width, steps), -1, np.int32)
-    prev = np.full((width, steps), end, np.int32)
-    for row, s in enumerate(order):
-        at = 0
-        for i in dealt[s]:
-            n = sizes[i]
-            target[row, at : at + n] = docs[i]
-            prev[row, at + 1 : at + n] = docs[i][: n - 1]
-            doc[row, at : at + n] = i
-            at += n
-    return prev.T.copy(), target.T.copy(), doc.T.copy(), lengths
+def initial(v: Vocabulary, counts: np.ndarray, seed: int = 10) -> Model:
+    """Small random weights, biases from the counts of the words (0..head + 1): it starts as a unigram model."""
+    r = np.random.default_rng(seed)
+    mass = np.bincount(v.cls, counts, len(v.first) + 2) + 0.5
+    dense = {"u": r.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)), "n": np.zeros(HIDDEN), "o": np.vstack([r.normal(0, 0.05, (HIDDEN, len(mass))), np.log(mass / mass.sum())])}
+    e = np.hstack([r.normal(0, 0.4, (v.head + 2, 3 * HIDDEN)), np.full((v.head + 2, 1), 1e-6)])
+    w = np.zeros((v.rows, HIDDEN + 2))
+    w[:, -1] = 1e-6
+    w[:, -2] = -1e9  # padding
+    w[: v.head, -2] = np.log(np.maximum(counts[1 : v.head + 1], 0.5))
+    return Model(v, {k: x.astype(F32) for k, x in dense.items()}, e.astype(F32), w.astype(F32))
+
+
+def blocks(docs: list[np.ndarray], end: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents cut into rows of `window` tokens: previous token, target (-1: none), document and whether it is a document's first row."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    rows = -(-sizes // window)
+    start = (np.cumsum(rows) - rows) * window
+    flat = np.concatenate([np.asarray(d, np.int32) for d in docs])
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start, sizes)
+    target = np.full(int(rows.sum()) * window, -1, np.int32)
+    target[place] = flat
+    previous = np.full(len(target), end, np.int32)
+    inner = place[:-1][np.diff(np.repeat(np.arange(len(docs)), sizes)) == 0]
+    previous[inner + 1] = target[inner]
+    doc = np.repeat(np.arange(len(docs)), rows)
+    fresh = np.zeros(len(doc), bool)
+    fresh[start // window] = True
+    return previous.reshape(-1, window), target.reshape(-1, window), doc, fresh
+
+
+def schedule(doc: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
+    """Rows that run side by side, a document in one lane from its first row to its last; lanes that have ended are left out at the end."""
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    rows = np.diff(np.append(starts, len(doc)))
+    lanes = int(max(1, min(lanes, len(rows), max(64, rows.sum() // rows.max()))))
+    heap = [(0, i) for i in range(lanes)]
+    dealt: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+    for i in np.argsort(-rows, kind="stable").tolist():
+        n, lane = heap[0]
+        dealt[lane].append(np.arange(starts[i], starts[i] + rows[i]))
+        heapq.heapreplace(heap, (n + int(rows[i]), lane))
+    lists = sorted((np.concatenate(d) for d in dealt), key=len, reverse=True)
+    lengths = np.array([len(x) for x in lists])
+    table = np.zeros((len(lists), lengths[0]), np.int64)
+    for i, x in enumerate(lists):
+        table[i, : len(x)] = x
+    for t in range(lengths[0]):
+        yield table[: np.count_nonzero(lengths > t), t]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,135 +117,157 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _windows(docs: list[np.ndarray], end: int, width: int, window: int) -> Iterator[tuple]:
-    """(previous, target, document, fresh) of each window, for the streams still running; fresh: 0 where a document starts."""
-    prev, target, doc, lengths = streams(docs, end, width)
-    fresh = np.ones(doc.shape, F32)
-    fresh[1:][doc[1:] != doc[:-1]] = 0
-    fresh[:1] = 0
-    for t in range(0, len(prev), window):
-        live = int(np.count_nonzero(lengths > t))
-        yield prev[t : t + window, :live], target[t : t + window, :live], doc[t : t + window, :live], fresh[t : t + window, :live, None]
+def states(model: Model, h: np.ndarray, previous: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States (steps x lanes x HIDDEN) after each of the previous words (steps x lanes), from h on. keep gets what backpropagation needs."""
+    u, bias, x = model.dense["u"], model.dense["n"], model.e[previous, : 3 * HIDDEN]
+    out = np.empty((*previous.shape, HIDDEN), F32)
+    for t in range(len(previous)):
+        a = h @ u
+        g = _sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+        z, r = g[:, :HIDDEN], g[:, HIDDEN:]
+        rec = a[:, 2 * HIDDEN :]
+        rec += bias
+        n = np.tanh(x[t, :, 2 * HIDDEN :] + r * rec)
+        if keep is not None:
+            keep.append((h, z, r, rec, n))
+        h = n + z * (h - n)
+        out[t] = h
+    return out
+
 
+class Outputs:
+    """Log probabilities of target words given states with a 1 behind them, and the gradients of their negative sum."""
 
-def score(p: dict[str, np.ndarray], tab: Tables, v: Vocabulary, docs: list[np.ndarray], end: int, width: int = STREAMS, window: int = WINDOW) -> np.ndarray:
-    """Natural log probability of each document's words, state carried from window to window."""
-    hidden = len(p["n"])
+    def __init__(self, model: Model, s: np.ndarray, target: np.ndarray, train: bool):
+        v, n = model.v, np.arange(len(target))
+        cls = v.cls[target]
+        prob = s @ model.dense["o"]
+        prob -= prob.max(axis=1, keepdims=True)
+        chosen = prob[n, cls]
+        np.exp(prob, out=prob)
+        total = prob.sum(axis=1)
+        self.log_p = chosen - np.log(total)
+        if train:
+            prob /= total[:, None]
+            prob[n, cls] -= 1
+            self.d_o = s.T @ prob
+            self.d_s = prob @ model.dense["o"][:-1].T
+            self.d_w = np.zeros((len(model.w), HIDDEN + 1), F32)
+        order = np.argsort(cls, kind="stable")
+        order = order[np.searchsorted(cls[order], 2) :]
+        sorted_ = cls[order] - 2
+        bounds = np.searchsorted(sorted_, np.arange(len(v.first) + 1))
+        own = s[order]
+        w = np.ascontiguousarray(model.w[:, : HIDDEN + 1])
+        self.classes = [c for c in range(len(v.first)) if bounds[c] < bounds[c + 1]]
+        for width in np.unique(v.width).tolist():  # classes of one width lie together
+            mine = [c for c in self.classes if v.width[c] == width]
+            if not mine:
+                continue
+            lo, hi = bounds[mine[0]], bounds[mine[-1] + 1]
+            inner = np.empty((hi - lo, width), F32)
+            for c in mine:
+                np.matmul(own[bounds[c] : bounds[c + 1]], w[v.first[c] : v.first[c] + width].T, out=inner[bounds[c] - lo : bounds[c + 1] - lo])
+            inner -= inner.max(axis=1, keepdims=True)
+            at, place = np.arange(hi - lo), target[order[lo:hi]] - 1 - v.first[sorted_[lo:hi]]
+            chosen = inner[at, place]
+            np.exp(inner, out=inner)
+            total = inner.sum(axis=1)
+            self.log_p[order[lo:hi]] += chosen - np.log(total)
+            if train:
+                inner /= total[:, None]
+                inner[at, place] -= 1
+                d_own = np.empty((hi - lo, HIDDEN + 1), F32)
+                for c in mine:
+                    a, b, rows = bounds[c] - lo, bounds[c + 1] - lo, slice(v.first[c], v.first[c] + width)
+                    np.matmul(inner[a:b].T, own[bounds[c] : bounds[c + 1]], out=self.d_w[rows])
+                    np.matmul(inner[a:b], w[rows], out=d_own[a:b])
+                    model.seen_w[rows] += b - a
+                self.d_s[order[lo:hi]] += d_own[:, :-1]
+
+
+def with_one(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([s.reshape(-1, HIDDEN), np.ones((s.size // HIDDEN, 1), F32)], axis=1)
+
+
+def score(model: Model, docs: list[np.ndarray], lanes: int = 2 * LANES) -> np.ndarray:
+    """Natural log probability of each document's words, the state carried from window to window."""
     out = np.zeros(len(docs))
-    h = np.zeros((min(width, max(1, len(docs))), hidden), F32)
-    for prev, target, doc, fresh in _windows(docs, end, width, window):
-        steps, live = prev.shape
-        h = h[:live]
-        states = np.empty((steps, live, hidden), F32)
-        for t in range(steps):
-            h = h * fresh[t]
-            x = p["x"][v.cls[prev[t]]] + tab.e[prev[t]] @ p["e"]
-            a = h @ p["u"]
-            g = _sigmoid(x[:, : 2 * hidden] + a[:, : 2 * hidden])
-            z, r = g[:, :hidden], g[:, hidden:]
-            n = np.tanh(x[:, 2 * hidden :] + r * (a[:, 2 * hidden :] + p["n"]))
-            h = n + z * (h - n)
-            states[t] = h
-        flat, words = states.reshape(-1, hidden), target.ravel()
-        logits = flat @ p["o"]
-        logits += p["b"]
-        chosen = logits[np.arange(len(logits)), v.cls[words]].astype(np.float64)
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        np.exp(logits, out=logits)
-        chosen -= np.log(logits.sum(axis=1)) + top[:, 0]
-        d = doc.ravel()
-        ok = d >= 0
-        for lo, hi, at in _by_class(words, ok, v):
-            chosen[at] += np.log(np.maximum(_within(flat[at], lo, hi, tab, v)[np.arange(len(at)), words[at] - lo], 1e-30))
-        out += np.bincount(d[ok], chosen[ok], len(docs))
+    if not docs:
+        return out
+    previous, target, doc, fresh = blocks(docs, model.v.head + 1)
+    h = np.zeros((lanes, HIDDEN), F32)
+    for rows in schedule(doc, lanes):
+        h = h[: len(rows)] * ~fresh[rows, None]
+        s = states(model, h, previous[rows].T)
+        h = s[-1]
+        t = target[rows].T.ravel()
+        ok = t >= 0
+        found = Outputs(model, with_one(s)[ok], t[ok], False)
+        out += np.bincount(np.tile(doc[rows], WINDOW)[ok], found.log_p, len(docs))
     return out
 
 
-def train(p: dict[str, np.ndarray], tab: Tables, v: Vocabulary, seen: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.02, width: int = STREAMS, window: int = WINDOW, word_rate: float = 0.1) -> tuple[dict[str, np.ndarray], int]:
-    """One pass with backpropagation truncated to a window; the state goes on into the next window. The weights and the tokens seen.
-
-    Adam for the weights, plain steps for the tables of words, which change in place; seen gets, for each word, how often it
-    was an input and how often its class was a target."""
-    p = {k: w.copy() for k, w in p.items()}
-    hidden, classes = len(p["n"]), len(p["b"])
-    m = {k: np.zeros_like(w) for k, w in p.items()}
-    v2 = {k: np.zeros_like(w) for k, w in p.items()}
-    h0 = np.zeros((min(width, max(1, len(docs))), hidden), F32)
-    tokens = step = 0
-    total = sum(map(len, docs))
-    for prev, target, doc, fresh in _windows(docs, end, width, window):
-        steps, live = prev.shape
-        h = h0[:live]
-        before, zs, rs, ns, rec = (np.empty((steps, live, hidden), F32) for _ in range(5))
-        states = np.empty((steps, live, hidden), F32)
-        for t in range(steps):
-            h = h * fresh[t]
-            x = p["x"][v.cls[prev[t]]] + tab.e[prev[t]] @ p["e"]
-            a = h @ p["u"]
-            g = _sigmoid(x[:, : 2 * hidden] + a[:, : 2 * hidden])
-            before[t], zs[t], rs[t] = h, g[:, :hidden], g[:, hidden:]
-            rec[t] = a[:, 2 * hidden :] + p["n"]
-            ns[t] = np.tanh(x[:, 2 * hidden :] + rs[t] * rec[t])
-            h = ns[t] + zs[t] * (h - ns[t])
-            states[t] = h
-        h0 = h
-        ok = (doc.ravel() >= 0).astype(F32)
-        n_ok = int(ok.sum())
-        tokens += n_ok
-        flat = states.reshape(-1, hidden)
-        prob = flat @ p["o"]
-        prob += p["b"]
-        prob -= prob.max(axis=1, keepdims=True)
-        np.exp(prob, out=prob)
-        prob /= prob.sum(axis=1, keepdims=True)
-        words = target.ravel()
-        prob[np.arange(len(prob)), v.cls[words]] -= 1
-        prob *= ok[:, None] / max(1, n_ok)
-        grad = {"o": flat.T @ prob, "b": prob.sum(axis=0)}
-        d_flat = prob @ p["o"].T
-        fade = F32(word_rate * (1 - 0.9 * tokens / max(1, total)))
-        for lo, hi, at in _by_class(words, ok > 0, v):
-            own = flat[at]
-            inner = _within(own, lo, hi, tab, v)
-            inner[np.arange(len(at)), words[at] - lo] -= 1
-            d_flat[at] += inner @ tab.w[lo:hi, :-1] / max(1, n_ok)
-            inner *= fade / F32(np.sqrt(len(at)))
-            tab.w[lo:hi, :-1] -= inner.T @ own
-            tab.w[lo:hi, -1] -= inner.sum(axis=0)
-            seen[lo:hi, 1] += len(at)
-        d_states = d_flat.reshape(steps, live, hidden)
-        d_gates = np.empty((steps, live, 3 * hidden), F32)
-        d_x = np.empty((steps, live, 3 * hidden), F32)
-        dh = np.zeros((live, hidden), F32)
-        for t in range(steps - 1, -1, -1):
-            dh = dh + d_states[t]
-            z, r, n = zs[t], rs[t], ns[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dr = dn * rec[t] * r * (1 - r)
-            d_x[t, :, :hidden], d_x[t, :, hidden : 2 * hidden], d_x[t, :, 2 * hidden :] = dz, dr, dn
-            d_gates[t] = d_x[t]
-            d_gates[t, :, 2 * hidden :] *= r
-            dh = (dh * z + d_gates[t] @ p["u"].T) * fresh[t]
-        grad["u"] = before.reshape(-1, hidden).T @ d_gates.reshape(-1, 3 * hidden)
-        grad["n"] = d_gates[:, :, 2 * hidden :].sum(axis=(0, 1))
-        inputs, d_in = prev.ravel(), d_x.reshape(-1, 3 * hidden)
-        order = np.argsort(inputs, kind="stable")
-        ids, starts, times = np.unique(inputs[order], return_index=True, return_counts=True)
-        by_word = np.add.reduceat(d_in[order], starts, axis=0)
-        grad["e"] = tab.e[ids].T @ by_word
-        grad["x"] = np.zeros_like(p["x"])
-        np.add.at(grad["x"], v.cls[ids], by_word)
-        tab.e[ids] -= (by_word @ p["e"].T) * (fade * n_ok / np.sqrt(times).astype(F32))[:, None]
-        seen[ids, 0] += times
-        step += 1
-        now = F32(rate * n_ok / (window * width) * (1 - 0.9 * tokens / max(1, total)))  # smaller where few streams are left, and towards the end
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))
-        scale = F32(min(1.0, 1.0 / norm)) if norm > 0 else F32(1)
-        for k, g in grad.items():
-            g = g * scale
-            m[k] += F32(0.1) * (g - m[k])
-            v2[k] += F32(0.01) * (g * g - v2[k])
-            p[k] -= now * (m[k] / F32(1 - 0.9**step)) / (np.sqrt(v2[k] / F32(1 - 0.99**step)) + F32(1e-6))
-    return p, tokens
+def gradients(model: Model, h: np.ndarray, previous: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Last states, the sum of log probabilities, and of the latter's negative: gradients of the dense weights and of the outputs, words, and gradients of their embeddings."""
+    steps, lanes = previous.shape
+    keep: list[tuple] = []
+    s = states(model, h, previous, keep)
+    flat, t = with_one(s), target.ravel()
+    ok = t >= 0
+    found = Outputs(model, flat[ok], t[ok], True)
+    d_s = np.zeros((steps * lanes, HIDDEN), F32)
+    d_s[ok] = found.d_s
+    d_s = d_s.reshape(steps, lanes, HIDDEN)
+    d_x = np.empty((steps, lanes, 3 * HIDDEN), F32)
+    d_gates = np.empty_like(d_x)
+    dh, u_t = np.zeros((lanes, HIDDEN), F32), model.dense["u"].T
+    for i in range(steps - 1, -1, -1):
+        before, z, r, rec, n = keep[i]
+        dh = dh + d_s[i]
+        dn = dh * (1 - z) * (1 - n * n)
+        d_x[i, :, :HIDDEN] = dh * (before - n) * z * (1 - z)
+        d_x[i, :, HIDDEN : 2 * HIDDEN] = dn * rec * r * (1 - r)
+        d_x[i, :, 2 * HIDDEN :] = dn
+        d_gates[i] = d_x[i]
+        d_gates[i, :, 2 * HIDDEN :] *= r
+        dh = dh * z + d_gates[i] @ u_t
+    g, b = d_gates.reshape(-1, 3 * HIDDEN), np.stack([k[0] for k in keep]).reshape(-1, HIDDEN)
+    dense = {"u": b.T @ g, "n": g[:, 2 * HIDDEN :].sum(axis=0), "o": found.d_o}
+    order = np.argsort(previous, axis=None, kind="stable")
+    words, starts = np.unique(previous.ravel()[order], return_index=True)
+    return s[-1], float(found.log_p.sum()), dense, found.d_w, words, np.add.reduceat(d_x.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+
+
+def train(model: Model, docs: list[np.ndarray], rate: float, word_rate: float, lanes: int = LANES) -> float:
+    """One pass over the documents, model changed in place; the sum of log probabilities on the way.
+
+    Backpropagation is cut at each window, the state goes on. Long documents are cut into segments, so that lanes stay full. Adam for
+    the dense weights, steps divided by the root of the sum of squares for each word's rows."""
+    if not docs:
+        return 0.0
+    docs = [d[a : a + SEGMENT] for d in docs for a in range(0, max(1, len(d)), SEGMENT)]
+    previous, target, doc, fresh = blocks(docs, model.v.head + 1)
+    h, total = np.zeros((lanes, HIDDEN), F32), 0.0
+    for rows in schedule(doc, lanes):
+        h = h[: len(rows)] * ~fresh[rows, None]
+        t = target[rows].T
+        h, log_p, dense, d_w, words, d_e = gradients(model, h, previous[rows].T, t)
+        n = int(np.count_nonzero(t >= 0))
+        total += log_p
+        model.tokens += n
+        model.step += 1
+        share = min(1.0, n / (lanes * WINDOW / 4))  # smaller steps where few lanes are left
+        for k, g in dense.items():
+            g = g / F32(max(n, 1))
+            model.m[k] += F32(0.1) * (g - model.m[k])
+            model.s[k] += F32(0.01) * (g * g - model.s[k])
+            model.dense[k] -= F32(rate * share) * (model.m[k] / F32(1 - 0.9**model.step)) / (np.sqrt(model.s[k] / F32(1 - 0.99**model.step)) + F32(1e-5))
+        model.w[:, -1] += np.einsum("ij,ij->i", d_w, d_w)
+        model.w[:, :-1] -= d_w * (F32(word_rate) / np.sqrt(model.w[:, -1]))[:, None]
+        own = model.e[words]
+        own[:, -1] += np.einsum("ij,ij->i", d_e, d_e)
+        own[:, :-1] -= d_e * (F32(word_rate) / np.sqrt(own[:, -1]))[:, None]
+        model.e[words] = own
+        model.seen_e[words] += 1
+    return total
