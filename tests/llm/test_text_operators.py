@@ -364,6 +364,31 @@ def test_surrogates_stay_distinct(spark):
     assert df.select("text").distinct().count() == len(set(texts)) and df.where(F.col("text").isin(texts)).count() == 0
 
 
+def test_mentions_of_a_person_agree(spark):
+    texts = ["Mr. John Smith came. Later John Smith left, and Mr. Smith and Smith too. John waved; Johnson and Smithy did not.", "Mrs. Anna Smith met Mr. John Smith. Anna Smith and John Smith left.", "John Smith is nobody here.", "Г-н Иван Петров ушёл. Петров вернулся, Иван Петров тоже.", "Ms. Robin Lee and Mr. Robin Poe; Robin Lee, Robin Poe."]
+    a, b, c, d, e = (r["text"] for r in pii.pseudonymised(docs(spark, texts), "key").orderBy("doc_id").collect())
+    first, last = re.match(r"Mr\. (\w+) (\w+) came", a).groups()
+    assert a == f"Mr. {first} {last} came. Later {first} {last} left, and Mr. {last} and {last} too. {first} waved; Johnson and Smithy did not." and {first, last}.isdisjoint({"John", "Smith"})
+    anna = re.match(r"Mrs\. (\w+) ", b)[1]
+    assert b == f"Mrs. {anna} {last} met Mr. {first} {last}. {anna} {last} and {first} {last} left." and anna.endswith("a") and first.endswith("n") and c == texts[2]
+    ivan, petrov = re.match(r"Г-н (\w+) (\w+) ", d).groups()
+    assert d == f"Г-н {ivan} {petrov} ушёл. {petrov} вернулся, {ivan} {petrov} тоже." and re.fullmatch("[А-Яа-я]+", ivan + petrov) and "Иван" not in d
+    ms, lee, mr, poe = re.match(r"Ms\. (\w+) (\w+) and Mr\. (\w+) (\w+);", e).groups()
+    assert ms != mr and e.endswith(f"; {ms} {lee}, {mr} {poe}.")
+
+
+def test_surrogates_keep_script_columns_and_odd_characters(spark):
+    rows = [(1, "иван@mail.com \uffff a@b.org \uffff", "kept", 9), (2, "γιαννης@mail.gr", None, None), (2, "no \uffff thing", "x", 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "_id int, text string, n_entities string, uid int")
+    made = pii.pseudonymised(df, "key")
+    assert made.columns == ["_id", "text", "n_entities", "uid", "n_entities_", "entity_kinds"]
+    got = {(r["_id"], r["n_entities"]): r for r in made.collect()}
+    assert re.fullmatch(r"[а-я]{4}@[a-z]{4}\.com \uffff [a-z]@[a-z]\.org \uffff", got[1, "kept"]["text"]) and "иван" not in got[1, "kept"]["text"] and got[1, "kept"]["n_entities_"] == 2
+    assert re.fullmatch(r"[α-ω]{7}@[a-z]{4}\.gr", got[2, None]["text"]) and got[2, "x"]["text"] == "no \uffff thing" and got[None, None]["text"] == "" and got[1, "kept"]["uid"] == 9
+    only = pii.pseudonymised(df.select("text"), "key")
+    assert only.columns == ["text", "n_entities", "entity_kinds"] and only.count() == 4
+
+
 def test_secrets_in_capitals(spark):
     token = "ab12" + "9c3f" * 9
     texts = [f"TOKEN = {token}", f'TOKEN = "{token.upper()}"', f"x {token[:32].upper()} y", f"x {token[:32]} y", "GHP_" + "A1B2C3D4E5" * 3, "iban DE89 3704 0044 0532 0130 00"]
