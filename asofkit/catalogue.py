@@ -3,7 +3,9 @@ their monthly mean discount the signal, and the events are bitemporal facts know
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ AS_OF = "2024-01-15 00:00:00"
 #: Dates that queries give, as text in both engines.
 DATES = {
     "asof_backward_price": "day month_matched", "asof_strict_before": "day month_matched", "complete_case_dates": "month", "unpivot_bars": "month", "metric_ratio_reasons": "quarter", "concept_fallback_coalesce": "quarter",
-    "panel_growth": "quarter", "panel_windows": "month", "factor_transforms": "month", "factor_winsorize": "month", "pearson_ic": "month", "spearman_ic": "month", "quantile_buckets": "month", "long_short_factor": "month",
+    "panel_growth": "quarter", "panel_windows": "month", "factor_transforms": "month", "factor_winsorize": "month", "pearson_ic": "month", "spearman_ic": "month", "quantile_buckets": "month", "long_short_factor": "month", "ols_multi_factor": "month", "walkforward_two_asset": "month",
     "running_drawdown": "month", "split_adjust_product": "month", "walkforward_windows": "month", "multiplicity": "month", "net_of_cost_first_period": "month", "top_n_selection": "month", "business_day_calendar": "day", "month_end_schedule": "day month_end sticky",
 }
 
@@ -84,7 +86,7 @@ prices as (
     sum(l_extendedprice::decimal(18,2))::double / nullif(sum(l_quantity::decimal(18,2))::double, 0) as close,
     sum(l_discount::decimal(18,2))::double / count(*) as signal
   from lineitem group by 1, 2),
-fwd as (select *, lead(close) over (partition by security_id order by month) / nullif(close, 0) - 1 as fwd from prices)"""
+fwd as (select *, case when close > 0 then lead(close) over (partition by security_id order by month) / close - 1 end as fwd from prices)"""
 SEGMENTS = """
 levels as (
   select c_mktsegment as series_id, date_trunc('month', o_orderdate)::date as month, sum(o_totalprice::decimal(18,2))::double as level
@@ -221,7 +223,7 @@ def amendment_self_join(spark: SparkSession, d: str) -> DataFrame:
     return sets.amendment_links(rows).select("filing_id", "company_id", "amends", "confidence")
 
 
-@query("select 'cik:' || lpad(c_custkey::varchar, 10, '0') as company_id, sha256('customer' || chr(0) || c_custkey::varchar || chr(0) || c_name) as content_id, trim(regexp_replace(regexp_replace(upper(c_name), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as plain from customer")
+@query("select 'cik:' || lpad(c_custkey::varchar, 10, '0') as company_id, sha256('customer' || chr(0) || c_custkey::varchar || chr(0) || c_name) as content_id, trim(regexp_replace(upper(c_name), '\\s+', ' ', 'g')) as plain from customer")
 def id_sha256(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer")
     key, name = F.col("c_custkey"), F.col("c_name")
@@ -278,7 +280,7 @@ def panel_growth(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {PRICES} select security_id, month, (close + lag(close) over w) / 2 as average,
   case when count(close) over (w rows between 3 preceding and current row) = 4 then {sq("sum(close) over (w rows between 3 preceding and current row)")} end as ttm,
-  case when count(close) over (w rows between 6 preceding and 1 preceding) = 6 then {sq("close - median(close) over (w rows between 6 preceding and 1 preceding)")} end as level
+  case when row_number() over w > 6 then {sq("close - median(close) over (w rows between 6 preceding and 1 preceding)")} end as level
 from prices window w as (partition by security_id order by month)""".replace("over (w rows", "over (partition by security_id order by month rows"))
 def panel_windows(spark: SparkSession, d: str) -> DataFrame:
     df, k = prices(spark, d), (["security_id"], "month", "close")
@@ -340,10 +342,26 @@ def quantile_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(b.groupBy("month", "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean")), "mean")
 
 
-@query(f"with {PRICES}, {_BUCKETS} select month, {sq('avg(fwd) filter (where bucket = 3)')} as top, {sq('avg(fwd) filter (where bucket = 0)')} as bottom, {sq('avg(fwd) filter (where bucket = 3) - avg(fwd) filter (where bucket = 0)')} as spread from b group by 1")
+_LEGS = _BUCKETS.replace(">= 4 then", ">= 8 then")
+
+
+@query(f"with {PRICES}, {_LEGS} select month, {sq('avg(fwd) filter (where bucket = 3)')} as long, {sq('avg(fwd) filter (where bucket = 0)')} as short, {sq('avg(fwd) filter (where bucket = 3) - avg(fwd) filter (where bucket = 0)')} as ret, case when max(bucket) is null then 'INSUFFICIENT_MEMBERS' end as reason from b group by 1")
 def long_short_factor(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(panels.long_short(with_forward(spark, d), ["month"], "signal", "security_id", "fwd", 4), "long", "short", "ret")
+
+
+@query(f"""with {PRICES}, {_BUCKETS}, m as (select month, bucket, avg(fwd) as mean from b where bucket is not null group by 1, 2), all_ as (select month, q.bucket from (select distinct month from b) cross join (select unnest(range(4)) as bucket) q)
+select bucket, count(mean) as n_dates, {sq('avg(mean)')} as mean, count(*) filter (where mean is null) as empty from all_ left join m using (month, bucket) group by 1""")
+def bucket_profile(spark: SparkSession, d: str) -> DataFrame:
     b = panels.quantile_buckets(with_forward(spark, d).where("fwd is not null"), ["month"], "signal", "security_id", 4)
-    return _quantised(panels.spread_by_date(b, ["month"], "bucket", "fwd", 4), "top", "bottom", "spread")
+    means = panels.bucket_means(b, ["month"], "bucket", "fwd", 4)
+    empty = means.groupBy("bucket").agg(F.count("reason").alias("empty"))
+    return _quantised(panels.mean_of_means(means, "bucket").join(empty, "bucket"), "mean").select("bucket", "n_dates", "mean", "empty")
+
+
+@query(f"with {PRICES} select count(*) as n, count(*) filter (where fwd is not null and signal is not null and close is not null) as kept, count(*) filter (where signal is null) as dropped_signal, count(*) filter (where signal is not null and close is null) as dropped_close, count(*) filter (where signal is not null and close is not null and fwd is null) as dropped_fwd from fwd")
+def complete_case_counts(spark: SparkSession, d: str) -> DataFrame:
+    return panels.complete_cases(with_forward(spark, d), ["signal", "close", "fwd"])[1]
 
 
 # series
@@ -369,7 +387,7 @@ def drawdown_episode(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(series.worst_episode(segment_returns(spark, d).select("series_id", "month", "level"), ["series_id"], "month", "level"), "max_drawdown")
 
 
-@query(f"with {SEGMENTS}, c as (select series_id, quantile_cont(ret, 0.05) as cut from returns where ret is not null group by 1) select series_id, {sq('-min(cut)')} as var, {sq('-avg(ret)')} as cvar from returns join c using (series_id) where ret <= cut group by 1")
+@query(f"with {SEGMENTS}, k as (select series_id, ret, row_number() over (partition by series_id order by ret) as i, greatest(1, ceil(round(0.05 * count(*) over (partition by series_id), 9))) as k from returns where ret is not null) select series_id, {sq('max(ret)')} as var, {sq('avg(ret)')} as cvar from k where i <= k group by 1")
 def var_cvar(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(series.value_at_risk(segment_returns(spark, d), ["series_id"], "ret"), "var", "cvar")
 
@@ -399,17 +417,30 @@ def split_adjust_product(spark: SparkSession, d: str) -> DataFrame:
 
 # research
 
-_PAIRS = "ok as (select * from returns where ret is not null), x as (select a.series_id as i, b.series_id as j, a.ret as p, b.ret as q from ok a join ok b on a.month = b.month and a.series_id {op} b.series_id)"
+_COMPLETE = "ok as (select series_id, month, ret from returns where ret is not null and month in (select month from returns where ret is not null group by 1 having count(distinct series_id) = (select count(distinct series_id) from returns where ret is not null)))"
+_PAIRS = _COMPLETE + ", x as (select a.series_id as i, b.series_id as j, a.ret as p, b.ret as q from ok a join ok b on a.month = b.month and a.series_id <= b.series_id)"
+_BOTH = "ok as (select * from returns where ret is not null), x as (select a.series_id as i, b.series_id as j, a.ret as p, b.ret as q from ok a join ok b on a.month = b.month and a.series_id < b.series_id)"
 
 
-@query(f"with {SEGMENTS}, {_PAIRS.format(op='<=')} select i, j, count(*) as n, {sq('covar_pop(p, q)')} as cov, {sq('covar_pop(p, q) / sqrt(var_pop(p) * var_pop(q))')} as corr from x group by 1, 2")
+@query(f"with {SEGMENTS}, {_PAIRS} select i, j, count(*) as n, {sq('covar_pop(p, q)')} as cov, {sq('covar_pop(p, q) / sqrt(var_pop(p) * var_pop(q))')} as corr, {sq('covar_pop(p, q) * 12')} as cov_year, case when i = j then {sq('sqrt(covar_pop(p, q) * 12)')} end as vol_year from x group by 1, 2")
 def covariance_upper_tri(spark: SparkSession, d: str) -> DataFrame:
-    return _quantised(research.upper_triangle(segment_returns(spark, d), "series_id", "month", "ret"), "cov", "corr")
+    return _quantised(research.upper_triangle(segment_returns(spark, d), "series_id", "month", "ret", per_year=12), "cov", "corr", "cov_year", "vol_year")
 
 
-@query(f"with {SEGMENTS}, {_PAIRS.format(op='<')}, m as (select i, j, count(*) as n, avg(p - q) as d, sqrt(var_pop(p - q) / count(*)) as se from x group by 1, 2) select i, j, n, {sq('d')} as mean_diff, {sq('se')} as se, {sq('d / se')} as t from m")
+@query(f"with {SEGMENTS}, {_PAIRS}, c as (select i, j, covar_pop(p, q) as cov from x group by 1, 2) select i, j, {sq('cov')} as cov from c union all select j, i, {sq('cov')} from c where i <> j")
+def dense_covariance(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(research.dense_matrix(research.upper_triangle(segment_returns(spark, d), "series_id", "month", "ret")), "cov").select("i", "j", "cov")
+
+
+#: Phi by Simpson's rule on 600 intervals from 0, for SQL.
+def phi_sql(x: str) -> str:
+    return f"(0.5::double + ({x}) / 1800.0::double * list_sum(list_transform(range(0, 601), lambda i: case when i in (0, 600) then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(({x}) * i / 600.0::double, 2) / 2))) / sqrt(2 * pi()))"
+
+
+@query(f"""with {SEGMENTS}, {_BOTH}, m as (select i, j, count(*) as n, avg(p - q) as d, sqrt(var_pop(p - q) / count(*)) as se, avg(p) / stddev_pop(p) - avg(q) / stddev_pop(q) as s from x group by 1, 2)
+select i, j, n, {sq('d')} as mean_diff, {sq('se')} as se, {sq('d / se')} as t, {sq(f"2 * {phi_sql('-abs(d / se)')}")} as p, {sq('s')} as sharpe_diff, null::varchar as reason from m""")
 def paired_difference_t(spark: SparkSession, d: str) -> DataFrame:
-    return _quantised(research.paired_differences(segment_returns(spark, d), "series_id", "month", "ret"), "mean_diff", "se", "t")
+    return _quantised(research.paired_differences(segment_returns(spark, d), "series_id", "month", "ret"), "mean_diff", "se", "t", "p", "sharpe_diff")
 
 
 _OLS = """m as (select {by}, count(*) as n, avg({x}) as mx, avg({y}) as my, var_pop({x}) as vx, var_pop({y}) as vy, covar_pop({y}, {x}) as c from {source} group by 1), o as (select *, c / nullif(vx, 0) as beta, n * (vy - c / nullif(vx, 0) * c) as rss from m)"""
@@ -420,16 +451,21 @@ def ols_one_factor(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.ols_one(_against(spark, d), ["series_id"], "ret", "bench"), "alpha", "beta", "r2", "se_beta", "t_beta")
 
 
-@query(f"with {PRICES}, ok as (select * from fwd where fwd is not null and signal is not null), {_OLS.format(by='month', x='signal', y='fwd', source='ok')} select count(*) as m, {sq('avg(beta)')} as premium, {sq('stddev_pop(beta) / sqrt(count(*))')} as se, {sq('avg(beta) / (stddev_pop(beta) / sqrt(count(*)))')} as t from o where beta is not null")
+@query(f"with {PRICES}, ok as (select * from fwd where fwd is not null and signal is not null), {_OLS.format(by='month', x='signal', y='fwd', source='ok')} select count(*) as m, {sq('avg(beta)')} as premium, {sq('stddev_pop(beta) / sqrt(count(*))')} as se, {sq('avg(beta) / (stddev_pop(beta) / sqrt(count(*)))')} as t, null::varchar as reason from o where beta is not null")
 def fama_macbeth_one_factor(spark: SparkSession, d: str) -> DataFrame:
     slopes = research.ols_one(with_forward(spark, d), ["month"], "fwd", "signal")
     return _quantised(research.fama_macbeth(slopes, [], "beta"), "premium", "se", "t")
 
 
-@query()
+@query(f"""with {PRICES}, ok as (select month, fwd as y, signal as a, close as b from fwd where fwd is not null and signal is not null and close is not null and month < date '1996-01-01'),
+m as (select month, count(*)::double as n, avg(y) as my, avg(a) as ma, avg(b) as mb, count(*) * var_pop(a) as aa, count(*) * var_pop(b) as bb, count(*) * covar_pop(a, b) as ab, count(*) * covar_pop(y, a) as ya, count(*) * covar_pop(y, b) as yb, count(*) * var_pop(y) as yy from ok group by 1),
+c as (select *, (ya * bb - yb * ab) / (aa * bb - ab * ab) as ca, (yb * aa - ya * ab) / (aa * bb - ab * ab) as cb from m),
+r as (select *, yy - ca * ya - cb * yb as rss, (yy - ca * ya - cb * yb) / (n - 3) as s2, aa * bb - ab * ab as det from c),
+t as (select month, n, 'intercept' as term, my - ca * ma - cb * mb as coef, sqrt(s2 * (1 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) as se, 1.0::double as mx, rss, yy, s2 from r union all select month, n, 'signal', ca, sqrt(s2 * bb / det), ma, rss, yy, s2 from r union all select month, n, 'close', cb, sqrt(s2 * aa / det), mb, rss, yy, s2 from r)
+select month, n::bigint as n, term, {sq('coef')} as coef, {sq('se')} as se, {sq('coef / se')} as t, {sq('coef * mx')} as contribution, {sq('1 - rss / yy')} as r2, {sq('1 - rss / yy * (n - 1) / (n - 3)')} as adj_r2, {sq('sqrt(s2)')} as residual_se, null::varchar as reason from t""")
 def ols_multi_factor(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_forward(spark, d).withColumn("signal2", F.col("signal") * F.col("close"))
-    return _quantised(research.ols_many(rows, ["month"], "fwd", ["signal", "signal2"]), "coef", "se", "t", "r2")
+    rows = with_forward(spark, d).where(F.col("month") < F.lit("1996-01-01").cast("date"))
+    return _quantised(research.ols_many(rows, ["month"], "fwd", ["signal", "close"]), "coef", "se", "t", "contribution", "r2", "adj_r2", "residual_se")
 
 
 @query()
@@ -437,6 +473,18 @@ def gmv_n_asset(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.minimum_variance(research.upper_triangle(segment_returns(spark, d), "series_id", "month", "ret")), "weight", "variance")
 
 
+_THREE = "('AUTOMOBILE', 'BUILDING', 'FURNITURE')"
+
+
+@query(f"""with {SEGMENTS}, ok as (select month, max(ret) filter (where series_id = 'AUTOMOBILE') as x, max(ret) filter (where series_id = 'BUILDING') as y, max(ret) filter (where series_id = 'FURNITURE') as z from returns where ret is not null and series_id in {_THREE} group by 1 having count(*) = 3),
+m as (select var_pop(x) as a, var_pop(y) as b, var_pop(z) as c, covar_pop(x, y) as d, covar_pop(x, z) as e, covar_pop(y, z) as f from ok),
+k as (select b * c - f * f - d * c + e * f + d * f - e * b as p, a * c - e * e - d * c + e * f - a * f + d * e as q, a * b - d * d + d * f - b * e - a * f + d * e as r, a * (b * c - f * f) - d * (d * c - e * f) + e * (d * f - b * e) as det from m)
+select 'AUTOMOBILE' as series, {sq("p / (p + q + r)")} as weight, {sq("det / (p + q + r)")} as variance from k union all select 'BUILDING', {sq("q / (p + q + r)")}, {sq("det / (p + q + r)")} from k union all select 'FURNITURE', {sq("r / (p + q + r)")}, {sq("det / (p + q + r)")} from k""")
+def gmv_three_asset_closed_form(spark: SparkSession, d: str) -> DataFrame:
+    rows = segment_returns(spark, d).where(F.col("series_id").isin("AUTOMOBILE", "BUILDING", "FURNITURE"))
+    return _quantised(research.minimum_variance(research.upper_triangle(rows, "series_id", "month", "ret")), "weight", "variance")
+
+
 @query(f"""with {SEGMENTS}, r as (select a.month, a.ret as x, b.ret as y from returns a join returns b on a.month = b.month and a.series_id = 'AUTOMOBILE' and b.series_id = 'BUILDING' where a.ret is not null and b.ret is not null), m as (select var_pop(x) as a, var_pop(y) as b, covar_pop(x, y) as c from r)
 select 'AUTOMOBILE' as series, {sq("(b - c) / (a + b - 2 * c)")} as weight, {sq("(a * b - c * c) / (a + b - 2 * c)")} as variance from m union all select 'BUILDING', {sq("(a - c) / (a + b - 2 * c)")}, {sq("(a * b - c * c) / (a + b - 2 * c)")} from m""")
 def gmv_two_asset_closed_form(spark: SparkSession, d: str) -> DataFrame:
@@ -452,18 +500,40 @@ def walkforward_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walkforward_gmv(spark: SparkSession, d: str) -> DataFrame:
-    return _quantised(research.walk_forward(segment_returns(spark, d).where("ret is not null"), "series_id", "month", "ret", 24, 12), "oos_return", "predicted_variance")
+    return _quantised(research.walk_forward(segment_returns(spark, d), "series_id", "month", "ret", 24, 12), "oos_return", "predicted_variance")
 
 
-def _realised(spark: SparkSession, d: str) -> DataFrame:
-    w = research.walk_forward(segment_returns(spark, d).where("ret is not null"), "series_id", "month", "ret", 24, 12)
-    return w.groupBy("window").agg(F.max("predicted_variance").alias("predicted"), F.when(F.count("*") > 1, F.var_pop("oos_return")).alias("realised"))
+#: Minimum variance of two series on windows of 24 months, applied to the 12 after them.
+_WALK = f"""{SEGMENTS}, two as (select month, max(ret) filter (where series_id = 'AUTOMOBILE') as x, max(ret) filter (where series_id = 'BUILDING') as y from returns where ret is not null and series_id in ('AUTOMOBILE', 'BUILDING') group by 1 having count(*) = 2),
+p as (select *, row_number() over (order by month) - 1 as i from two), wins as (select unnest(range(0, (select (max(i) - 24) // 12 + 1 from p))) as win),
+c as (select win, var_pop(x) as a, var_pop(y) as b, covar_pop(x, y) as c from wins join p on i >= win * 12 and i < win * 12 + 24 group by 1), g as (select win, (b - c) / (a + b - 2 * c) as w, (a * b - c * c) / (a + b - 2 * c) as v from c),
+walk as (select g.win, month, w * x + (1 - w) * y as r, v from g join p on i >= 24 + win * 12 and i < 36 + win * 12),
+cal as (select win, count(*) as n, max(v) as predicted, case when count(*) > 1 then var_pop(r) end as realised from walk group by 1)"""
 
 
-@query()
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    rows = segment_returns(spark, d).where(F.col("series_id").isin("AUTOMOBILE", "BUILDING"))
+    return research.walk_forward(rows, "series_id", "month", "ret", 24, 12)
+
+
+@query(f"""with {_WALK} select win as "window", month, {sq("r")} as oos_return, {sq("v")} as predicted_variance from walk""")
+def walkforward_two_asset(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(_two(spark, d), "oos_return", "predicted_variance")
+
+
+@query(f"""with {_WALK} select win as "window", n, {sq("predicted")} as predicted, {sq("realised")} as realised, case when predicted is null then 'PREDICTED_VARIANCE_UNDEFINED' when predicted <= 0 then 'ZERO_PREDICTED_VARIANCE' when realised is null then 'SINGLE_VALID_PERIOD' end as reason from cal""")
+def realised_variance(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(research.realised(_two(spark, d)), "predicted", "realised")
+
+
+_RATIOS = f"""{_WALK}, q as (select realised / predicted as r, predicted, realised from cal where realised is not null and predicted > 0), k as (select count(*) as n, avg(r) as mean, sum(realised) / sum(predicted) as pooled, stddev_pop(r) as sd, avg((r > 1)::int) as under, max(r) as hi, min(r) as lo from q)"""
+
+
+@query(f"""with {_RATIOS} select n, {sq("mean")} as mean_ratio, {sq("pooled")} as pooled_bias, {sq("sd")} as dispersion, {sq("under")} as under_forecast, {sq("hi")} as max_ratio, {sq("lo")} as min_ratio, null::varchar as reason, {sq("(mean - 1) / (sd / sqrt(n))")} as t,
+{sq(f"2 * {phi_sql('-abs((mean - 1) / (sd / sqrt(n)))')}")} as p, case when mean > 1 then 'UNDER_FORECAST' when mean < 1 then 'OVER_FORECAST' else 'NONE' end as bias from k""")
 def variance_ratio_calibration(spark: SparkSession, d: str) -> DataFrame:
-    m = research.calibration(_realised(spark, d), [], "predicted", "realised")
-    return _quantised(m.withColumn("p", research.two_sided_p(F.col("t"))), *[c for c in (*m.columns, "p") if c != "n"])
+    m = research.calibration(research.realised(_two(spark, d)), [], "predicted", "realised")
+    return _quantised(m, *[c for c in m.columns if c not in ("n", "reason", "bias")])
 
 
 def _trials(spark: SparkSession, d: str) -> DataFrame:
@@ -472,15 +542,36 @@ def _trials(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.array_position(names, F.col("series_id")).cast("long").alias("trial"), "series_id", "sharpe", "n", "skew", (F.col("kurtosis") + 3).alias("kurtosis"))
 
 
-@query()
+_EXPECTED = (1 - research.EULER) * NormalDist().inv_cdf(1 - 1 / 5) + research.EULER * NormalDist().inv_cdf(1 - 1 / (5 * math.e))
+_TRIALS = f"""{SEGMENTS}, m as (select series_id, count(*) as n, avg(ret) as mu, stddev_pop(ret) as sd from returns where ret is not null group by 1),
+z as (select r.series_id, avg(pow((ret - mu) / sd, 3)) as skew, avg(pow((ret - mu) / sd, 4)) as kurtosis from returns r join m using (series_id) where ret is not null group by 1),
+trials as (select row_number() over (order by series_id) as trial, series_id, mu / sd as sharpe, n, skew, kurtosis, 1 - skew * mu / sd + (kurtosis - 1) / 4 * (mu / sd) * (mu / sd) as v from m join z using (series_id)), best as (select sqrt(var_pop(sharpe)) * {_EXPECTED!r}::double as star, max(sharpe) as top from trials)"""
+
+
+@query(f"""with {_TRIALS} select trial, series_id, {sq("sharpe")} as sharpe, n, {sq("skew")} as skew, {sq("kurtosis")} as kurtosis, {sq(phi_sql("sharpe * sqrt(n - 1) / sqrt(v)"))} as psr, {sq(phi_sql("(sharpe - star) * sqrt(n - 1) / sqrt(v)"))} as deflated, sharpe = top as selected, null::varchar as reason from trials, best""")
 def psr_dsr(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.campaign(_trials(spark, d), "trial", "sharpe", "n", "skew", "kurtosis"), "sharpe", "skew", "kurtosis", "psr", "deflated")
 
 
-@query()
+@query(f"""with {_TRIALS} select trial, series_id, case when sharpe > 0 then {sq(f"1 + v * pow({NormalDist().inv_cdf(0.95)!r}::double / sharpe, 2)")} end as min_length, n, n >= case when sharpe > 0 then 1 + v * pow({NormalDist().inv_cdf(0.95)!r}::double / sharpe, 2) end as sufficient, case when v <= 0 then 'DEGENERATE_SHARPE_ESTIMATOR' when sharpe <= 0 then 'SHARPE_NOT_ABOVE_BENCHMARK' end as reason from trials""")
 def mintrl(spark: SparkSession, d: str) -> DataFrame:
-    t = _trials(spark, d)
-    return t.select("trial", "series_id", q6(research.minimum_track_record(F.col("sharpe"), F.col("skew"), F.col("kurtosis"), F.lit(0.0))).alias("min_length"), "n")
+    t = research.track_records(_trials(spark, d), "trial", "sharpe", "n", "skew", "kurtosis")
+    return _quantised(t, "min_length").select("trial", "series_id", "min_length", "n", "sufficient", "reason")
+
+
+@query(f"""with {_TRIALS}, l as (select n, case when sharpe > 0 and v > 0 then 1 + v * pow({NormalDist().inv_cdf(0.95)!r}::double / sharpe, 2) end as m from trials)
+select count(m) as n_determined, {sq("avg(m)")} as mean, {sq("stddev_pop(m)")} as dispersion, {sq("max(m)")} as longest, {sq("min(m)")} as shortest, {sq("avg((n >= m)::int) filter (where m is not null)")} as sufficient_share, case when count(m) >= 2 then 'EVALUATED' else 'UNDEFINED' end as status, case when count(m) < 2 then 'INSUFFICIENT_DETERMINED_TRIALS' end as reason from l""")
+def mintrl_profile(spark: SparkSession, d: str) -> DataFrame:
+    t = research.track_records(_trials(spark, d), "trial", "sharpe", "n", "skew", "kurtosis")
+    return _quantised(research.track_record_profile(t), "mean", "dispersion", "longest", "shortest", "sufficient_share")
+
+
+@query(f"""with {_TRIALS}, p as (select trial, series_id, 1 - {phi_sql("sharpe * sqrt(n - 1) / sqrt(v)")} as p from trials), k as (select *, row_number() over (order by p, trial) as i, count(*) over () as m from p)
+select trial, series_id, {sq("p")} as p, {sq("least(1, p * m)")} as bonferroni, {sq("least(1, max(p * (m - i + 1)) over (order by p, trial rows unbounded preceding))")} as holm, {sq("least(1, min(p * m / i) over (order by p, trial rows between current row and unbounded following))")} as bh, least(1, min(p * m / i) over (order by p, trial rows between current row and unbounded following)) <= 0.05 as rejected from k""")
+def campaign_multiplicity(spark: SparkSession, d: str) -> DataFrame:
+    c = research.campaign(_trials(spark, d), "trial", "sharpe", "n", "skew", "kurtosis").withColumn("p", F.lit(1.0) - F.col("psr")).withColumn("family", F.lit(1))
+    a = research.adjusted_p(c, ["family"], "trial", "p").withColumn("rejected", F.col("bh") <= 0.05)
+    return _quantised(a, "p", "bonferroni", "holm", "bh").select("trial", "series_id", "p", "bonferroni", "holm", "bh", "rejected")
 
 
 _P = f"{PRICES}, ok as (select * from fwd where fwd is not null and signal is not null), i as ({_ic_sql('signal', 'fwd', 'ok')}), tests as (select month, extract(year from month)::bigint as year, case when ic_reason is null then least(1.0::double, abs(ic)) end as p from i)"
@@ -510,6 +601,14 @@ def stability_turnover_gap(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.turnover(_yearly_weights(spark, d), [], "win", "series", "weight"), "turnover")
 
 
+_TURNS = f"{_WEIGHTS}, wins as (select distinct win from w), turns as (select a.win, case when b.win is not null then (select sum(abs(coalesce(x.weight, 0) - coalesce(y.weight, 0))) / 2 from (select * from w where win = a.win) x full join (select * from w where win = a.win - 1) y using (series)) end as turnover from wins a left join wins b on b.win = a.win - 1)"
+
+
+@query(f"with {_TURNS} select count(turnover) as n_transitions, {sq('avg(turnover)')} as mean, {sq('stddev_pop(turnover)')} as dispersion, {sq('max(turnover)')} as most, {sq('min(turnover)')} as fewest, case when count(turnover) >= 2 then 'STABLE' else 'UNDEFINED' end as status, case when count(turnover) < 2 then 'INSUFFICIENT_TRANSITIONS' end as reason from turns")
+def stability_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(research.stability(research.turnover(_yearly_weights(spark, d), [], "win", "series", "weight"), [], "turnover"), "mean", "dispersion", "most", "fewest")
+
+
 @query(f"with {_WEIGHTS} select win, {sq('sum(abs(weight))')} as gross, {sq('sum(weight * weight)')} as hhi, {sq('max(abs(weight))')} as max_weight, {sq('1 / sum(weight * weight)')} as breadth from w group by 1")
 def hhi_breadth(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.concentration(_yearly_weights(spark, d), ["win"], "weight"), "gross", "hhi", "max_weight", "breadth")
@@ -521,12 +620,31 @@ def net_of_cost_first_period(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(research.net_of_cost(rows, ["series_id"], "win", "month", "ret", "turnover", 0.1), "cost", "net").select("series_id", "month", "cost", "net")
 
 
-@query()
+_COSTED = f"""{SEGMENTS}, {_TURNS}, r as (select series_id, (year(month) - 1990)::bigint as win, month, ret from returns where ret is not null), costed as (select series_id, ret, coalesce(case when row_number() over (partition by series_id, r.win order by month) = 1 then turnover * 0.1 end, 0) as cost from r left join turns t on t.win = r.win),
+drags as (select series_id, count(*) as n, avg(ret) as gm, stddev_pop(ret) as gv, avg(ret - cost) as nm, stddev_pop(ret - cost) as nv, sum(cost) as total from costed group by 1)"""
+
+
+def _drags(spark: SparkSession, d: str) -> DataFrame:
+    turns = research.turnover(_yearly_weights(spark, d), [], "win", "series", "weight")
+    rows = segment_returns(spark, d).where("ret is not null").withColumn("win", (F.year("month") - 1990).cast("long")).join(turns, "win", "left")
+    return research.cost_drags(research.net_of_cost(rows, ["series_id"], "win", "month", "ret", "turnover", 0.1), ["series_id"], "ret")
+
+
+@query(f"""with {_COSTED} select series_id, n, {sq("gm")} as gross_mean, {sq("nm")} as net_mean, {sq("gm / gv * sqrt(12)")} as gross_sharpe, {sq("nm / nv * sqrt(12)")} as net_sharpe, {sq("gm - nm")} as mean_drag, {sq("(gm / gv - nm / nv) * sqrt(12)")} as sharpe_drag, {sq("total")} as total_cost, nm > 0 as profitable, {sq("nm / nv * sqrt(n)")} as t, {sq(phi_sql("-(nm / nv * sqrt(n))"))} as p from drags""")
+def net_of_cost_drags(spark: SparkSession, d: str) -> DataFrame:
+    m = _drags(spark, d)
+    numbers = ["gross_mean", "net_mean", "gross_sharpe", "net_sharpe", "mean_drag", "sharpe_drag", "total_cost", "t", "p"]
+    return _quantised(m, *numbers).select("series_id", "n", *numbers[:7], "profitable", "t", "p")
+
+
+@query(f"""with {_COSTED}, stab as (select count(turnover) >= 2 as stable from turns), cal as (with {_RATIOS} select case when n >= 2 and hi > lo then 2 * {phi_sql('-abs((mean - 1) / (sd / sqrt(n)))')} end as p from k),
+v as (select series_id, case when stable then 'PASS' else 'UNDEFINED' end as stability, case when cal.p is null then 'UNDEFINED' when cal.p > 0.05 then 'PASS' else 'FAIL' end as calibration, case when {phi_sql("-(nm / nv * sqrt(n))")} <= 0.05 and nm > 0 then 'PASS' else 'FAIL' end as net_edge from drags, stab, cal)
+select *, case when 'UNDEFINED' in (stability, calibration, net_edge) then 'UNDEFINED' when 'FAIL' in (stability, calibration, net_edge) then 'INADMISSIBLE' else 'ADMISSIBLE' end as verdict from v""")
 def admissibility_rollup(spark: SparkSession, d: str) -> DataFrame:
-    cal = variance_ratio_calibration(spark, d).select(F.col("p").alias("calibration_p"))
-    net = series.summary(net_of_cost_first_period(spark, d), ["series_id"], "net").select("series_id", F.col("mean").alias("net_mean"), (F.lit(1.0) - s.normal_cdf(F.col("t_stat"))).alias("net_p"))
-    both = net.join(F.broadcast(cal), F.lit(True))  # cal is one row
-    return both.select("series_id", research.admissibility(F.lit(True), F.col("calibration_p"), F.col("net_p"), F.col("net_mean")).alias("verdict"))
+    stable = research.stability(research.turnover(_yearly_weights(spark, d), [], "win", "series", "weight"), [], "turnover").select((F.col("status") == "STABLE").alias("stable"))
+    cal = research.calibration(research.realised(_two(spark, d)), [], "predicted", "realised").select(F.col("p").alias("calibration_p"))
+    both = _drags(spark, d).join(F.broadcast(stable), F.lit(True)).join(F.broadcast(cal), F.lit(True))  # stable and cal are one row each
+    return both.select("series_id", research.admissibility(F.col("stable"), F.col("calibration_p"), F.col("p"), F.col("profitable")).alias("a")).select("series_id", "a.*")
 
 
 # backtests
@@ -572,11 +690,15 @@ def month_end_schedule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderdate").distinct().select(day.alias("day"), F.last_day(day).alias("month_end"), s.add_months_sticky(day, 1).alias("sticky"))
 
 
-@query("""
-with h as (select distinct user_id % 10 as part, sha256(event_id::varchar) as h from events), l as (select part, h[1:2] as leaf, sha256(string_agg(h, '' order by h)) as h, count(*) as n from h group by 1, 2)
-select part, sha256(string_agg(h, '' order by leaf)) as root, sum(n)::bigint as n from l group by 1""")
+_TREE = """t(part, level, i, h) as (select part, 0, row_number() over (partition by part order by id) - 1, sha256(id) from ids
+  union all select part, max(level) + 1, i // 2, case when count(*) = 2 then sha256(string_agg(h, chr(0) order by i)) else max(h) end from (select *, max(i) over (partition by part) as top from t) where top > 0 group by part, i // 2)
+  select part, 'sha256:' || arg_max(h, level) as root, count(*) filter (where level = 0) as n from t group by part"""
+
+
+@query(f"with recursive ids as (select distinct user_id % 10 as part, sha256(event_id::varchar) as id from events), {_TREE}")
 def merkle_root(spark: SparkSession, d: str) -> DataFrame:
-    return store.corpus_root(table(spark, d, "events").withColumn("part", F.col("user_id") % 10), ["part"], "event_id")
+    ids = table(spark, d, "events").select((F.col("user_id") % 10).alias("part"), F.sha2(F.col("event_id").cast("string"), 256).alias("id"))
+    return store.corpus_root(ids, ["part"], "id")
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,16 +49,64 @@ def accession(x: Column) -> Column:
 
 
 def is_amendment(form: Column) -> Column:
-    return form.endswith("/A")
+    """Whether a form's name, whatever its case and blanks around it, ends in /A."""
+    return F.upper(F.trim(form)).endswith("/A")
 
 
 def base_form(form: Column) -> Column:
-    return F.regexp_replace(form, "/A$", "")
+    return F.regexp_replace(F.upper(F.trim(form)), "/A$", "")
 
 
 def plain_name(x: Column) -> Column:
-    """Names and tickers compared without case, punctuation and repeated blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(x), r"[^A-Z0-9 ]", " "), r" +", " "))
+    """Names and tickers compared without case and repeated blanks; punctuation counts."""
+    return F.trim(F.regexp_replace(F.upper(x), r"\s+", " "))
+
+
+def looks_like_cik(x: Column) -> Column:
+    """Up to ten digits, with or without the prefix CIK."""
+    return F.upper(F.trim(x)).rlike(r"^(CIK)?\d{1,10}$")
+
+
+def security_class(x: Column) -> Column:
+    """A share class in lower case, its words joined by hyphens; null if it is blank or holds # or :."""
+    plain = F.regexp_replace(F.trim(F.lower(x)), r"\s+", "-")
+    return F.when((plain != "") & ~plain.rlike("[#:]"), plain)
+
+
+def security_id(cik: Column, share_class: Column, figi: Column | None = None) -> Column:
+    """figi:<id> where one is known, else cik:<number>#class:<class>; null if neither can be made."""
+    own = F.concat(company_id(cik), F.lit("#class:"), security_class(share_class))
+    return own if figi is None else F.when(F.trim(figi) != "", F.concat(F.lit("figi:"), F.trim(figi))).otherwise(own)
+
+
+def company_of_security(x: Column) -> Column:
+    """The company of a cik:... security; null for other ids."""
+    return F.when(x.startswith("cik:"), F.regexp_extract(x, r"^([^#]*)", 1))
+
+
+def slug(x: Column) -> Column:
+    """A name that is safe in a path: runs of other characters become one hyphen."""
+    return F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "-")
+
+
+def typed_text(x: Column) -> Column:
+    """Text of a typed dimension: blanks at the ends go, runs of blanks become one."""
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+#: Beginnings of the namespaces of public taxonomies (fixed values).
+TAXONOMIES = {
+    "http://fasb.org/us-gaap/": "us-gaap", "http://xbrl.us/us-gaap/": "us-gaap", "http://xbrl.sec.gov/dei/": "dei", "http://xbrl.us/dei/": "dei", "http://fasb.org/srt/": "srt", "http://xbrl.sec.gov/srt/": "srt",
+    "http://xbrl.ifrs.org/taxonomy/": "ifrs-full", "https://xbrl.ifrs.org/taxonomy/": "ifrs-full",
+}
+
+
+def taxonomy(namespace: Column) -> Column:
+    """The public taxonomy of a namespace, custom for another one, unknown for none."""
+    out = F.when(F.coalesce(namespace, F.lit("")) == "", "unknown")
+    for stem, name in TAXONOMIES.items():
+        out = out.when(namespace.startswith(stem), name)
+    return out.otherwise("custom")
 
 
 def content_id(*parts: Column) -> Column:
@@ -79,7 +127,9 @@ def add_months_sticky(d: Column, n: int) -> Column:
 
 
 def is_holiday(d: Column) -> Column:
-    """US federal holidays, on Friday or Monday where they fall on a weekend; Juneteenth from 2021."""
+    """US federal holidays of d's own year, on Friday or Monday where they fall on a weekend; Juneteenth from 2021.
+
+    Each year has its own set, so 31 December is no holiday when New Year's Day of the next year falls on a Saturday."""
     fixed = lambda m, day: _observed(d, m, day)
     nth = lambda m, weekday, n: (F.month(d) == m) & (F.weekday(d) == weekday) & (F.ceil(F.day(d) / 7) == n)
     last_monday_may = (F.month(d) == 5) & (F.weekday(d) == 0) & (F.day(d) > 24)
@@ -87,7 +137,7 @@ def is_holiday(d: Column) -> Column:
 
 
 def _observed(d: Column, m: int, day: int) -> Column:
-    is_day = lambda x: (F.month(x) == m) & (F.day(x) == day)
+    is_day = lambda x: (F.month(x) == m) & (F.day(x) == day) & (F.year(x) == F.year(d))
     return is_day(d) & (F.weekday(d) < 5) | is_day(F.date_add(d, 1)) & (F.weekday(d) == 4) | is_day(F.date_sub(d, 1)) & (F.weekday(d) == 0)
 
 
@@ -100,22 +150,67 @@ def next_business_day(d: Column) -> Column:
     return F.element_at(F.filter(F.sequence(F.date_add(d, 1), F.date_add(d, 6)), is_business_day), 1)
 
 
+def month_end_business_days(spark, first: str, last: str) -> DataFrame:
+    """day: the last business day of each month within [first, last]."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return days.where(is_business_day(F.col("day"))).groupBy(F.trunc("day", "MM")).agg(F.max("day").alias("day")).select("day")
+
+
+def _eastern(d: Column, clock: str) -> Column:
+    return F.to_utc_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(clock)).cast("timestamp"), "America/New_York")
+
+
 def filing_available(accepted: Column, retrieved: Column, cutoff: str = "17:30:00") -> Column:
-    """When a filing accepted at a UTC instant is public: the Eastern cutoff of that business day, else of the next; never before acceptance nor after retrieval."""
-    local = F.from_utc_timestamp(accepted, "America/New_York")
-    day = local.cast("date")
-    at = lambda d: F.to_utc_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(cutoff)).cast("timestamp"), "America/New_York")
-    out = F.when(is_business_day(day) & (accepted <= at(day)), at(day)).otherwise(at(next_business_day(day)))
-    return F.least(F.greatest(out, accepted), retrieved)
+    """When a filing accepted at a UTC instant is public: the Eastern cutoff of that business day, else of the next; never before
+    acceptance nor after retrieval. Unknown (null) without an acceptance and where it lies after the retrieval."""
+    day = F.from_utc_timestamp(accepted, "America/New_York").cast("date")
+    out = F.when(is_business_day(day) & (accepted <= _eastern(day, cutoff)), _eastern(day, cutoff)).otherwise(_eastern(next_business_day(day), cutoff))
+    capped = F.least(F.greatest(out, accepted), retrieved)  # least leaves a missing retrieval out
+    return F.when(accepted.isNotNull() & ~F.coalesce(accepted > retrieved, F.lit(False)), capped)
+
+
+def market_available(session: Column, retrieved: Column, close: str = "16:00:00", lag_minutes: int = 240) -> Column:
+    """When a session's prices are public: its Eastern close and a lag, never after retrieval; unknown (null) without a session or if retrieved before the close."""
+    closed = _eastern(session, close)
+    out = F.least(closed + F.expr(f"interval {lag_minutes} minutes"), retrieved)
+    return F.when(session.isNotNull() & ~F.coalesce(retrieved < closed, F.lit(False)), out)
+
+
+def parse_utc(x: Column) -> Column:
+    """An instant given with Z or an offset; null without one."""
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(x))
+
+
+def format_utc(x: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 # numbers
 
 
+NUMBER = "decimal(38,10)"
+
+
+def exact(text: Column) -> Column:
+    """An exact decimal of a lexical value; null for what is no finite number."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast(NUMBER))
+
+
+def plain_decimal(x: Column) -> Column:
+    """The shortest plain text of a decimal: no trailing zeros, no exponent, no minus before 0."""
+    text = F.regexp_replace(F.regexp_replace(x.cast(NUMBER).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(text == "-0", F.lit("0")).otherwise(text)
+
+
 def folded(value: Column, scale: Column, sign: Column) -> Column:
-    """A lexical value with its power of ten and its sign ('-' or none); null for what is no number."""
-    number = F.expr("1").cast("double") * F.try_to_number(F.replace(F.trim(value), F.lit(","), F.lit("")), F.lit("S999999999999999999.999999"))
-    return number * F.pow(F.lit(10.0), F.coalesce(scale, F.lit(0))) * F.when(sign == "-", -1.0).otherwise(1.0)
+    """An exact lexical value (thousands may have commas) with its power of ten and its sign ('-' or none). Null for what is no number; a bad scale or sign is an error."""
+    number = exact(F.replace(F.trim(value), F.lit(","), F.lit("")))
+    power = F.coalesce(scale.cast("string"), F.lit("0"))
+    bad = ~power.rlike(r"^-?\d{1,2}$") | ~F.coalesce(sign, F.lit("")).isin("", "-")
+    factor = F.concat(F.lit("1E"), power).cast(NUMBER)
+    made = (number * factor).cast(NUMBER) * F.when(sign == "-", F.lit(-1)).otherwise(F.lit(1))
+    return F.when(bad, F.raise_error(F.concat(F.lit("bad scale or sign: "), power))).otherwise(made.cast(NUMBER))
 
 
 def to_decimals(value: Column, decimals: Column) -> Column:
@@ -125,27 +220,88 @@ def to_decimals(value: Column, decimals: Column) -> Column:
 
 
 def normal_cdf(x: Column, terms: int = 60) -> Column:
-    """Phi by the series of erf, within [0, 1]; beyond 6 it is 0 or 1."""
+    """Phi by the series of erf up to 3 in size, by the continued fraction of its tail beyond; within [0, 1]."""
     z = x / F.lit(2**0.5)
     step = lambda s, k: F.struct((-s["t"] * z * z / k).alias("t"), (s["sum"] - s["t"] * z * z / k / (k * 2 + 1)).alias("sum"))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(z.alias("t"), z.alias("sum")), step, lambda s: s["sum"])
     inside = F.lit(0.5) * (F.lit(1.0) + F.lit(2 / 3.141592653589793**0.5) * series)
-    return F.when(x > 6, F.lit(1.0)).when(x < -6, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside)))
+    size = F.abs(x)
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), size, lambda f, k: size + k / f)
+    tail = F.exp(-x * x / 2) / (F.lit((2 * 3.141592653589793) ** 0.5) * fraction)
+    return F.when(x > 3, F.lit(1.0) - tail).when(x < -3, tail).otherwise(inside)
 
 
-def normal_ppf(p: Column, steps: int = 40) -> Column:
-    """Inverse of normal_cdf by bisection on [-6, 6]; null outside (0, 1)."""
-    half = lambda s: (s["lo"] + s["hi"]) / 2
-    step = lambda s, _: F.when(normal_cdf(half(s)) < p, F.struct(half(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(-6.0).alias("lo"), F.lit(6.0).alias("hi")), step, half)
-    return F.when((p > 0) & (p < 1), found)
+#: Coefficients of Acklam's public rational approximation to the inverse normal distribution (fixed values).
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    return reduce(lambda out, c: out * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+
+
+def normal_ppf(p: Column) -> Column:
+    """Inverse of normal_cdf: a rational approximation (within 1e-9), then two Newton steps; null outside (0, 1)."""
+    q = F.least(p, F.lit(1.0) - p)
+    t = F.sqrt(F.lit(-2.0) * F.ln(q))
+    low = _poly(_C, t) / _poly(_D, t)
+    r = p - F.lit(0.5)
+    middle = r * _poly(_A, r * r) / _poly(_B, r * r)
+    first = F.when(q >= 0.02425, middle).when(p < 0.5, low).otherwise(-low)
+    newton = lambda x: x - (normal_cdf(x) - p) * F.lit((2 * 3.141592653589793) ** 0.5) * F.exp(x * x / 2)
+    refined = F.aggregate(F.sequence(F.lit(1), F.lit(2)), first, lambda x, _: newton(x))
+    return F.when((p > 0) & (p < 1), refined)
 
 
 def harmonic(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
 
 
-# units: arrays of measures above and below the line
+# units
+
+
+def canonical_unit(numerator: Column, denominator: Column) -> Column:
+    """struct<unit,currency> of arrays of measures ({namespace}name) above and below the line: a currency, shares, pure, a currency a
+    share; all else, and no unit, is unknown."""
+    one = lambda m: F.when(F.size(m) == 1, m[0])
+    top, bottom = one(numerator), one(denominator)
+    code = F.when(top.startswith("{http://www.xbrl.org/2003/iso4217}"), F.regexp_replace(top, r"^\{[^}]*\}", ""))
+    own = lambda m, name: m == f"{{http://www.xbrl.org/2003/instance}}{name}"
+    simple = F.coalesce(F.size(denominator), F.lit(0)) <= 0
+    unit = F.when(simple & code.isNotNull(), code).when(simple & own(top, "shares"), "shares").when(simple & own(top, "pure"), "pure").when(~simple & code.isNotNull() & own(bottom, "shares"), F.concat(code, F.lit("/shares"))).otherwise("unknown")
+    return F.struct(unit.alias("unit"), F.when(unit != "unknown", code).alias("currency"))
+
+
+def unit_family(unit: Column, currency: Column) -> Column:
+    """monetary, shares or pure; null for what takes part in no formula."""
+    return F.when(currency.isNotNull() & (unit == currency), "monetary").when(unit.isin("shares", "pure"), unit)
+
+
+def sum_unit(a: Column, b: Column) -> Column:
+    """Unit of a sum or difference: that of both; null where they differ (nothing is converted)."""
+    return F.when(a == b, a)
+
+
+def quotient_unit(a: Column, b: Column) -> Column:
+    """Unit of a quotient of equal units: pure; null for others."""
+    return F.when(a == b, F.lit("pure"))
+
+
+def factor_unit(a: Column, b: Column) -> Column:
+    """Unit of a product, of which one factor must be pure; null for others."""
+    return F.when(a == "pure", b).when(b == "pure", a)
+
+
+def canonical_period(kind: Column, start: Column, end: Column) -> Column:
+    """struct<period_type,period_start,period_end>; a kind that lacks its dates is an error."""
+    bad = (kind == "instant") & end.isNull() | (kind == "duration") & (start.isNull() | end.isNull())
+    checked = F.when(bad, F.raise_error(F.lit("a period lacks its dates")).cast("string")).otherwise(kind)
+    return F.struct(checked.alias("period_type"), F.when(kind == "duration", start).alias("period_start"), F.when(kind != "forever", end).alias("period_end"))
+
+
+# measures of a product or quotient: arrays above and below the line
 
 
 def unit_product(a: Column, b: Column) -> Column:

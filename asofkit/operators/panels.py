@@ -31,19 +31,21 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, n:
 
 
 def level_vs_history(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int, reference: str = "median") -> DataFrame:
-    """level: v less the median, min or max of the n values before it; null with fewer."""
-    w = _in_time(keys, order).rowsBetween(-n, -1)
+    """level: v less the median, min or max of the known ones among the n rows before it; null with fewer rows before, or none known."""
+    w = _in_time(keys, order)
+    frame = w.rowsBetween(-n, -1)
     if reference == "median":  # which Spark has not over a frame
-        held = F.array_sort(F.collect_list(value).over(w))
-        base = (F.get(held, F.lit((n - 1) // 2)) + F.get(held, F.lit(n // 2))) / 2
+        held = F.array_sort(F.collect_list(value).over(frame))
+        size = F.size(held)
+        base = (F.get(held, F.floor((size - 1) / 2).cast("int")) + F.get(held, F.floor(size / 2).cast("int"))) / 2
     else:
-        base = {"min": F.min, "max": F.max}[reference](value).over(w)
-    return df.withColumn("level", F.when(F.count(value).over(w) == n, F.col(value) - base))
+        base = {"min": F.min, "max": F.max}[reference](value).over(frame)
+    return df.withColumn("level", F.when(F.row_number().over(w) > n, F.col(value) - base))
 
 
 def forward_return(df: DataFrame, keys: Sequence[str], order: str, close: str, n: int = 1) -> DataFrame:
-    """fwd: close n observations later over this one, less 1."""
-    return df.withColumn("fwd", div(F.lead(close, n).over(_in_time(keys, order)), F.col(close)) - 1)
+    """fwd: close n observations later over this one, less 1; null unless this one is above 0."""
+    return df.withColumn("fwd", F.when(F.col(close) > 0, div(F.lead(close, n).over(_in_time(keys, order)), F.col(close)) - 1))
 
 
 def period_return(df: DataFrame, keys: Sequence[str], order: str, close: str) -> DataFrame:
@@ -85,10 +87,33 @@ def average_rank(value: str, date: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(_across([*date, value])) - 1) / F.lit(2.0)
 
 
-def quantile_buckets(df: DataFrame, date: Sequence[str], value: str, member: str, n: int) -> DataFrame:
-    """bucket floor(i n / count) of the row at place i by (value, member); null where there are fewer than n rows."""
+def quantile_buckets(df: DataFrame, date: Sequence[str], value: str, member: str, n: int, per_bucket: int = 1) -> DataFrame:
+    """bucket floor(i n / count) of the row at place i by (value, member); null where there are fewer than n x per_bucket rows.
+
+    Diagnostics take one row a bucket, portfolios two."""
     i, count = F.row_number().over(_across(date).orderBy(value, member)) - 1, F.count("*").over(_across(date))
-    return df.withColumn("bucket", F.when(count >= n, F.floor(i * n / count)).cast("long"))
+    return df.withColumn("bucket", F.when(count >= n * per_bucket, F.floor(i * n / count)).cast("long"))
+
+
+def bucket_means(df: DataFrame, date: Sequence[str], bucket: str, ret: str, n: int) -> DataFrame:
+    """date, bucket 0..n-1, n, mean, reason: a row for each bucket of each date, EMPTY_BUCKET where it has no row."""
+    found = df.where(F.col(bucket).isNotNull()).groupBy(*date, bucket).agg(F.count(ret).alias("n"), F.avg(ret).alias("mean"))
+    all_ = df.select(*date).distinct().withColumn(bucket, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    out = all_.join(found, [*date, bucket], "left").fillna(0, ["n"])
+    return out.withColumn("reason", F.when(F.col("n") == 0, "EMPTY_BUCKET"))
+
+
+def mean_of_means(means: DataFrame, bucket: str) -> DataFrame:
+    """bucket, n_dates, mean: over the dates that have one."""
+    return means.where(F.col("mean").isNotNull()).groupBy(bucket).agg(F.count("*").alias("n_dates"), F.avg("mean").alias("mean"))
+
+
+def complete_cases(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with all columns known, and one row of counts: n, kept and, for each column, the rows dropped for it (the first that is missing)."""
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    marked = df.withColumn("_missing", reason)
+    counts = marked.agg(F.count("*").alias("n"), F.count_if(F.col("_missing").isNull()).alias("kept"), *[F.count_if(F.coalesce(F.col("_missing") == c, F.lit(False))).alias(f"dropped_{c}") for c in columns])
+    return marked.where(F.col("_missing").isNull()).drop("_missing"), counts
 
 
 def moments(x: Column, y: Column) -> list[Column]:
@@ -110,3 +135,10 @@ def spread_by_date(df: DataFrame, date: Sequence[str], bucket: str, ret: str, n:
     """Top less bottom bucket's mean return by date: one aggregation, both legs at once."""
     leg = lambda b: F.avg(F.when(F.col(bucket) == b, F.col(ret)))
     return df.groupBy(*date).agg(leg(n - 1).alias("top"), leg(0).alias("bottom")).withColumn("spread", F.col("top") - F.col("bottom"))
+
+
+def long_short(df: DataFrame, date: Sequence[str], signal: str, member: str, ret: str, n: int) -> DataFrame:
+    """date, long, short, ret, reason: mean returns of the last and the first of n buckets; INSUFFICIENT_MEMBERS below two rows a bucket."""
+    ok = df.where(F.col(signal).isNotNull() & F.col(ret).isNotNull())
+    legs = spread_by_date(quantile_buckets(ok, date, signal, member, n, per_bucket=2), date, "bucket", ret, n)
+    return legs.select(*date, F.col("top").alias("long"), F.col("bottom").alias("short"), F.col("spread").alias("ret"), F.when(F.col("top").isNull(), "INSUFFICIENT_MEMBERS").alias("reason"))

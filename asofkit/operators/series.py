@@ -8,33 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
-
-
-def _p(n: int, x: Column) -> Column:
-    return F.avg(F.pow(x, n))
+from .pit import asof_join
 
 
 def summary(df: DataFrame, by: Sequence[str], ret: str, per_year: int = 12, risk_free: float = 0.0) -> DataFrame:
-    """n, mean, vol, sharpe (annualised), t_stat, hit_rate, cumulative, best, worst, downside, sortino, skew, kurtosis (excess)."""
+    """n, mean, vol, sharpe (annualised), t_stat, hit_rate, cumulative, best, worst, downside, sortino, skew, kurtosis (excess); central moments, so
+    nothing cancels."""
     r = F.col(ret)
     base = df.where(r.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(r).alias("m1"), _p(2, r).alias("m2"), _p(3, r).alias("m3"), _p(4, r).alias("m4"),
+        F.count("*").alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("_sd"), F.skewness(r).alias("_skew"), F.kurtosis(r).alias("_kurtosis"),
         F.max(r).alias("best"), F.min(r).alias("worst"), F.avg((r > 0).cast("double")).alias("hit_rate"),
         F.product(r + 1).alias("growth"), F.sqrt(F.avg(F.pow(F.least(r - risk_free, F.lit(0.0)), 2))).alias("downside"),
     )
-    m = F.col("m1")
-    var = F.col("m2") - m * m
-    vol = F.when(F.col("best") > F.col("worst"), F.sqrt(var))
+    m, some = F.col("mean"), F.col("best") > F.col("worst")
     root = F.lit(float(per_year) ** 0.5)
-    out = base.withColumn("mean", m).withColumn("vol", vol)
+    out = base.withColumn("vol", F.when(some, F.col("_sd")))
     return out.select(
         *by, "n", "mean", "vol", (div(m - risk_free, F.col("vol")) * root).alias("sharpe"), (div(m, F.col("vol")) * F.sqrt("n")).alias("t_stat"), "hit_rate",
         (F.col("growth") - 1).alias("cumulative"), "best", "worst", "downside", (div(m - risk_free, F.col("downside")) * root).alias("sortino"),
-        div(F.col("m3") - m * F.col("m2") * 3 + F.pow(m, 3) * 2, F.pow("vol", 3)).alias("skew"),
-        (div(F.col("m4") - m * F.col("m3") * 4 + m * m * F.col("m2") * 6 - F.pow(m, 4) * 3, F.pow("vol", 4)) - 3).alias("kurtosis"),
+        F.when(some, F.col("_skew")).alias("skew"), F.when(some, F.col("_kurtosis")).alias("kurtosis"),
     )
 
 
+def wealth(df: DataFrame, by: Sequence[str], order: str, ret: str, start: float = 1.0) -> DataFrame:
+    """level: the product of 1 + ret so far; a first row of `start` at order null comes before, so that a fall from the start counts."""
+    grown = F.product(F.col(ret) + 1).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = df.where(F.col(ret).isNotNull()).select(*by, order, (grown * start).alias("level"))
+    first = rows.groupBy(*by).agg(F.lit(start).alias("level")).withColumn(order, F.lit(None).cast(rows.schema[order].dataType))
+    return rows.unionByName(first)
+
+
 def drawdowns(df: DataFrame, by: Sequence[str], order: str, level: str) -> DataFrame:
     """peak and drawdown (level / running peak - 1) at each row."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,10 +57,14 @@ def worst_episode(df: DataFrame, by: Sequence[str], order: str, level: str) -> D
 
 
 def value_at_risk(df: DataFrame, by: Sequence[str], ret: str, level: float = 0.95) -> DataFrame:
-    """Historical VaR (the loss at the interpolated 1 - level percentile) and CVaR (mean loss at or below it)."""
-    cut = df.where(F.col(ret).isNotNull()).groupBy(*by).agg(F.percentile(ret, F.lit(1 - level)).alias("_cut"))
-    tail = df.join(cut, list(by)).where(F.col(ret) <= F.col("_cut")).groupBy(*by).agg(F.avg(ret).alias("_tail"), F.min("_cut").alias("_cut"))
-    return tail.select(*by, (-F.col("_cut")).alias("var"), (-F.col("_tail")).alias("cvar"))
+    """Historical VaR and CVaR by nearest rank, signed: with k = max(1, ceil((1 - level) n)), the k-th smallest return and the mean of the k smallest.
+    Null with fewer than two returns."""
+    known = df.where(F.col(ret).isNotNull())
+    k = F.greatest(F.lit(1), F.ceil(F.round(F.lit(1 - level) * F.col("_n"), 9)))
+    w = Window.partitionBy(*by)
+    tail = known.withColumn("_i", F.row_number().over(w.orderBy(ret))).withColumn("_n", F.count("*").over(w)).where(F.col("_i") <= k)
+    some = F.max("_n") > 1
+    return tail.groupBy(*by).agg(F.when(some, F.max(ret)).alias("var"), F.when(some, F.avg(ret)).alias("cvar"))
 
 
 def relative(df: DataFrame, by: Sequence[str], ret: str, bench: str, per_year: int = 12, risk_free: float = 0.0) -> DataFrame:
@@ -77,10 +84,23 @@ def relative(df: DataFrame, by: Sequence[str], ret: str, bench: str, per_year: i
     )
 
 
-def adjustment_factors(closes: DataFrame, actions: DataFrame, key: str, date: str, ex_date: str, ratio: str) -> DataFrame:
-    """closes with factor: the product of 1 / ratio over splits after the date. Running products of both sides in one window, no theta join."""
-    mine = closes.select("*", F.lit(None).cast("double").alias("_r"), F.col(date).alias("_at"), F.lit(1).alias("_row"))
-    theirs = actions.select(F.col(key), F.col(ex_date).alias("_at"), F.lit(1.0).alias("_one"), F.col(ratio).cast("double").alias("_r")).drop("_one").withColumn("_row", F.lit(0))
+def reference_closes(closes: DataFrame, dividends: DataFrame, key: str, date: str, close: str, ex_date: str) -> DataFrame:
+    """dividends with reference: the last known close strictly before the ex-date."""
+    found = asof_join(dividends, closes.where(F.col(close).isNotNull()), [key], ex_date, date, [close], strict=True)
+    return found.withColumnRenamed(close, "reference").drop(f"{date}_matched")
+
+
+def adjustment_factors(closes: DataFrame, actions: DataFrame, key: str, date: str, ex_date: str, ratio: str, amount: str | None = None, reference: str | None = None) -> DataFrame:
+    """closes with factor: the product, over actions with a later ex-date, of 1 / ratio and, if asked for, of 1 - amount / reference.
+
+    Null where a later action has a ratio that is missing or not above 0, or a dividend without a reference above 0. A running product in one window, no
+    theta join and no logarithms."""
+    split = F.when(F.col(ratio) > 0, F.lit(1.0) / F.col(ratio).cast("double"))
+    paid = F.when(F.col(reference) > 0, F.lit(1.0) - F.col(amount).cast("double") / F.col(reference)) if amount else None
+    f = split if paid is None else F.when(F.col(amount).isNotNull(), paid).otherwise(split)
+    mine = closes.select("*", F.lit(None).cast("double").alias("_f"), F.col(date).alias("_at"), F.lit(1).alias("_row"))
+    theirs = actions.select(F.col(key), F.col(ex_date).alias("_at"), f.alias("_f"), F.lit(0).alias("_row"))
     w = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = mine.unionByName(theirs, allowMissingColumns=True)
-    return both.withColumn("factor", F.exp(-F.coalesce(F.sum(F.ln("_r")).over(w), F.lit(0.0)))).where("_row = 1").drop("_r", "_at", "_row")
+    bad = F.count_if((F.col("_row") == 0) & F.col("_f").isNull()).over(w) > 0
+    return both.withColumn("factor", F.when(~bad, F.coalesce(F.product("_f").over(w), F.lit(1.0)))).where("_row = 1").drop("_f", "_at", "_row")

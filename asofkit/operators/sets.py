@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_form, is_amendment
+from ..functions.scalars import base_form, cik10, is_amendment, looks_like_cik, plain_name
 
 
 def filter_chain(candidates: DataFrame, *steps: tuple[str, Column]) -> DataFrame:
@@ -69,6 +69,23 @@ def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str) -
     return joined.withColumn("status", F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("not_found")).withColumn(key, F.when(F.col("_n") == 1, F.col("_key"))).drop("_n", "_key")
 
 
+def resolve_identifiers(asked: DataFrame, identifier: str, directory: DataFrame) -> DataFrame:
+    """asked with cik, matched_by (cik, ticker, title) and status: a company number is taken as such, else a ticker, else a title is looked up in the
+    directory (cik, ticker, title); the first that has entries decides, several companies make it ambiguous."""
+    plain = plain_name(F.col(identifier))
+
+    def entries(column: str) -> DataFrame:
+        return directory.where(F.col(column).isNotNull()).groupBy(plain_name(F.col(column)).alias("_plain")).agg(F.count_distinct("cik").alias(f"_{column}_n"), F.min("cik").alias(f"_{column}"))
+
+    joined = asked.withColumn("_plain", plain).join(entries("ticker"), "_plain", "left").join(entries("title"), "_plain", "left")
+    as_cik = F.when(looks_like_cik(F.col(identifier)), cik10(F.col(identifier)))
+    by = F.when(as_cik.isNotNull(), "cik").when(F.col("_ticker_n").isNotNull(), "ticker").when(F.col("_title_n").isNotNull(), "title")
+    n = F.when(by == "cik", 1).when(by == "ticker", F.col("_ticker_n")).otherwise(F.col("_title_n"))
+    status = F.when(by.isNull(), "not_found").when(n > 1, "ambiguous").otherwise("resolved")
+    found = F.when(by == "cik", as_cik).when(by == "ticker", F.col("_ticker")).otherwise(F.col("_title"))
+    return joined.select(*[joined[c] for c in asked.columns], F.when(status == "resolved", found).alias("cik"), by.alias("matched_by"), status.alias("status"))
+
+
 def reconciled(facts: DataFrame, keys: Sequence[str], value: str, decimals: str, order: Sequence[str]) -> DataFrame:
     """Duplicate facts of a key: the most precise one stands for them (then the first in order); consistent says whether all
     round to its value at their own precision."""
