@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN, WINDOW, LANES, SEGMENT = 16, 16, 256, 2048
+HIDDEN, WINDOW, LANES, SEGMENT = 16, 16, 512, 1024
 #: Sizes of the classes of words in order of frequency: (classes, words in each); the rest goes to classes of REST words.
 TIERS, REST = ((16, 16), (32, 64)), 256
 F32 = np.float32
@@ -135,76 +135,93 @@ def states(model: Model, h: np.ndarray, previous: np.ndarray, keep: list | None
     return out
 
 
+def _exp(x: np.ndarray) -> np.ndarray:
+    """The shift of each row (0 as a rule) that keeps its exponentials finite; x becomes those."""
+    shift = np.zeros(len(x), F32)
+    if x.size and x.max() > 60:
+        shift = x.max(axis=1)
+        x -= shift[:, None]
+    np.exp(x, out=x)
+    return shift
+
+
 class Outputs:
     """Log probabilities of target words given states with a 1 behind them, and the gradients of their negative sum."""
 
     def __init__(self, model: Model, s: np.ndarray, target: np.ndarray, train: bool):
-        v, n = model.v, np.arange(len(target))
+        v, n, o = model.v, np.arange(len(target)), model.dense["o"]
         cls = v.cls[target]
-        prob = s @ model.dense["o"]
-        prob -= prob.max(axis=1, keepdims=True)
-        chosen = prob[n, cls]
-        np.exp(prob, out=prob)
-        total = prob.sum(axis=1)
-        self.log_p = chosen - np.log(total)
+        e = s @ o
+        chosen = e[n, cls]
+        shift = _exp(e)
+        total = e.sum(axis=1)
+        self.log_p = chosen - shift - np.log(total)
         if train:
-            prob /= total[:, None]
-            prob[n, cls] -= 1
-            self.d_o = s.T @ prob
-            self.d_s = prob @ model.dense["o"][:-1].T
+            e[n, cls] -= total  # so that e / total is the gradient
+            self.d_o = (s / total[:, None]).T @ e
+            self.d_s = e @ o[:-1].T
+            self.d_s /= total[:, None]
             self.d_w = np.zeros((len(model.w), HIDDEN + 1), F32)
         order = np.argsort(cls, kind="stable")
         order = order[np.searchsorted(cls[order], 2) :]
         sorted_ = cls[order] - 2
-        bounds = np.searchsorted(sorted_, np.arange(len(v.first) + 1))
+        bounds = np.searchsorted(sorted_, np.arange(len(v.first) + 1)).tolist()
         own = s[order]
         w = np.ascontiguousarray(model.w[:, : HIDDEN + 1])
-        self.classes = [c for c in range(len(v.first)) if bounds[c] < bounds[c + 1]]
+        first = v.first.tolist()
         for width in np.unique(v.width).tolist():  # classes of one width lie together
-            mine = [c for c in self.classes if v.width[c] == width]
+            mine = [c for c in np.flatnonzero(v.width == width).tolist() if bounds[c] < bounds[c + 1]]
             if not mine:
                 continue
             lo, hi = bounds[mine[0]], bounds[mine[-1] + 1]
-            inner = np.empty((hi - lo, width), F32)
+            e = np.empty((hi - lo, width), F32)
             for c in mine:
-                np.matmul(own[bounds[c] : bounds[c + 1]], w[v.first[c] : v.first[c] + width].T, out=inner[bounds[c] - lo : bounds[c + 1] - lo])
-            inner -= inner.max(axis=1, keepdims=True)
+                np.matmul(own[bounds[c] : bounds[c + 1]], w[first[c] : first[c] + width].T, out=e[bounds[c] - lo : bounds[c + 1] - lo])
             at, place = np.arange(hi - lo), target[order[lo:hi]] - 1 - v.first[sorted_[lo:hi]]
-            chosen = inner[at, place]
-            np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
-            self.log_p[order[lo:hi]] += chosen - np.log(total)
+            chosen = e[at, place]
+            shift = _exp(e)
+            total = e.sum(axis=1)
+            self.log_p[order[lo:hi]] += chosen - shift - np.log(total)
             if train:
-                inner /= total[:, None]
-                inner[at, place] -= 1
+                e[at, place] -= total
+                scaled = own[lo:hi] / total[:, None]
                 d_own = np.empty((hi - lo, HIDDEN + 1), F32)
                 for c in mine:
-                    a, b, rows = bounds[c] - lo, bounds[c + 1] - lo, slice(v.first[c], v.first[c] + width)
-                    np.matmul(inner[a:b].T, own[bounds[c] : bounds[c + 1]], out=self.d_w[rows])
-                    np.matmul(inner[a:b], w[rows], out=d_own[a:b])
+                    a, b, rows = bounds[c] - lo, bounds[c + 1] - lo, slice(first[c], first[c] + width)
+                    np.matmul(e[a:b].T, scaled[a:b], out=self.d_w[rows])
+                    np.matmul(e[a:b], w[rows], out=d_own[a:b])
                     model.seen_w[rows] += b - a
-                self.d_s[order[lo:hi]] += d_own[:, :-1]
+                self.d_s[order[lo:hi]] += d_own[:, :-1] / total[:, None]
 
 
 def with_one(s: np.ndarray) -> np.ndarray:
     return np.concatenate([s.reshape(-1, HIDDEN), np.ones((s.size // HIDDEN, 1), F32)], axis=1)
 
 
-def score(model: Model, docs: list[np.ndarray], lanes: int = 2 * LANES) -> np.ndarray:
+def score(model: Model, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log probability of each document's words, the state carried from window to window."""
     out = np.zeros(len(docs))
     if not docs:
         return out
     previous, target, doc, fresh = blocks(docs, model.v.head + 1)
-    h = np.zeros((lanes, HIDDEN), F32)
+    h, held, size = np.zeros((lanes, HIDDEN), F32), [], 0
+
+    def add() -> None:
+        s, t, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        ok = t >= 0
+        out[:] += np.bincount(d[ok], Outputs(model, with_one(s)[ok], t[ok], False).log_p, len(docs))
+
     for rows in schedule(doc, lanes):
         h = h[: len(rows)] * ~fresh[rows, None]
         s = states(model, h, previous[rows].T)
         h = s[-1]
-        t = target[rows].T.ravel()
-        ok = t >= 0
-        found = Outputs(model, with_one(s)[ok], t[ok], False)
-        out += np.bincount(np.tile(doc[rows], WINDOW)[ok], found.log_p, len(docs))
+        held.append((s.reshape(-1, HIDDEN), target[rows].T.ravel(), np.tile(doc[rows], WINDOW)))
+        size += s.size
+        if size >= HIDDEN * LANES * WINDOW:  # outputs of many tokens at once, also where few lanes run
+            add()
+            held, size = [], 0
+    if held:
+        add()
     return out
 
 
@@ -264,10 +281,12 @@ def train(model: Model, docs: list[np.ndarray], rate: float, word_rate: float, l
             model.s[k] += F32(0.01) * (g * g - model.s[k])
             model.dense[k] -= F32(rate * share) * (model.m[k] / F32(1 - 0.9**model.step)) / (np.sqrt(model.s[k] / F32(1 - 0.99**model.step)) + F32(1e-5))
         model.w[:, -1] += np.einsum("ij,ij->i", d_w, d_w)
-        model.w[:, :-1] -= d_w * (F32(word_rate) / np.sqrt(model.w[:, -1]))[:, None]
+        d_w *= (F32(word_rate) / np.sqrt(model.w[:, -1]))[:, None]
+        model.w[:, :-1] -= d_w
         own = model.e[words]
         own[:, -1] += np.einsum("ij,ij->i", d_e, d_e)
-        own[:, :-1] -= d_e * (F32(word_rate) / np.sqrt(own[:, -1]))[:, None]
+        d_e *= (F32(word_rate) / np.sqrt(own[:, -1]))[:, None]
+        own[:, :-1] -= d_e
         model.e[words] = own
         model.seen_e[words] += 1
     return total

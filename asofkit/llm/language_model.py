@@ -37,9 +37,9 @@ from . import gru
 from ._common import id_text, once, written
 
 END = b""
-KNOWN, HEAD = 200_000, 16_384
+KNOWN, HEAD = 200_000, 6_144
 SHARD_TOKENS = 2_000_000
-CHUNK = 131_072  # tokens that are trained on or scored together
+CHUNK = 524_288  # tokens that are trained on or scored together
 BLOCK = 1024  # rows of the tables
 #: Rates of the dense weights and of the words in the two rounds.
 RATES = ((0.01, 1.0), (0.003, 1.0))
@@ -87,13 +87,20 @@ def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Index(dict):
+    """Numbers of words; 0 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Words:
     """The most frequent words and what the counts say; bounded, and the same in all tasks."""
 
     def __init__(self, known: list[tuple[bytes, int]], head: int, ends: int, total: int, distinct: int):
         """known: words and counts without the end, most frequent first."""
         self.total, self.distinct, self.ends = total, distinct, ends
-        self.index = {w: i + 1 for i, (w, _) in enumerate(known)}  # 0: neither in the head nor here
+        self.index = _Index({w: i + 1 for i, (w, _) in enumerate(known)})
         self.counts = np.array([0, *(n for _, n in known)], np.float64)
         self.head = min(head, len(known))
         self.end = self.head + 1  # as a word of the network
@@ -106,16 +113,17 @@ class Words:
 
     def encoded(self, text: str) -> tuple[np.ndarray, float, float, int, list[bytes]]:
         """Network words of a text, sums of log10(c + 0.5) over its known words and over those of the tail, tokens of the tail, words for the join."""
-        get, parts, base, tail, n_tail, rare = self.index.get, [], 0.0, 0.0, 0, []
+        number, parts, base, tail, n_tail, rare = self.index.__getitem__, [], 0.0, 0.0, 0, []
         for words in words_of(text):
-            ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+            ids = np.fromiter(map(number, words), np.int64, len(words))
             log_c = self.log_c[ids]
             rare += [words[i] for i in np.flatnonzero(ids == 0).tolist()]
-            outside = (ids == 0) | (ids > self.head)
             base += float(log_c.sum())
+            outside = np.flatnonzero((ids == 0) | (ids > self.head))
             tail += float(log_c[outside].sum())
-            n_tail += int(np.count_nonzero(outside))
-            parts.append(np.where(outside, 0, ids))
+            n_tail += len(outside)
+            ids[outside] = 0
+            parts.append(ids)
         return np.concatenate([*parts, [self.end]]), base + float(np.log10(self.ends + 0.5)), tail, n_tail, rare
 
 
@@ -257,7 +265,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
             for ids in batch["ids"]:
                 chunk.append(np.frombuffer(ids.as_buffer(), kind).astype(np.int32))
                 size += len(chunk[-1])
-                if size >= 4 * CHUNK:
+                if size >= 2 * CHUNK:
                     out.append(gru.score(model, chunk))
                     chunk, size = [], 0
             out.append(gru.score(model, chunk))
