@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_months_sticky, cell, unit_family
+from ..functions.scalars import cell, unit_family
 from ..plans.formula import Formula, evaluated
 from . import panels
 from .pit import eligible, frontier, vintages
@@ -199,16 +199,11 @@ def factor_as_of(facts: DataFrame, formula: Formula, requests: DataFrame, as_ofs
     elif transform == "minmax":
         made = panels.minmax(known, keys, "value").withColumnRenamed("minmax", "factor")
     else:
-        bounds = known.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(lower), F.lit(upper))).alias("_b"))
-        on = (known["as_of"] == bounds["as_of"]) & (known["period_end"] == bounds["period_end"]) & known["period_start"].eqNullSafe(bounds["period_start"])
-        made = known.join(bounds, on).select(*[known[c] for c in known.columns], F.least(F.greatest(known["value"], F.col("_b")[0]), F.col("_b")[1]).alias("factor"))
+        bounds = known.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(lower), F.lit(upper))).alias("_b")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_b")
+        on = (F.col("as_of") == F.col("_as_of")) & (F.col("period_end") == F.col("_period_end")) & F.col("period_start").eqNullSafe(F.col("_period_start"))
+        made = known.join(bounds, on).select(*known.columns, F.least(F.greatest("value", F.col("_b")[0]), F.col("_b")[1]).alias("factor"))
     return made.unionByName(rest.withColumn("factor", F.lit(None).cast("double")))
 
 
 def revised_factor(facts: DataFrame, formula: Formula, requests: DataFrame, transform: str = "none", **options) -> DataFrame:
     return factor_as_of(facts, formula, requests, [frontier(facts, "available", "status") or datetime(1970, 1, 1)], transform, **options)
-
-
-def shifted(d: Column, months: int) -> Column:
-    """A period's end some months later; the last day of a month stays one."""
-    return add_months_sticky(d, months)
