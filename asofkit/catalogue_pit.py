@@ -144,7 +144,7 @@ def factor_zscore(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(_stamped(made), "factor").select("as_of", "company_id", "period_end", "status", "factor")
 
 
-@query(f"with {_CURRENT}, b as (select as_of, period_end, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from cells where value is not null group by all) select strftime(c.as_of, '%Y-%m-%d') as as_of, company_id, c.period_end, {sq('least(greatest(value, lo), hi)')} as factor from cells c left join b on b.as_of = c.as_of and b.period_end = c.period_end")
+@query(f"with {_CURRENT}, b as (select as_of, period_end, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from cells where value is not null group by all) select strftime(c.as_of, '%Y-%m-%d') as as_of, company_id, c.period_end, {sq('case when value is not null then least(greatest(value, lo), hi) end')} as factor from cells c left join b on b.as_of = c.as_of and b.period_end = c.period_end")
 def factor_winsorized(spark: SparkSession, d: str) -> DataFrame:
     f = BUILTIN["current_ratio"]
     made = metrics.factor_as_of(facts(spark, d), f, _requests(spark, d, f), AS_OFS, "winsorize", lower=0.1, upper=0.9)
