@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-HIDDEN, WINDOW, LANES, SEGMENT = 16, 16, 512, 1024
+HIDDEN, WINDOW, LANES, SEGMENT = 12, 16, 512, 1024
 #: Sizes of the classes of words in order of frequency: (classes, words in each); the rest goes to classes of REST words.
 TIERS, REST = ((16, 16), (32, 64)), 256
 F32 = np.float32
@@ -154,7 +154,7 @@ class Outputs:
         e = s @ o
         chosen = e[n, cls]
         shift = _exp(e)
-        total = e.sum(axis=1)
+        total = e @ np.ones(e.shape[1], F32)
         self.log_p = chosen - shift - np.log(total)
         if train:
             e[n, cls] -= total  # so that e / total is the gradient
@@ -180,7 +180,7 @@ class Outputs:
             at, place = np.arange(hi - lo), target[order[lo:hi]] - 1 - v.first[sorted_[lo:hi]]
             chosen = e[at, place]
             shift = _exp(e)
-            total = e.sum(axis=1)
+            total = e @ np.ones(width, F32)
             self.log_p[order[lo:hi]] += chosen - shift - np.log(total)
             if train:
                 e[at, place] -= total
@@ -225,6 +225,21 @@ def score(model: Model, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarra
     return out
 
 
+def _by_word(words: np.ndarray, rows: np.ndarray, many: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and the sums of their rows: of up to `many` rows together for all words, of more rows word by word."""
+    order = np.argsort(words, kind="stable")
+    distinct, starts, times = np.unique(words[order], return_index=True, return_counts=True)
+    out = rows[order[starts]]
+    for k in range(1, many):
+        some = np.flatnonzero((times > k) & (times <= many))
+        if not len(some):
+            break
+        out[some] += rows[order[starts[some] + k]]
+    for i in np.flatnonzero(times > many).tolist():
+        out[i] = rows[order[starts[i] : starts[i] + times[i]]].sum(axis=0)
+    return distinct, out
+
+
 def gradients(model: Model, h: np.ndarray, previous: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Last states, the sum of log probabilities, and of the latter's negative: gradients of the dense weights and of the outputs, words, and gradients of their embeddings."""
     steps, lanes = previous.shape
@@ -251,9 +266,7 @@ def gradients(model: Model, h: np.ndarray, previous: np.ndarray, target: np.ndar
         dh = dh * z + d_gates[i] @ u_t
     g, b = d_gates.reshape(-1, 3 * HIDDEN), np.stack([k[0] for k in keep]).reshape(-1, HIDDEN)
     dense = {"u": b.T @ g, "n": g[:, 2 * HIDDEN :].sum(axis=0), "o": found.d_o}
-    order = np.argsort(previous, axis=None, kind="stable")
-    words, starts = np.unique(previous.ravel()[order], return_index=True)
-    return s[-1], float(found.log_p.sum()), dense, found.d_w, words, np.add.reduceat(d_x.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+    return s[-1], float(found.log_p.sum()), dense, found.d_w, *_by_word(previous.ravel(), d_x.reshape(-1, 3 * HIDDEN))
 
 
 def train(model: Model, docs: list[np.ndarray], rate: float, word_rate: float, lanes: int = LANES) -> float:

@@ -37,7 +37,7 @@ from . import gru
 from ._common import id_text, once, written
 
 END = b""
-KNOWN, HEAD = 200_000, 6_144
+KNOWN, HEAD = 300_000, 6_144
 SHARD_TOKENS = 2_000_000
 CHUNK = 524_288  # tokens that are trained on or scored together
 BLOCK = 1024  # rows of the tables
