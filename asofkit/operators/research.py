@@ -163,7 +163,7 @@ def minimum_variance(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                 names = sorted({i for pair in found for i in pair})
                 if len(names) > MOST_SERIES:
                     raise ValueError(f"a risk model has at most {MOST_SERIES} series")
-                a = np.array([[found[min(i, j), max(i, j)] for j in names] for i in names])
+                a = np.array([[found.get((min(i, j), max(i, j)), 0.0) for j in names] for i in names])  # a cell left out is no covariance
                 x = solve_definite(a, np.ones(len(names)))
                 w = None if x is None else x / x.sum()
                 rows += [[*(row[k] for k in by), s, None if w is None else w[k], None if w is None else float(w @ a @ w)] for k, s in enumerate(names)]

@@ -92,7 +92,25 @@ def test_growth_tells_why_it_is_undefined(balances):
 
 def test_windows_over_time(balances):
     df = panels.level_vs_history(panels.trailing_sum(panels.average_balance(balances, ["k"], "t", "v"), ["k"], "t", "v"), ["k"], "t", "v", n=2)
-    assert rows(df.select("average", "ttm", "level"), "t") == [(None, None, None), (125.0, None, None), (75.0, None, -125.0), (12.5, 275.0, -50.0), (None, None, None), (None, None, None)]
+    assert rows(df.select("average", "ttm", "level"), "t") == [(None, None, None), (125.0, None, None), (75.0, None, -125.0), (12.5, 275.0, -50.0), (None, None, None), (None, None, 5.0)]
+
+
+def test_forward_returns_need_a_base_above_zero(balances):
+    assert rows(panels.forward_return(balances, ["k"], "t", "v").select("fwd"), "t") == [(0.5,), (-1.0,), (None,), (None,), (None,), (None,)]
+
+
+def test_portfolios_need_two_rows_a_bucket(spark):
+    df = spark.createDataFrame([(t, i, float(i), i / 10) for t, n in ((1, 7), (2, 8)) for i in range(n)], "t int, m int, s double, r double")
+    found = rows(panels.long_short(df, ["t"], "s", "m", "r", 4), "t")
+    assert found[0] == (1, None, None, None, "INSUFFICIENT_MEMBERS") and found[1][:4] == (2, approx(0.65), approx(0.05), approx(0.6))
+    empty = panels.bucket_means(spark.createDataFrame([(1, 0, 2.0)], "t int, b long, r double"), ["t"], "b", "r", 2)
+    assert rows(empty, "b") == [(1, 0, 1, 2.0, None), (1, 1, 0, None, "EMPTY_BUCKET")]
+
+
+def test_complete_cases_count_what_they_drop(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (None, None), (1.0, None)], "a double, b double")
+    kept, counts = panels.complete_cases(df, ["a", "b"])
+    assert kept.count() == 1 and tuple(counts.first()) == (4, 1, 2, 1)
 
 
 def test_transforms_across_members(spark):
@@ -112,6 +130,84 @@ def test_quantile_buckets_are_floors_not_ntiles(spark):
 # research
 
 
+def test_covariance_is_of_complete_dates(spark):
+    df = spark.createDataFrame([(s, t, float(v)) for s, vs in (("a", (1, 2, 3, 4, 5)), ("b", (2, None, 1, 0, 7)), ("c", (1, 1, 2, 2, None))) for t, v in enumerate(vs) if v is not None], "s string, t int, r double")
+    found = rows(research.upper_triangle(df, "s", "t", "r").select("i", "j", "n", "cov"), "i", "j")
+    import numpy as np
+
+    m = np.cov(np.array([[1, 3, 4], [2, 1, 0], [1, 2, 2.0]]), bias=True)
+    assert {n for *_, n, _ in found} == {3} and [c for *_, c in found] == approx([m[0, 0], m[0, 1], m[0, 2], m[1, 1], m[1, 2], m[2, 2]])
+    with pytest.raises(Exception, match="more than 16 series"):
+        research.upper_triangle(spark.createDataFrame([(f"s{i:02}", 1, 1.0) for i in range(17)], "s string, t int, r double"), "s", "t", "r").collect()
+
+
+def test_minimum_variance_of_five_series_equals_the_inverse(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.normal(0, 1, (40, 5)) @ r.normal(0, 1, (5, 5))
+    df = spark.createDataFrame([(f"s{j}", i, float(x[i, j])) for i in range(40) for j in range(5)], "s string, t int, r double")
+    got = rows(research.minimum_variance(research.upper_triangle(df, "s", "t", "r")).select("weight", "variance"), "series")
+    m = np.cov(x.T, bias=True)
+    w = np.linalg.solve(m, np.ones(5))
+    w /= w.sum()
+    assert [g[0] for g in got] == approx(w.tolist()) and got[0][1] == approx(w @ m @ w)
+    walk = research.walk_forward(df, "s", "t", "r", 20, 8)
+    for k in range(3):
+        part = np.cov(x[k * 8 : k * 8 + 20].T, bias=True)
+        v = np.linalg.solve(part, np.ones(5))
+        v /= v.sum()
+        own = rows(walk.where(F.col("window") == k).select("oos_return", "predicted_variance"), "t")
+        assert [o[0] for o in own] == approx((x[20 + k * 8 : 28 + k * 8] @ v).tolist()) and own[0][1] == approx(v @ part @ v)
+
+
+def test_dense_matrices_are_checked(spark):
+    good = cells(spark, ("a", "a", 1.0), ("a", "b", 0.5), ("b", "b", 2.0))
+    assert rows(research.dense_matrix(good).select("i", "j", "cov"), "i", "j") == [("a", "a", 1.0), ("a", "b", 0.5), ("b", "a", 0.5), ("b", "b", 2.0)]
+    for bad, why in ((good.where("i = j"), "missing"), (good.unionByName(good.limit(1)), "twice")):
+        with pytest.raises(Exception, match=why):
+            research.dense_matrix(bad).collect()
+
+
+def test_windows_are_excluded_for_the_first_reason(spark):
+    df = spark.createDataFrame([(False, None, None), (True, None, 1.0), (True, 0.0, None), (True, 1.0, None), (True, 1.0, 1.0)], "w boolean, p double, r double")
+    got = df.select(research.calibration_exclusion(F.col("w"), F.col("p"), F.col("r"))).collect()
+    assert [r[0] for r in got] == ["WINDOW_UNDEFINED", "PREDICTED_VARIANCE_UNDEFINED", "ZERO_PREDICTED_VARIANCE", "SINGLE_VALID_PERIOD", None]
+
+
+def test_track_records_and_campaigns_tell_reasons(spark):
+    df = spark.createDataFrame([(1, 0.5, 30, 0.0, 3.0), (2, -0.1, 30, 0.0, 3.0), (3, 1.0, 3, 2.0, 3.0), (4, None, 1, None, None)], "t int, s double, n long, sk double, k double")
+    got = rows(research.track_records(df, "t", "s", "n", "sk", "k").select("min_length", "sufficient", "reason"), "t")
+    assert [g[2] for g in got] == [None, "SHARPE_NOT_ABOVE_BENCHMARK", "DEGENERATE_SHARPE_ESTIMATOR", "TRIAL_UNDEFINED"] and got[0][0] == approx(1 + 1.125 * (1.6448536269514722 / 0.5) ** 2) and got[0][1] is True
+    profile = research.track_record_profile(research.track_records(df, "t", "s", "n", "sk", "k")).first()
+    assert (profile["n_determined"], profile["status"], profile["reason"]) == (1, "UNDEFINED", "INSUFFICIENT_DETERMINED_TRIALS")
+    one = rows(research.campaign(df.where("t in (1, 4)"), "t", "s", "n", "sk", "k").select("selected", "psr", "reason"), "t")
+    assert one == [(False, None, "INSUFFICIENT_VALID_TRIALS")] * 2
+    tied = research.campaign(spark.createDataFrame([(1, 0.5, 30, 0.0, 3.0), (2, 0.5, 30, 0.0, 3.0)], df.schema), "t", "s", "n", "sk", "k")
+    assert rows(tied.select("t").where("selected")) == [(1,)]
+
+
+def test_admissibility_needs_all_three(spark):
+    df = spark.createDataFrame([(True, 0.5, 0.01, True), (False, 0.5, 0.01, True), (True, 0.01, 0.01, True), (True, 0.5, 0.01, False), (None, 0.01, None, None)], "s boolean, c double, n double, p boolean")
+    got = df.select(research.admissibility(F.col("s"), F.col("c"), F.col("n"), F.col("p"))["verdict"]).collect()
+    assert [r[0] for r in got] == ["ADMISSIBLE", "UNDEFINED", "INADMISSIBLE", "INADMISSIBLE", "UNDEFINED"]
+
+
+def test_regressions_tell_reasons(spark):
+    flat = spark.createDataFrame([("g", float(i), 1.0, float(i % 3)) for i in range(6)] + [("h", 1.0, 2.0, 3.0)], "g string, y double, x double, z double")
+    got = {r["g"]: r["reason"] for r in research.ols_many(flat, ["g"], "y", ["x", "z"]).collect()}
+    assert got == {"g": "SINGULAR_DESIGN", "h": "INSUFFICIENT_OBSERVATIONS"}
+    through = {r["term"]: r["coef"] for r in research.ols_many(flat.where("g = 'g'"), ["g"], "y", ["x"], intercept=False).collect()}
+    assert through == {"x": approx(2.5)}
+    with pytest.raises(ValueError, match="at most 8"):
+        research.ols_many(flat, ["g"], "y", [f"x{i}" for i in range(9)])
+
+
+def test_series_that_differ_are_told(spark):
+    df = spark.createDataFrame([("a", "m", 3), ("a", "m", 4), ("b", "m", 3)], "g string, schedule string, n int")
+    assert rows(research.commensurable(df, ["g"], ["schedule", "n"]), "g") == [("a", False, "n"), ("b", True, None)]
+
+
 def cells(spark, *c):
     return spark.createDataFrame(list(c), "i string, j string, cov double")
 
@@ -160,6 +256,14 @@ def test_least_squares(spark):
 def test_normal_distribution(spark):
     got = spark.range(1).select(s.normal_cdf(F.lit(1.959963985)), s.normal_cdf(F.lit(-9.0)), s.normal_ppf(F.lit(0.975)), s.normal_ppf(F.lit(0.0)), s.harmonic(F.lit(4))).first()
     assert list(got)[:3] == approx([0.975, 0.0, 1.959963985], abs=1e-7) and got[3] is None and got[4] == approx(25 / 12)
+    from statistics import NormalDist
+
+    n, xs, ps = NormalDist(), [-9.0, -5.5, -3.1, -2.9, -0.1, 0.0, 1.0, 3.5, 6.5], [1e-12, 1e-6, 0.01, 0.3, 0.5, 0.9, 0.999999]
+    cdf = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(s.normal_cdf(F.col("x"))).collect()]
+    import math
+
+    assert cdf == [approx(0.5 * math.erfc(-x / 2**0.5), rel=1e-9) for x in xs]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(s.normal_ppf(F.col("p"))).collect()] == [approx(n.inv_cdf(p), rel=1e-7, abs=1e-12) for p in ps]
 
 
 # series and backtests
@@ -170,10 +274,22 @@ def test_worst_episode(spark):
     assert rows(series.worst_episode(df, ["s"], "t", "v")) == [("s", 0.5, 1, 2)]
 
 
-def test_value_at_risk(spark):
-    df = spark.createDataFrame([("s", x / 100) for x in range(-5, 16)], "s string, r double")
-    got = series.value_at_risk(df, ["s"], "r").first()
-    assert (got["var"], got["cvar"]) == (approx(0.04), approx(0.045))
+def test_value_at_risk_is_by_nearest_rank(spark):
+    df = spark.createDataFrame([("s", x / 100) for x in range(20)] + [("t", x / 100) for x in range(-5, 16)] + [("u", 0.5)], "s string, r double")
+    got = {r["s"]: (r["var"], r["cvar"]) for r in series.value_at_risk(df, ["s"], "r").collect()}
+    assert got == {"s": (0.0, 0.0), "t": (approx(-0.04), approx(-0.045)), "u": (None, None)}
+
+
+def test_adjustment_with_dividends(spark):
+    closes = spark.createDataFrame([("s", d, 10.0) for d in (1, 2, 3)] + [("x", 1, 1.0)], "s string, d int, c double")
+    actions = spark.createDataFrame([("s", 3, None, 2.0, 8.0), ("s", 2, 2.0, None, None), ("x", 5, 0.0, None, None)], "s string, ex int, ratio double, amount double, ref double")
+    found = series.adjustment_factors(closes, actions, "s", "d", "ex", "ratio", "amount", "ref")
+    assert [r[0] for r in rows(found.select("factor"), "s", "d")] == [approx(0.375), approx(0.75), approx(1.0), None]
+
+
+def test_a_fall_from_the_start_counts(spark):
+    df = spark.createDataFrame([("s", 1, -0.5), ("s", 2, 0.5)], "s string, t int, r double")
+    assert rows(series.worst_episode(series.wealth(df, ["s"], "t", "r"), ["s"], "t", "level")) == [("s", 0.5, 1, None)]
 
 
 def test_split_adjustment(spark):

@@ -28,7 +28,7 @@ def test_bars_and_actions(spark):
 
 
 def test_tickers(spark):
-    assert tuple(filings.tickers(docs(spark, {"0": {"cik_str": "12", "ticker": "zz", "title": "Z & Z, Inc."}})).first()) == ("0000000012", "ZZ", "Z & Z, Inc.", "Z Z INC")
+    assert tuple(filings.tickers(docs(spark, {"0": {"cik_str": "12", "ticker": "zz", "title": "Z & Z, Inc."}})).first()) == ("0000000012", "ZZ", "Z & Z, Inc.", "Z & Z, INC.")
 
 
 INSTANCE = """<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:g="urn:g">
@@ -54,8 +54,18 @@ def test_store_is_write_once(spark):
 
 def test_corpus_root_does_not_depend_on_order(spark):
     df = spark.range(1000).withColumn("g", F.lit(1))
-    a, b = (store.corpus_root(x, ["g"], "id").first() for x in (df, df.orderBy(F.rand(1)).unionByName(df)))
-    assert a == b and a["n"] == 1000
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    df = df.withColumn("id", F.sha2(F.col("id").cast("string"), 256))
+    a, b, c = (store.corpus_root(x, ["g"], "id", height=h).first() for x, h in ((df, 10), (df.orderBy(F.rand(1)).unionByName(df), 3), (df, 1)))
+    level = [sha(x) for x in sorted(sha(str(i)) for i in range(1000))]
+    while len(level) > 1:
+        level = [sha("\0".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert a == b == c and a["n"] == 1000 and a["root"] == f"sha256:{level[0]}"
+    versions = store.dataset_version(df, ["g"], "t", ["p"], "id", "id")
+    pinned = versions.select("g", "root").unionByName(spark.createDataFrame([(1, "sha256:x"), (2, "sha256:y")], "g int, root string"))
+    assert sorted(r["status"] for r in store.pins_match(versions, pinned, ["g"]).collect()) == ["match", "mismatch", "missing"]
 
 
 def test_identifiers_and_calendar(spark):
@@ -65,8 +75,53 @@ def test_identifiers_and_calendar(spark):
     d = lambda x: F.lit(x).cast("date")
     assert str(one(s.next_business_day(d("2023-12-22")))) == "2023-12-26"
     assert str(one(s.add_months_sticky(d("2024-02-29"), 1))) == "2024-03-31"
-    late = s.filing_available(F.lit("2023-11-03 23:30:00").cast("timestamp"), F.lit("2025-01-01").cast("timestamp"))
-    assert str(one(late)) == "2023-11-06 22:30:00"
+    at = lambda x: F.lit(x).cast("timestamp")
+    assert str(one(s.filing_available(at("2023-11-03 23:30:00"), at("2025-01-01")))) == "2023-11-06 22:30:00"
+    assert one(s.filing_available(at(None), at("2025-01-01"))) is None and one(s.filing_available(at("2025-01-02"), at("2025-01-01"))) is None
+    assert str(one(s.filing_available(at("2023-11-03 15:00:00"), at("2023-11-03 16:00:00")))) == "2023-11-03 16:00:00"
+    assert str(one(s.market_available(d("2024-07-03"), at("2024-08-01")))) == "2024-07-04 00:00:00"
+    assert one(s.market_available(d("2024-07-03"), at("2024-07-03 19:59:59"))) is None and str(one(s.market_available(d("2024-07-03"), at("2024-07-03 21:00:00")))) == "2024-07-03 21:00:00"
+    assert one(s.is_business_day(d("2021-12-31"))) is True and one(s.is_business_day(d("2021-12-24"))) is False and one(s.is_business_day(d("2022-06-20"))) is False
+    assert one(s.is_amendment(F.lit(" 10-k/a "))) is True and one(s.base_form(F.lit(" 10-k/a "))) == "10-K" and one(s.plain_name(F.lit(" a.b  c"))) == "A.B C"
+
+
+def test_exact_numbers(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    made = [one(s.plain_decimal(s.folded(F.lit(v), F.lit(k), F.lit(g)))) for v, k, g in (("1,234.50", None, None), ("0.10", 2, "-"), ("12", -3, None), ("-0", 0, None), ("x", None, None), ("1e2", None, None), ("NaN", None, None))]
+    assert made == ["1234.5", "-10", "0.012", "0", None, "100", None]
+    with pytest.raises(Exception, match="bad scale or sign"):
+        one(s.folded(F.lit("1"), F.lit("x"), F.lit(None)))
+
+
+def test_units_and_periods(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    usd, pure = F.lit("USD"), F.lit("pure")
+    assert [one(f(a, b)) for f, a, b in ((s.sum_unit, usd, usd), (s.sum_unit, usd, F.lit("EUR")), (s.quotient_unit, usd, usd), (s.quotient_unit, usd, pure), (s.factor_unit, usd, pure), (s.factor_unit, usd, usd))] == ["USD", None, "pure", None, "USD", None]
+    assert tuple(one(s.canonical_period(F.lit("forever"), F.lit("x"), F.lit("y")))) == ("forever", None, None)
+    with pytest.raises(Exception, match="lacks its dates"):
+        one(s.canonical_period(F.lit("duration"), F.lit(None), F.lit("2024-01-01")))
+
+
+def test_registry_merges_equal_records_alone(spark):
+    from asofkit.sources import registry
+
+    rows = [("f", "c", "10-K", "d", "t"), ("f", "c", "10-K", "d", "t"), ("g", "c", "10-K", "d", None)]
+    df = spark.createDataFrame(rows, "filing_id string, company_id string, form string, filing_date string, accepted string").withColumn("report_date", F.lit("r"))
+    assert registry.merged_filings(df).count() == 2 and registry.built(df).count() == 2
+    with pytest.raises(Exception, match="records of one filing differ"):
+        registry.merged_filings(df.unionByName(df.limit(1).withColumn("form", F.lit("8-K")))).collect()
+    assert [r["filing_known"] for r in registry.with_filings(spark.createDataFrame([("f", "c"), ("f", "x")], "filing_id string, company_id string"), df).orderBy("company_id").collect()] == [True, False]
+
+
+def test_canonical_facts(spark):
+    from asofkit.sources import registry
+
+    usd = ["{http://www.xbrl.org/2003/iso4217}USD"]
+    rows = [("s", "{http://fasb.org/us-gaap/2023}Assets", "e", "instant", None, "2023-12-31", None, "1,000", "-3", False, None, usd, None, "3", "-"), ("s", "{urn:x}Note", "e", "duration", "2023-01-01", "2023-12-31", [("a", "m")], "text", None, False, None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "source string, concept string, entity string, period_type string, period_start string, period_end string, dimensions array<struct<axis:string,member:string>>, value string, decimals string, is_nil boolean, error string, numerator array<string>, denominator array<string>, scale string, sign string")
+    a, b = registry.canonical_facts(raw).orderBy("concept").collect()
+    assert (a["taxonomy"], a["concept"], a["unit"], float(a["value"]), a["consolidated"]) == ("us-gaap", "Assets", "USD", -1_000_000.0, True)
+    assert (b["taxonomy"], b["unit"], b["value"], b["lexical"], b["dimensions_key"], b["consolidated"]) == ("custom", "unknown", None, "text", "a=m", False)
 
 
 def test_formula_tells_the_first_missing_input(spark):
