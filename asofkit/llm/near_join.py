@@ -209,14 +209,19 @@ def _linked(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return dealt.mapInArrow(run, "cls binary, docs long, classes long, root binary")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (least node of its component) for edges (u, v), by alternating large and small stars."""
+def components(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """node, root (least node of its component) for edges (u, v), by alternating large and small stars until nothing changes.
+
+    Each round joins components, so the rounds follow the logarithm of the longest path; there is no limit. The neighbours of a node are dealt to `salts` groups, so
+    that the centre of a star is no single task."""
     edges = written(edges.select("u", "v").where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
+        parts = both.groupBy("u", "s").agg(F.min("v").alias("m"))
+        least = parts.groupBy("u").agg(F.least(F.first("u"), F.min("m")).alias("least"))
+        centres = parts.select("u", "s").join(least, "u")
+        large = both.where("v > u").join(centres, ["u", "s"]).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -225,7 +230,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _small(df: DataFrame, rows: int) -> bool:

@@ -46,6 +46,11 @@ APPLIED = {
     "suffix": suffix_dedup.without_repeats,
     "pii": lambda d: pii.pseudonymised(d, "k"),
     "scores": language_model.scores,
+    "codes": pieces.encode,
+    "anchors": syncmers.fingerprints,
+    "kept_clean": lambda d: decontaminate.without_contaminated(d, d.where("text = 'nothing'").select(F.col("doc_id").alias("item_id"), "text")),
+    "kept_harmless": lambda d: toxicity.without_toxic(d, toxicity.fitted(d, d.select("doc_id", F.lit(0).alias("toxic")), F.col("toxic"), 2), 0.9),
+    "turns": lambda d: chat.format_turns(chat.turns_of_rows(d.select(F.monotonically_increasing_id().alias("conv_id"), F.col("n").alias("turn"), F.col("key").alias("role"), "text", "bucket"))),
 }
 
 
@@ -183,9 +188,69 @@ def test_syncmers_do_not_depend_on_their_surroundings():
     assert inside(a, 0) == inside(b, 100) != set()
 
 
+def test_syncmers_and_sketches_follow_the_plain_definition():
+    m64 = (1 << 64) - 1
+    base, mixer = int(syncmers._BASE), int(syncmers._MIX)
+
+    def mix(h):
+        h ^= h >> 32
+        h = h * mixer & m64
+        h ^= h >> 29
+        h = h * mixer & m64
+        return h ^ h >> 32
+
+    def poly(text):
+        h = 0
+        for c in text:
+            h = (h * base + (ord(c) + 1) * mixer) & m64
+        return h
+
+    rng = random.Random(44)
+    for text in ("".join(rng.choices("abcdé 😀", k=n)) for n in (15, 16, 17, 40, 400)):
+        want = []
+        for i in range(len(text) - syncmers.K + 1):
+            inner = [mix(poly(text[i + j : i + j + syncmers.S])) for j in range(syncmers.K - syncmers.S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.append((i, mix((poly(text[i : i + syncmers.K]) + 1) & m64)))
+        at, h = syncmers.anchors(text)
+        if len(text) >= syncmers.K:
+            assert list(zip(at.tolist(), h.tolist(), strict=True)) == want
+        bins = {}
+        for x in h.tolist():
+            bins[x >> 57] = min(x, bins.get(x >> 57, x))
+        assert syncmers.sketch(h).tolist() == [(bins[b] >> 20) % syncmers.EMPTY if b in bins else syncmers.EMPTY for b in range(syncmers.BINS)]
+
+
+def test_positional_anchors_are_those_of_the_texts(spark):
+    texts = ["", None, "short", "the same passage of some length stands here " * 3]
+    got = sorted((r["doc_id"], r["position"], r["anchor"] % (1 << 64)) for r in syncmers.positional_anchors(docs(spark, texts)).collect())
+    assert got == sorted((i, int(p), int(h)) for i, t in enumerate(texts) for p, h in zip(*syncmers.anchors(t or ""), strict=True))
+
+
 # 5
 
 
+def test_components_of_stars_and_chains(spark):
+    edges = [("a", f"n{i:03}") for i in range(200)] + [(f"m{i:03}", f"m{i + 1:03}") for i in range(60)] + [("z", "z"), ("q", "p")]
+    got = dict(map(tuple, near_join.components(spark.createDataFrame(edges, "u string, v string")).collect()))
+    assert got == {f"n{i:03}": "a" for i in range(200)} | {f"m{i:03}": "m000" for i in range(1, 61)} | {"q": "p"}
+
+
+def test_minhash_estimates_the_similarity():
+    rng = random.Random(555)
+    word_hash = near_join._word_hashes()
+    for share in (0.5, 0.8, 0.95):
+        off = []
+        for _ in range(40):
+            n = int(400 * (1 - share) / (1 + share))
+            common, own = [f"c{rng.random()}" for _ in range(400 - n)], ([f"x{rng.random()}" for _ in range(n)] for _ in range(2))
+            import numpy as np
+
+            a, b = (np.unique(np.array([word_hash(w) for w in [*common, *o]], np.uint64)) for o in own)
+            off.append(float((near_join.signature(a) == near_join.signature(b)).mean()) - (400 - n) / (400 + n))
+        assert abs(sum(off) / len(off)) < 0.02
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(5)
     texts = [None, "", "one two", "one  TWO", words(rng, 4)]
@@ -238,6 +303,41 @@ def test_toxicity_separates_held_out_documents(spark):
     assert list(model.thresholds) == sorted(model.thresholds)
 
 
+def test_fit_is_the_maximum_of_the_ordinal_likelihood():
+    import numpy as np
+
+    rng = random.Random(66)
+    rows = []
+    for i in range(240):
+        x = [c for c in (1, 2, 3, 4) if rng.random() < 0.5] or [5]
+        z = 2.0 * (1 in x) + 1.0 * (2 in x) - 1.5 * (3 in x) + rng.gauss(0, 0.8)
+        rows.append(([*x, 1000 + i], 0 if z < 0.3 else 1 if z < 1.6 else 2))
+    ridge = 1e-3
+    m = toxicity.fit(rows, 3, steps=4000, rate=0.02, ridge=ridge, level=0.9)
+    names = sorted(m.weights)
+    assert len(names) >= 2
+
+    def loss(theta):
+        w, t = dict(zip(names, theta, strict=False)), theta[len(names) :]
+        total = 0.0
+        for x, y in rows:
+            found = [c for c in x if c in w]
+            s = sum(w[c] for c in found) / max(1, len(found))
+            up = [1.0, *(1 / (1 + math.exp(-(s - b))) for b in t), 0.0]
+            total -= math.log(up[y] - up[y + 1])
+        return total / len(rows) + ridge / 2 * sum(v * v for v in w.values())
+
+    at = [*(m.weights[c] for c in names), *m.thresholds]
+    best = loss(at)
+    for i in range(len(at)):
+        for step in (0.05, -0.05):
+            moved = list(at)
+            moved[i] += step
+            assert loss(moved) > best - 1e-6
+    severity, toxic = toxicity._judged(m, np.array([0.7]))
+    assert severity[0] == pytest.approx(sum(1 / (1 + math.exp(-(0.7 - t))) for t in m.thresholds)) and toxic[0] == pytest.approx(1 / (1 + math.exp(-(0.7 - m.thresholds[0]))))
+
+
 def test_severity_is_the_expected_grade():
     rows = [([1, 5], 0)] * 40 + [([2, 5], 1)] * 40 + [([3, 5], 2)] * 40
     m = toxicity.fit([([*c, 100 + i], g) for i, (c, g) in enumerate(rows)], 3)
@@ -269,6 +369,14 @@ def test_long_conversations_are_whole(spark):
         chat.format_chats(chat.records_of(rows)).select("layout").collect()
 
 
+def test_odd_conversations(spark):
+    rows = [(1, None, None, None), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 1, "user", "<|turn|>\\x"), (None, 1, "assistant", ""), (2, 1, "assistant", "same"), (2, 1, "assistant", "same")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("layout", F.lit("clash"))
+    made = chat.format_turns(chat.turns_of_rows(df)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_mask"))).collect()
+    got = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["loss"], r["layout"]) for r in made}
+    assert got == {1: ([("", ""), ("user", "<|turn|>\\x"), ("assistant", "a"), ("assistant", "b")], "ab", "messages"), None: ([("assistant", "")], "", "messages"), 2: ([("assistant", "same")] * 2, "samesame", "messages")}
+
+
 # 8
 
 
@@ -517,3 +625,23 @@ def test_pipeline(spark, sf):
         assert ids <= before and len(ids) == after.count() and len(ids) > 0.5 * len(before)
         held = spark.createDataFrame(after.collect(), corpus.schema)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, odd):
+    import corpus_pipeline
+
+    corpus = spark.read.parquet(f"{sf}/documents.parquet")
+    own = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("x").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    for docs_ in (own, own.limit(0), corpus.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs_, sf)
+            assert after.count() <= docs_.count() and (name == "sentencepiece" or after.columns == docs_.columns)
+            if name in ("pii", "sentencepiece"):
+                assert after.count() == docs_.count()
+
+
+def test_intermediate_tables_can_be_released(spark, corpus):
+    from asofkit.llm import _common
+
+    table = _common.written(corpus.limit(5))
+    assert table.count() == 5 and _common.released(spark) > 0 and _common.released(spark) == 0
