@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each written and read again before the next."""
+"""A training corpus from raw documents: five stages, each written and read again before the next.
+
+Null texts count as empty; empty texts are clean, have no near duplicates and stay. Rows are judged as rows: equal ids with different texts, and null ids,
+are documents of their own. Of rows with the same id and text one stays. An empty table gives an empty result. Columns other than those of documents pass
+through all stages but the last, which gives those of the codec.
+"""
 
 from __future__ import annotations
 
