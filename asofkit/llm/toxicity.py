@@ -177,7 +177,7 @@ def _judged(m: OrdinalModel, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return p.sum(axis=1), p[:, 0]
 
 
-def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", memo: int = 150_000) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (P(grade >= 1)), a row for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -190,7 +190,7 @@ def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", tex
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double")
 
 
-def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float, text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float, text_col: str = "text", memo: int = 150_000) -> DataFrame:
     """docs less those with P(grade >= 1) at the threshold or above; all columns stay, nothing is shuffled."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
