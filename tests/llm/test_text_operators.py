@@ -89,6 +89,13 @@ def test_token_counts_equal_greedy_matching():
             assert automaton.count(word) == (tokens, odd), (known, word)
 
 
+def test_words_with_unknown_characters_may_count_once(spark):
+    automaton = token_counts.LongestMatch(["▁a", "b", "c"], unknown="word")
+    assert [automaton.count(w) for w in ("abc", "aéc", "é")] == [(3, 0), (1, 1), (1, 1)]
+    made = token_counts.token_counts(docs(spark, ["a x\U00013000y b", None, ""]), unknown="word").orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_fallback"]) for r in made] == [(3, 1), (0, 0), (0, 0)]
+
+
 # 2
 
 
