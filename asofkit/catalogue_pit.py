@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import DATES, _quantised, _yearly_weights, query, segment_returns, sq, table
 from .functions import scalars as s
-from .operators import metrics, prices, research, sets, universe
+from .operators import backtest, metrics, prices, research, series, sets, universe
 from .plans.formula import BUILTIN, Formula
 from .sources import registry, store
 
@@ -400,8 +400,34 @@ def commensurable_series(spark: SparkSession, d: str) -> DataFrame:
 r as (select series_id, month, level / nullif(lag(level) over (partition by series_id order by month), 0) - 1 as ret from levels), w as (select series_id, month, product(1 + ret) over (partition by series_id order by month rows unbounded preceding) as level from r where ret is not null),
 a as (select * from w union all select distinct series_id, null::date, 1.0 from w), p as (select *, max(level) over (partition by series_id order by month nulls first rows unbounded preceding) as peak from a) select series_id, """ + sq("-min(level / peak - 1)") + """ as max_drawdown from p group by 1""")
 def wealth_drawdown(spark: SparkSession, d: str) -> DataFrame:
-    from .operators import series
-
     levels = series.wealth(segment_returns(spark, d), ["series_id"], "month", "ret")
     return _quantised(series.worst_episode(levels, ["series_id"], "month", "level"), "max_drawdown").select("series_id", "max_drawdown")
 
+
+
+_CURVES = """curves as (select c_mktsegment as series_id, date_trunc('month', o_orderdate)::date as month, sum(o_totalprice::decimal(18,2))::double as equity from orders join customer on o_custkey = c_custkey group by 1, 2),
+p as (select *, equity / lag(equity) over (partition by series_id order by month) - 1 as r, max(equity) over (partition by series_id order by month rows unbounded preceding) as top from curves),
+stats as (select series_id, count(r) as n_periods, arg_min(equity, month) as initial, arg_max(equity, month) as final, max(equity) as peak, arg_max(equity, month) / arg_min(equity, month) - 1 as cumulative, avg(r) as mean, stddev_pop(r) as vol, (avg(r) / stddev_pop(r)) * sqrt(12) as sharpe, min(equity / top - 1) as max_drawdown from p group by 1)"""
+_STATS = ("cumulative", "mean", "vol", "sharpe", "max_drawdown", "final", "peak", "n_periods")
+
+
+def _curves(spark: SparkSession, d: str) -> DataFrame:
+    return series.equity_statistics(segment_returns(spark, d).select("series_id", "month", "level"), ["series_id"], "month", "level", per_year=12)
+
+
+@query(f"with {_CURVES} select series_id, n_periods, initial, final, peak, {', '.join(f'{sq(c)} as {c}' for c in ('cumulative', 'mean', 'vol', 'sharpe', 'max_drawdown'))} from stats")
+def equity_curves(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(_curves(spark, d), "cumulative", "mean", "vol", "sharpe", "max_drawdown").drop("mean_turnover")
+
+
+@query(f"with {_CURVES}, long as (unpivot (select series_id, {', '.join(f'{c}::double as {c}' for c in _STATS)} from stats) on {', '.join(_STATS)} into name stat value value) select stat, series_id, {sq('value')} as value, row_number() over (partition by stat order by case when stat = 'vol' then value else -value end, series_id) as place, null::varchar as excluded from long")
+def leaderboards(spark: SparkSession, d: str) -> DataFrame:
+    return _quantised(backtest.leaderboards(_curves(spark, d), _STATS, "series_id"), "value")
+
+
+@query("select user_id as security_id, ts::date::varchar as trading_date, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as observed, strftime(min(ts + to_hours((event_id % 7)::int)), '%Y-%m-%d %H:%M:%S') as retrieved from events group by user_id, ts::date")
+def session_evidence(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("ts")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("security_id"), at.cast("date").alias("trading_date"), at.alias("observed"), (at + F.make_interval(hours=(F.col("event_id") % 7).cast("int"))).alias("retrieved"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return prices.earliest_evidence(rows).select("security_id", F.col("trading_date").cast("string").alias("trading_date"), stamp("observed"), stamp("retrieved"))

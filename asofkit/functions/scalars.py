@@ -176,6 +176,11 @@ def market_available(session: Column, retrieved: Column, close: str = "16:00:00"
     return F.when(session.isNotNull() & ~F.coalesce(retrieved < closed, F.lit(False)), out)
 
 
+#: The policies to start with: (id, from, to, forms) of filings public at 17:30 Eastern, and of sessions public at 16:00 Eastern and 240 minutes.
+FILING_POLICY = ("filing-1730-eastern", "2009-01-01", None, ("*",))
+MARKET_POLICY = ("session-1600-eastern-240", "2007-01-01", None, ("*",))
+
+
 def parse_utc(x: Column) -> Column:
     """An instant given with Z or an offset; null without one."""
     return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(x))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_n(signals: DataFrame, date: Sequence[str], signal: str, member: str, n: int) -> DataFrame:
-    """The n best of each date (by signal, then member) with equal weights over those selected."""
-    place = F.row_number().over(Window.partitionBy(*date).orderBy(F.desc(signal), member))
+def top_n(signals: DataFrame, date: Sequence[str], signal: str, member: str, n: int, ascending: bool = False) -> DataFrame:
+    """The n best of each date (by signal, highest first unless ascending, then member) with equal weights over those selected."""
+    place = F.row_number().over(Window.partitionBy(*date).orderBy(F.asc(signal) if ascending else F.desc(signal), member))
     chosen = signals.where(F.col(signal).isNotNull()).withColumn("place", place.cast("long")).where(F.col("place") <= n)
     return chosen.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(*date)))
 
@@ -67,8 +67,32 @@ def run(targets: DataFrame, prices: DataFrame, by: Sequence[str], date: str, mem
     return rows.groupBy(*by).applyInPandas(fold, schema) if by else rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fold, schema)
 
 
-def leaderboard(results: DataFrame, stat: str, name: str) -> DataFrame:
-    """results with place (best first, ties by name) and, for those that are not finite, the reason instead."""
+#: Statistics that results may be ranked by, and whether the highest is the best.
+RANKABLE = {"cumulative": True, "mean": True, "vol": False, "sharpe": True, "max_drawdown": True, "final": True, "peak": True, "mean_turnover": False, "n_periods": True}
+
+
+def leaderboard(results: DataFrame, stat: str, name: str, best_first: bool | None = None) -> DataFrame:
+    """results (one row a trial) with place (best first, ties by name) and, for those that are not finite, the reason instead."""
+    down = RANKABLE.get(stat, True) if best_first is None else best_first
     finite = F.col(stat).isNotNull() & ~F.isnan(F.col(stat).cast("double"))
-    place = F.row_number().over(Window.partitionBy("_fine").orderBy(F.desc(stat), name))
+    place = F.row_number().over(Window.partitionBy("_fine").orderBy(F.desc(stat) if down else F.asc(stat), name))
     return results.withColumn("_fine", finite).withColumn("place", F.when(F.col("_fine"), place).cast("long")).withColumn("excluded", F.when(~F.col("_fine"), "not_finite")).drop("_fine")
+
+
+def leaderboards(results: DataFrame, stats: Sequence[str], name: str) -> DataFrame:
+    """stat, name, value, place, excluded: results ranked by several statistics at once."""
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("stat"), F.col(x).cast("double").alias("value"), F.lit(RANKABLE.get(x, True)).alias("_down")) for x in stats]))
+    rows = results.select(name, cells.alias("c")).select(name, "c.*").withColumn("_fine", F.col("value").isNotNull() & ~F.isnan("value"))
+    place = F.row_number().over(Window.partitionBy("stat", "_fine").orderBy(F.when(F.col("_down"), -F.col("value")).otherwise(F.col("value")), name))
+    return rows.select("stat", name, "value", F.when(F.col("_fine"), place).cast("long").alias("place"), F.when(~F.col("_fine"), "not_finite").alias("excluded"))
+
+
+def best_of(results: DataFrame, stat: str, name: str) -> DataFrame:
+    """The result in first place."""
+    return leaderboard(results, stat, name).where("place = 1")
+
+
+def pins_differ(results: DataFrame, pin: str) -> DataFrame:
+    """One row: pins (distinct, in order) and mismatch, whether there are several; null for no results."""
+    pins = F.array_sort(F.collect_set(pin))
+    return results.agg(pins.alias("pins"), F.when(F.count("*") > 0, F.size(pins) > 1).alias("mismatch"))

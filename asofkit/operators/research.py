@@ -375,3 +375,17 @@ def admissibility(stable: Column, calibration_p: Column, net_p: Column, profitab
     all_ = F.array(one, two, three)
     verdict = F.when(F.array_contains(all_, "UNDEFINED"), "UNDEFINED").when(F.array_contains(all_, "FAIL"), "INADMISSIBLE").otherwise("ADMISSIBLE")
     return F.struct(one.alias("stability"), two.alias("calibration"), three.alias("net_edge"), verdict.alias("verdict"))
+
+
+def aligned(left: DataFrame, right: DataFrame, window: str) -> DataFrame:
+    """Two tables of windows joined by their index; a window that one of them lacks is an error."""
+    a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
+    both = a.join(b, window, "full")
+    ok = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    return both.withColumn(window, F.when(ok, F.col(window)).otherwise(F.raise_error(F.lit("the windows differ")).cast(left.schema[window].dataType))).drop("_l", "_r")
+
+
+def dated(returns: DataFrame, windows_: DataFrame, window: str, ordinal: str, date: str) -> DataFrame:
+    """Returns numbered within their windows (from 0) with the date of that place among the window's test dates (window, role, date)."""
+    tests = windows_.where("role = 'test'").withColumn(ordinal, (F.row_number().over(Window.partitionBy(window).orderBy(date)) - 1).cast("int")).select(window, ordinal, date)
+    return returns.join(tests, [window, ordinal])

@@ -104,3 +104,20 @@ def adjustment_factors(closes: DataFrame, actions: DataFrame, key: str, date: st
     both = mine.unionByName(theirs, allowMissingColumns=True)
     bad = F.count_if((F.col("_row") == 0) & F.col("_f").isNull()).over(w) > 0
     return both.withColumn("factor", F.when(~bad, F.coalesce(F.product("_f").over(w), F.lit(1.0)))).where("_row = 1").drop("_f", "_at", "_row")
+
+
+def equity_statistics(df: DataFrame, by: Sequence[str], order: str, equity: str, turnover: str | None = None, per_year: int = 1, risk_free: float = 0.0) -> DataFrame:
+    """by, n_periods, initial, final, peak, cumulative, mean, vol, sharpe, max_drawdown (0 or below), mean_turnover of equity marks.
+
+    Without dispersion the Sharpe ratio is 0, as are mean and vol of a single mark; a mark of 0 or below, but for the last, is an error."""
+    w = Window.partitionBy(*by).orderBy(order)
+    lost = F.raise_error(F.lit("an equity mark is not above 0")).cast("double")
+    rows = df.withColumn("_prev", F.lag(equity).over(w)).withColumn("_peak", F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_r", F.when(F.col("_prev").isNotNull(), F.when(F.col("_prev") > 0, F.col(equity) / F.col("_prev") - 1).otherwise(lost)))
+    m = rows.groupBy(*by).agg(
+        F.count("_r").alias("n_periods"), F.min_by(equity, order).alias("initial"), F.max_by(equity, order).alias("final"), F.max(equity).alias("peak"), F.coalesce(F.avg("_r"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("_r"), F.lit(0.0)).alias("vol"),
+        (F.max("_r") > F.min("_r")).alias("_differ"), F.min(div(F.col(equity), F.col("_peak")) - 1).alias("max_drawdown"), (F.avg(turnover) if turnover else F.lit(None).cast("double")).alias("mean_turnover"),
+    )
+    fine = F.when(F.col("initial") > 0, F.col("final") / F.col("initial") - 1).otherwise(lost)
+    sharpe = F.when(F.coalesce(F.col("_differ"), F.lit(False)), (F.col("mean") - risk_free) / F.col("vol") * float(per_year) ** 0.5).otherwise(0.0)
+    return m.select(*by, "n_periods", "initial", "final", "peak", fine.alias("cumulative"), "mean", "vol", sharpe.alias("sharpe"), "max_drawdown", "mean_turnover")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -132,3 +134,15 @@ BUILTIN = {
         _ratio("asset_turnover", "revenue", "assets"),
     )
 }
+
+
+def described(node: Ref | Const | Op) -> object:
+    if isinstance(node, Ref):
+        return {"ref": node.name}
+    return {"const": node.value} if isinstance(node, Const) else {"op": node.op, "left": described(node.left), "right": described(node.right)}
+
+
+def identity(formula: Formula) -> str:
+    """formula:<SHA-256> of a formula's content: inputs in order, body and output; the name does not count."""
+    content = {"inputs": [[i.name, list(i.concepts), i.period, i.family, i.taxonomy] for i in formula.inputs], "body": described(formula.body), "output": formula.output}
+    return "formula:" + hashlib.sha256(json.dumps(content, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical_period, canonical_unit, clark, dimensions_key, folded, taxonomy
+from ..functions.scalars import accession, canonical_period, canonical_unit, cik10, clark, dimensions_key, folded, taxonomy
 from ..operators.sets import amendment_links
 
 #: What all records of one filing must agree on.
@@ -45,3 +45,37 @@ def canonical_facts(raw: DataFrame) -> DataFrame:
         "source", "entity", taxonomy(F.col("_name.namespace")).alias("taxonomy"), F.col("_name.local").alias("concept"), "_period.*", F.col("_unit.unit").alias("unit"), F.col("_unit.currency").alias("currency"),
         F.when(~F.col("is_nil"), folded(F.col("value"), F.col("scale"), F.col("sign"))).alias("value"), F.col("value").alias("lexical"), "decimals", "is_nil", F.col("_key").alias("dimensions_key"), (F.col("_key") == "").alias("consolidated"),
     )
+
+
+def filings_of(registry: DataFrame, company_id: str | None = None, form: str | None = None, filing_id: str | None = None) -> DataFrame:
+    """Filings of a company, a form (amendments have their own) or one filing; the filters reach the scan."""
+    for column, value in (("company_id", company_id), ("form", form), ("filing_id", filing_id)):
+        registry = registry if value is None else registry.where(F.col(column) == value)
+    return registry
+
+
+def facts_of(facts: DataFrame, company_id: str) -> DataFrame:
+    return facts.where(F.col("company_id") == company_id)
+
+
+def single_version(rows: DataFrame, by: Sequence[str], version: str) -> DataFrame:
+    """by, versions (distinct, in order); an error where rows of a group were made by several."""
+    held = F.array_sort(F.collect_set(version))
+    return rows.groupBy(*by).agg(F.when(F.size(held) <= 1, held).otherwise(F.raise_error(F.lit("rows of several versions")).cast("array<string>")).alias("versions"))
+
+
+#: Public addresses (fixed values).
+DATA, ARCHIVES = "https://data.sec.gov", "https://www.sec.gov/Archives/edgar/data"
+
+
+def submissions_url(cik: Column) -> Column:
+    return F.concat(F.lit(f"{DATA}/submissions/CIK"), cik10(cik), F.lit(".json"))
+
+
+def filing_url(cik: Column, number: Column, name: Column) -> Column:
+    """A document of a filing."""
+    return F.concat_ws("/", F.lit(ARCHIVES), cik10(cik).cast("bigint").cast("string"), F.replace(accession(number), F.lit("-"), F.lit("")), name)
+
+
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)

@@ -311,3 +311,30 @@ def test_backtest_sells_before_it_buys_and_leaves_unpriced_targets(spark):
 def test_leaderboard_leaves_out_what_is_not_finite(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None), ("d", 2.0)], "n string, x double")
     assert rows(backtest.leaderboard(df, "x", "n").select("n", "place", "excluded"), "n") == [("a", 3, None), ("b", 1, None), ("c", None, "not_finite"), ("d", 2, None)]
+
+
+def test_equity_statistics(spark):
+    df = spark.createDataFrame([("s", 1, 100.0, 0.5), ("s", 2, 50.0, 0.1), ("s", 3, 75.0, 0.0), ("t", 1, 10.0, None)], "s string, t int, e double, u double")
+    a, b = series.equity_statistics(df, ["s"], "t", "e", "u").orderBy("s").collect()
+    assert (a["n_periods"], a["initial"], a["final"], a["peak"], a["cumulative"], a["mean"], a["vol"], a["sharpe"], a["max_drawdown"], a["mean_turnover"]) == (2, 100.0, 75.0, 100.0, -0.25, 0.0, 0.5, 0.0, -0.5, approx(0.2))
+    assert (b["n_periods"], b["cumulative"], b["mean"], b["sharpe"], b["max_drawdown"]) == (0, 0.0, 0.0, 0.0, 0.0)
+    with pytest.raises(Exception, match="not above 0"):
+        series.equity_statistics(spark.createDataFrame([("s", 1, 0.0), ("s", 2, 1.0)], "s string, t int, e double"), ["s"], "t", "e").collect()
+
+
+def test_best_results_and_pins(spark):
+    df = spark.createDataFrame([("b", 1.0, "p"), ("a", 1.0, "p"), ("c", None, "q"), ("d", float("nan"), "p")], "n string, sharpe double, pin string")
+    assert rows(backtest.best_of(df, "sharpe", "n").select("n")) == [("a",)]
+    assert [r[0] for r in rows(backtest.leaderboard(df, "sharpe", "n").select("excluded"), "n")] == [None, None, "not_finite", "not_finite"]
+    assert tuple(backtest.pins_differ(df, "pin").first()) == (["p", "q"], True) and backtest.pins_differ(df.limit(0), "pin").first()["mismatch"] is None
+    assert [r[0] for r in rows(backtest.top_n(df.where("n < 'c'").withColumn("t", F.lit(1)), ["t"], "sharpe", "n", 1, ascending=True).select("n"))] == ["a"]
+
+
+def test_windows_must_be_the_same(spark):
+    a, b = (spark.createDataFrame([(i, 1.0) for i in w], f"window int, {c} double") for w, c in (((0, 1), "x"), ((0, 2), "y")))
+    assert research.aligned(a, a.withColumnRenamed("x", "y"), "window").count() == 2
+    with pytest.raises(Exception, match="windows differ"):
+        research.aligned(a, b, "window").collect()
+    places = spark.createDataFrame([(0, "test", 7), (0, "test", 5), (0, "train", 1)], "window int, role string, d int")
+    made = research.dated(spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.2)], "window int, i int, r double"), places, "window", "i", "d")
+    assert rows(made.select("d", "r"), "d") == [(5, 0.1), (7, 0.2)]

@@ -142,3 +142,20 @@ def test_stream_gives_the_same_as_the_batch(spark, sf):
     batch = knowledge.latest(events, ["user_id", "event_type"], "ts", ["event_id"], "value")
     got = spark.table("known")
     assert got.count() == batch.count() > 0 and got.exceptAll(batch).count() == 0
+
+
+def test_lookups_addresses_and_versions(spark):
+    from asofkit.plans.formula import BUILTIN, identity
+    from asofkit.sources import registry
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(registry.filing_url(F.lit("320193"), F.lit("0000320193-23-000106"), F.lit("a.htm"))).endswith("/320193/000032019323000106/a.htm") and one(registry.basename(F.lit("x/y/a.htm"))) == "a.htm"
+    assert one(registry.submissions_url(F.lit(320193))).endswith("/CIK0000320193.json")
+    df = spark.createDataFrame([("f", "c", "10-K", "v1"), ("g", "c", "8-K", "v1"), ("h", "d", "10-K", "v2")], "filing_id string, company_id string, form string, version string")
+    assert [registry.filings_of(df, *a).count() for a in (("c",), ("c", "8-K"), (None, None, "h"))] == [2, 1, 1] and registry.facts_of(df, "d").count() == 1
+    assert sorted(r["versions"] for r in registry.single_version(df, ["company_id"], "version").collect()) == [["v1"], ["v2"]]
+    with pytest.raises(Exception, match="several versions"):
+        registry.single_version(df, [], "version").collect()
+    ids = {identity(f) for f in BUILTIN.values()}
+    assert len(ids) == 8 and all(i.startswith("formula:") for i in ids)
+    assert str(one(s.parse_utc(F.lit("2024-01-02T03:04:05Z")))) == "2024-01-02 03:04:05" and one(s.parse_utc(F.lit("2024-01-02T03:04:05"))) is None and one(s.format_utc(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05Z"
