@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import released, shared_dir, written  # noqa: F401  (for the operators)
+
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, null texts as empty ones; other columns cannot clash later."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where none is named, a folder of our own in local mode, as in tests; an error on a cluster, whose
-    executors would each write to their own disks."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="asofkit-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-_WRITTEN: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as a table into the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/asofkit-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> int:
-    """Delete the tables that the operators have written in this process; how many. For callers that have used or stored all results, which read them."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
-
-
 class Memo(dict):
     """Results of a pure function by word, at most `limit` of them: when half of that is full, words not asked for since the last time are forgotten."""
 

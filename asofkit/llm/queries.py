@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, near_join, pieces, pii, suffix_dedup, syncmers, token_counts, toxicity
+from . import chat, decontaminate, language_model, near_join, pieces, pii, repair, suffix_dedup, syncmers, token_counts, toxicity
 
 #: P(toxic) from which a document is rejected.
 REJECT = 0.35
@@ -87,6 +87,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.audits(repair.damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_chat, op8_suffix_dedup, op9_pii, op10_language_model, pipeline)
+    ops = (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_chat, op8_suffix_dedup, op9_pii, op10_language_model, op11_conversation_repair, pipeline)
     return {f.__name__: f for f in ops}
 
 
