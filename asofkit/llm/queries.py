@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, near_join, pieces, pii, repair, suffix_dedup, syncmers, token_counts, toxicity
+from . import chat, decontaminate, divergence, language_model, mixture, near_join, pieces, pii, repair, suffix_dedup, syncmers, token_counts, toxicity
 
 #: P(toxic) from which a document is rejected.
 REJECT = 0.35
@@ -92,6 +92,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audits(repair.damaged(rows), rows)
 
 
+def op12_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +107,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_chat, op8_suffix_dedup, op9_pii, op10_language_model, op11_conversation_repair, pipeline)
+    ops = (
+        op1_token_counts,
+        op2_sentencepiece,
+        op3_decontamination,
+        op4_fingerprints,
+        op5_ngram_join,
+        op6_toxicity,
+        op7_chat,
+        op8_suffix_dedup,
+        op9_pii,
+        op10_language_model,
+        op11_conversation_repair,
+        op12_source_mixture,
+        op13_source_divergence,
+        pipeline,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -149,5 +172,36 @@ select d.doc_id, d.n_shingles, c.class_id, c.class_size,
 from docs d join classes c using (cls) left join counts k on k.x = c.class_id left join groups g on g.x = c.class_id"""
 
 
+DIVERGENCE_SQL = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+said as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+counts as (select lang, source, term, count(*) as n, count(distinct r) as d from said group by lang, source, term),
+kept as (select lang, term, sum(n)::hugeint as n from counts group by lang, term having sum(d) >= 3),
+sizes as (select lang, count(*)::hugeint as v, sum(n)::hugeint as n from kept group by lang),
+held as (select c.lang, c.source, c.term, c.n::hugeint as n from counts c semi join kept k on c.lang = k.lang and c.term = k.term),
+groups as (select distinct lang, source from docs),
+totals as (select g.lang, g.source, coalesce(sum(h.n), 0)::hugeint as n from groups g left join held h using (lang, source) group by g.lang, g.source),
+p as (
+  select t.lang, t.source, k.term, coalesce(h.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(h.n, 0) + 1)) // (t.n + s.v) as p
+  from totals t join sizes s using (lang) join kept k using (lang) left join held h on h.lang = t.lang and h.source = t.source and h.term = k.term),
+q as (select k.lang, k.term, 1 + (1000000000::hugeint * (k.n + 1)) // (s.n + s.v) as q from kept k join sizes s using (lang)),
+sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (
+  select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q) // q.q)::bigint as value
+  from p join q using (lang, term) where p.n > 0 and p.p > q.q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": _chat_sql(), "op5_ngram_join": NEAR_SQL}
+    return {"op7_chat": _chat_sql(), "op5_ngram_join": NEAR_SQL, "op13_source_divergence": DIVERGENCE_SQL}
