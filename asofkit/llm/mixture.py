@@ -20,9 +20,8 @@ empty result. Targets are doubles; words taken differ from them by half a block
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered, running
@@ -35,11 +34,6 @@ CHUNK = 1 << 16
 SALTS = 64
 
 
-def _whole(a: Column, b: Column | int) -> Column:
-    """a // b for numbers that are not negative."""
-    return (a - a % b) / b
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes: source, size (a row for each source). Adds at (its number), weight, target."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
@@ -67,13 +61,13 @@ def _slot_counts(targets: DataFrame, block_words: int) -> DataFrame:
 
 
 def _reversed(n: Column, bits: int) -> Column:
-    return F.conv(F.reverse(F.lpad(F.bin(n), bits, "0")), 2, 10).cast("long")
+    return sum((F.shiftleft(F.shiftright(n, b).bitwiseAND(F.lit(1)), bits - 1 - b) for b in range(bits)), F.lit(0).cast("long"))
 
 
 def _earlier(i: Column, end: Column, bits: int) -> Column:
     """How many of the points 0..i-1, bits reversed, lie below an end whose own reversed bits are given."""
-    terms = [F.shiftright(end, j).bitwiseAND(F.lit(1)) * F.shiftright(i - end.bitwiseAND(F.lit((1 << j) - 1)) + ((2 << j) - 1), j + 1) for j in range(bits)]
-    return reduce(lambda a, b: a + b, terms)
+    terms = (F.shiftright(end, j).bitwiseAND(F.lit(1)) * F.shiftright(i - end.bitwiseAND(F.lit((1 << j) - 1)) + ((2 << j) - 1), j + 1) for j in range(bits))
+    return sum(terms, F.lit(0).cast("long"))
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -86,7 +80,9 @@ def schedule(sources: DataFrame) -> DataFrame:
     slots = chunks.select("at", "blocks", "first_slot", *ends, "_chunk", "slots").select("at", "blocks", "first_slot", "_low", "_high", here.alias("_n"))
     slots = slots.withColumn("slot", _reversed(F.col("first_slot") + F.col("_n"), bits))
     ranked = slots.withColumn("rank", _earlier(F.col("slot"), F.col("_high"), bits) - _earlier(F.col("slot"), F.col("_low"), bits))
-    return ranked.select("slot", "at", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"))
+    # not nullable, or a join on it would make the rank again in a filter, its point once for each bit
+    block = F.coalesce(F.col("rank") % F.col("blocks"), F.lit(0))
+    return ranked.select("slot", "at", "rank", block.alias("block"), F.expr("rank div blocks").alias("pass"))
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, most: float, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
