@@ -28,8 +28,8 @@ from ..operators.ordered import numbered, running
 from ..shared import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Slots made from one row at once.
-CHUNK = 1 << 16
+#: Slots made from one row at once, and about so many in a task (of at most TASKS).
+CHUNK, TASK, TASKS = 1 << 14, 1 << 18, 20_000
 #: Copies of each source's row, among which its documents are dealt.
 SALTS = 64
 
@@ -72,9 +72,9 @@ def _earlier(i: Column, end: Column, bits: int) -> Column:
 
 def schedule(sources: DataFrame) -> DataFrame:
     """The slots of sources (at, blocks, slots, first_slot): slot (in order, with gaps), at, rank, block, pass."""
-    n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    bits = max(1, int(n).bit_length())
-    chunks = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("_chunk")).repartition("at", "_chunk")
+    n = int(sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
+    bits = max(1, n.bit_length())
+    chunks = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("_chunk")).repartition(min(TASKS, 1 + n // TASK), "at", "_chunk")
     here = F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("slots")) - 1))
     ends = [_reversed(F.col("first_slot"), bits).alias("_low"), _reversed(F.col("first_slot") + F.col("slots"), bits).alias("_high")]
     slots = chunks.select("at", "blocks", "first_slot", *ends, "_chunk", "slots").select("at", "blocks", "first_slot", "_low", "_high", here.alias("_n"))
@@ -96,7 +96,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     known = sources.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", "at", "first_word", salts.alias("_salt"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.pmod(F.col("_key"), F.lit(SALTS)) == F.col("_salt"))
     start = F.col("_start") - F.col("first_word")
-    joined = placed.join(known, same).select("doc_id", "_row", "size", "source_size", "target", "at", start.alias("start"))
+    joined = placed.join(known.hint("merge"), same)  # Spark takes exploded rows for few and would broadcast them.select("doc_id", "_row", "size", "source_size", "target", "at", start.alias("start"))
     covered = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
     cut = joined.select("*", F.explode_outer(covered).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
@@ -109,7 +109,7 @@ DEFAULTS = {"weights": (5, 2, 1), "share": 1.5, "most": 2.0, "block_words": 64,
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix in its order: slot, pass, doc_id, from_word, n_words (a slot's words of one or more documents); sorted by slot it is what to train on."""
     pieces, sources = _pieces(docs, id_col, text_col, source_col, **(DEFAULTS | how))
-    return schedule(sources).join(pieces, ["at", "block"]).select("slot", "pass", "at", "block", "doc_id", "start", "from_word", "n_words")
+    return schedule(sources).hint("merge").join(pieces, ["at", "block"]).select("slot", "pass", "at", "block", "doc_id", "start", "from_word", "n_words")
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -117,4 +117,4 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     pieces, sources = _pieces(docs, id_col, text_col, source_col, **(DEFAULTS | how))
     times = schedule(sources).groupBy("at", "block").agg(F.count("*").alias("times"))
     words = F.coalesce(F.sum(F.col("n_words") * F.col("times")), F.lit(0)).cast("long")
-    return pieces.join(times, ["at", "block"], "left").groupBy("_row", "doc_id", "size", "source_size", "target").agg(words.alias("taken")).drop("_row")
+    return pieces.join(times.hint("merge"), ["at", "block"], "left").groupBy("_row", "doc_id", "size", "source_size", "target").agg(words.alias("taken")).drop("_row")
