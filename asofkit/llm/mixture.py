@@ -96,7 +96,8 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     known = sources.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", "at", "first_word", salts.alias("_salt"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.pmod(F.col("_key"), F.lit(SALTS)) == F.col("_salt"))
     start = F.col("_start") - F.col("first_word")
-    joined = placed.join(known.hint("merge"), same)  # Spark takes exploded rows for few and would broadcast them.select("doc_id", "_row", "size", "source_size", "target", "at", start.alias("start"))
+    # Spark takes exploded rows for few and would broadcast them
+    joined = placed.join(known.hint("merge"), same).select("doc_id", "_row", "size", "source_size", "target", "at", start.alias("start"))
     covered = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
     cut = joined.select("*", F.explode_outer(covered).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
