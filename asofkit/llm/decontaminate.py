@@ -78,6 +78,18 @@ def myers(masks: dict[str, int], m: int, text: str, limit: int) -> tuple[int, in
     return best, end
 
 
+def _merged(spans: list[tuple[int, int]], errors: int) -> Iterator[tuple[int, int]]:
+    """Stretches of text that hold all spans; spans come in order of their ends, nearly in order of their starts."""
+    low, high = spans[0]
+    for a, b in spans[1:]:
+        if low - errors <= a <= high:
+            low, high = min(low, a), max(high, b)
+        else:
+            yield low, high
+            low, high = a, b
+    yield low, high
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int, min_item: int = 0):
         """items: ids and normalised texts, none empty."""
@@ -111,15 +123,10 @@ class Matcher:
         for at, spans in windows.items():
             item_id, item, errors, masks = self.items[at]
             best = (errors + 1, -1)
-            low, high = spans[0]
-            for a, b in [*spans[1:], (len(text) + 1, 0)]:  # spans come in order of their ends, nearly in order of their starts
-                if low - errors <= a <= high:
-                    low, high = min(low, a), max(high, b)
-                    continue
+            for low, high in _merged(spans, errors):
                 d, end = myers(masks, len(item), text[low:high], errors)
                 if d < best[0]:
                     best = (d, low + end)
-                low, high = a, b
             if best[0] <= errors:
                 out.append((item_id, *best))
         return out

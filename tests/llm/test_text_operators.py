@@ -168,6 +168,23 @@ def test_items_of_odd_blanks_and_short_items(spark):
         assert decontaminate.contaminated(docs(spark, texts), none).count() == 0 and decontaminate.without_contaminated(docs(spark, texts), none).count() == len(texts)
 
 
+def test_items_at_all_edges_of_a_text(spark):
+    """An item alone, first, last, and with one to twenty characters before or behind, with and without edits at its ends."""
+    rng = random.Random(33)
+    items = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(14)) for _ in range(5)]
+    rows, want = [], {}
+    for i, item in enumerate(items):
+        budget = decontaminate.budget(len(item), 0.05, 12)
+        forms = {item, item[1:], item[:-1], item[budget:], item[:-budget], item[:20] + "zz" + item[22:], "z" + item[1:], item[:-1] + "z"}
+        for form in sorted(forms):
+            for n in range(21):
+                for text in (form + "xyz q"[: n % 6] * (n > 0), "xy" * n + form, "q" * n + form + "w" * n):
+                    rows.append((len(rows), text))
+                    want[len(rows) - 1] = i
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r["doc_id"]: r["item_id"] for r in found.collect()} == want
+
+
 # 4
 
 
