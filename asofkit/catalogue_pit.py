@@ -375,7 +375,7 @@ def lexical_numbers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.when(k % 3 == 2, "n/a").otherwise(F.format_number("o_totalprice", 2))
     made = s.folded(text, F.lit(3), F.when(k % 3 == 0, "-"))
-    return table(spark, d, "orders").select("o_orderkey", made.cast("double").alias("value"), s.plain_decimal(made).alias("text"))
+    return table(spark, d, "orders").select("o_orderkey", s.plain_decimal(made).cast("double").alias("value"), s.plain_decimal(made).alias("text"))
 
 
 _VERSIONS = f"""with recursive {_FACTS}, ids as (select distinct company_id as part, unnest(['tv' || chr(0) || 't1', 'pol' || chr(0) || 'p1', 'raw' || chr(0) || sha256(filing_id), 'fact' || chr(0) || sha256(filing_id || concept)]) as id from facts)"""

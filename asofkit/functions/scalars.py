@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import numbers
+
 
 def q6(x: Column) -> Column:
     """x to six places, half up in binary: the same in any engine."""
@@ -193,29 +195,19 @@ def format_utc(x: Column) -> Column:
 # numbers
 
 
-NUMBER = "decimal(38,10)"
-
-
 def exact(text: Column) -> Column:
-    """An exact decimal of a lexical value; null for what is no finite number."""
-    plain = F.trim(text)
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast(NUMBER))
+    """The exact number (see `numbers`) of a lexical value; null for what is no finite number."""
+    return numbers.parse(text)
 
 
 def plain_decimal(x: Column) -> Column:
-    """The shortest plain text of a decimal: no trailing zeros, no exponent, no minus before 0."""
-    text = F.regexp_replace(F.regexp_replace(x.cast(NUMBER).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(text == "-0", F.lit("0")).otherwise(text)
+    """The shortest plain text of an exact number: no trailing zeros, no exponent, no minus before 0."""
+    return numbers.plain(x)
 
 
 def folded(value: Column, scale: Column, sign: Column) -> Column:
     """An exact lexical value (thousands may have commas) with its power of ten and its sign ('-' or none). Null for what is no number; a bad scale or sign is an error."""
-    number = exact(F.replace(F.trim(value), F.lit(","), F.lit("")))
-    power = F.coalesce(scale.cast("string"), F.lit("0"))
-    bad = ~power.rlike(r"^-?\d{1,2}$") | ~F.coalesce(sign, F.lit("")).isin("", "-")
-    factor = F.concat(F.lit("1E"), power).cast(NUMBER)
-    made = (number * factor).cast(NUMBER) * F.when(sign == "-", F.lit(-1)).otherwise(F.lit(1))
-    return F.when(bad, F.raise_error(F.concat(F.lit("bad scale or sign: "), power))).otherwise(made.cast(NUMBER))
+    return numbers.folded(value, scale, sign, commas=True)
 
 
 def to_decimals(value: Column, decimals: Column) -> Column:

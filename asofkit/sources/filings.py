@@ -1,14 +1,12 @@
-"""Filing sources: submissions, tickers, market documents and XBRL instances, as DataFrames."""
+"""Filing sources: submissions, tickers and market documents, as DataFrames. XBRL instances are in `xbrl`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import accession, cik10, company_id, is_amendment, plain_name
+from .xbrl import xbrl_facts  # noqa: F401
 
 _FIELDS = "accessionNumber form filingDate reportDate acceptanceDateTime primaryDocument".split()
 SUBMISSIONS = f"cik string, filings struct<recent:struct<{','.join(f'{f}:array<string>' for f in _FIELDS)}>>"
@@ -48,61 +46,3 @@ def corporate_actions(documents: DataFrame, json_col: str = "content") -> DataFr
     fields = ("ratio", "amount", "currency", "terms", "successor_security_id")
     payload = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"a.{f}") for f in fields])), lambda _, v: v.isNotNull())
     return a.select("security_id", "a.kind", F.col("a.ex_date").cast("date").alias("ex_date"), payload.alias("payload"))
-
-
-XBRL = "source string, concept string, context_ref string, entity string, period_type string, period_start string, period_end string, dimensions array<struct<axis:string,member:string>>, unit string, value string, decimals string, is_nil boolean, error string"
-#: Namespaces of the public XBRL specifications.
-XBRLI, XBRLDI, XSI = "{http://www.xbrl.org/2003/instance}", "{http://xbrl.org/2006/xbrldi}", "{http://www.w3.org/2001/XMLSchema-instance}"
-
-
-def _facts(source: str, data: bytes) -> list[tuple]:
-    """Facts of one instance; one row with an error for what is no sound instance (a DTD, doubled ids, dangling references)."""
-    from xml.etree import ElementTree
-
-    def failed(why: str) -> list[tuple]:
-        return [(source, *[None] * 10, False, why)]
-
-    if b"<!DOCTYPE" in data:
-        return failed("doctype")
-    try:
-        root = ElementTree.fromstring(data)
-    except ElementTree.ParseError:
-        return failed("not_xml")
-    contexts, units = {}, {}
-    text = lambda e, path: ((e.findtext(path) or "").strip() or None) if e is not None else None
-    for c in root.iter(f"{XBRLI}context"):
-        if c.get("id") in contexts:
-            return failed("duplicate_context")
-        period = c.find(f"{XBRLI}period")
-        instant, start, end = (text(period, f"{XBRLI}{n}") for n in ("instant", "startDate", "endDate"))
-        dims = sorted((m.get("dimension"), (m.text or "").strip()) for m in c.iter(f"{XBRLDI}explicitMember"))
-        kind = "instant" if instant else "duration" if start and end else "forever"
-        contexts[c.get("id")] = (text(c, f"{XBRLI}entity/{XBRLI}identifier"), kind, start, instant or end, [{"axis": a, "member": m} for a, m in dims])
-    for u in root.iter(f"{XBRLI}unit"):
-        if u.get("id") in units:
-            return failed("duplicate_unit")
-        part = lambda path: "*".join(sorted((m.text or "").strip() for m in u.findall(path)))  # noqa: B023, E731
-        bottom = part(f"{XBRLI}divide/{XBRLI}unitDenominator/{XBRLI}measure")
-        units[u.get("id")] = part(f"{XBRLI}divide/{XBRLI}unitNumerator/{XBRLI}measure") + "/" + bottom if bottom else part(f"{XBRLI}measure")
-    rows = []
-    for f in root:
-        ref = f.get("contextRef")
-        if ref is None:
-            continue
-        if ref not in contexts or (f.get("unitRef") and f.get("unitRef") not in units):
-            return failed("dangling_reference")
-        nil = f.get(f"{XSI}nil") in ("true", "1")
-        rows.append((source, f.tag, ref, *contexts[ref], units.get(f.get("unitRef")), None if nil else (f.text or "").strip(), f.get("decimals"), nil, None))
-    return rows
-
-
-def xbrl_facts(files: DataFrame, name_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Facts of XBRL instances (as from the binaryFile source): a row for each fact. Instances are parsed one at a time in tasks."""
-    names = [c.split()[0] for c in XBRL.replace("array<struct<axis:string,member:string>>", "x").split(", ")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, data in zip(batch["source"], batch["content"], strict=True):
-                yield pd.DataFrame(_facts(source, bytes(data or b"")), columns=names)
-
-    return files.select(F.col(name_col).alias("source"), F.col(content_col).cast("binary").alias("content")).mapInPandas(parse, XBRL)

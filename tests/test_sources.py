@@ -31,7 +31,7 @@ def test_tickers(spark):
     assert tuple(filings.tickers(docs(spark, {"0": {"cik_str": "12", "ticker": "zz", "title": "Z & Z, Inc."}})).first()) == ("0000000012", "ZZ", "Z & Z, Inc.", "Z & Z, INC.")
 
 
-INSTANCE = """<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:g="urn:g">
+INSTANCE = """<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:g="urn:g" xmlns:iso4217="http://www.xbrl.org/2003/iso4217">
 <context id="c"><entity><identifier scheme="x">0000320193</identifier><segment><d:explicitMember dimension="g:A">g:M</d:explicitMember></segment></entity><period><instant>2023-09-30</instant></period></context>
 <unit id="u"><measure>iso4217:USD</measure></unit><g:Assets contextRef="c" unitRef="u" decimals="-3">1,000</g:Assets>%s</xbrl>"""
 
@@ -40,7 +40,7 @@ def test_xbrl_instances(spark):
     good, dangling = INSTANCE % "", INSTANCE % '<g:X contextRef="none">1</g:X>'
     df = spark.createDataFrame([("a", good.encode()), ("b", b"<!DOCTYPE x><x/>"), ("c", b"<"), ("d", dangling.encode())], "path string, content binary")
     got = {r["source"]: r for r in filings.xbrl_facts(df).collect()}
-    assert (got["a"]["concept"], got["a"]["period_type"], got["a"]["unit"], got["a"]["value"]) == ("{urn:g}Assets", "instant", "iso4217:USD", "1,000")
+    assert (got["a"]["concept"], got["a"]["period_type"], got["a"]["unit"], got["a"]["value"]) == ("{urn:g}Assets", "instant", "{http://www.xbrl.org/2003/iso4217}USD", "1,000")
     assert [got[k]["error"] for k in "bcd"] == ["doctype", "not_xml", "dangling_reference"]
 
 
@@ -114,14 +114,18 @@ def test_registry_merges_equal_records_alone(spark):
 
 
 def test_canonical_facts(spark):
-    from asofkit.sources import registry
+    from asofkit.sources import registry, xbrl
 
     usd = ["{http://www.xbrl.org/2003/iso4217}USD"]
-    rows = [("s", "{http://fasb.org/us-gaap/2023}Assets", "e", "instant", None, "2023-12-31", None, "1,000", "-3", False, None, usd, None, "3", "-"), ("s", "{urn:x}Note", "e", "duration", "2023-01-01", "2023-12-31", [("a", "m")], "text", None, False, None, None, None, None, None)]
-    raw = spark.createDataFrame(rows, "source string, concept string, entity string, period_type string, period_start string, period_end string, dimensions array<struct<axis:string,member:string>>, value string, decimals string, is_nil boolean, error string, numerator array<string>, denominator array<string>, scale string, sign string")
+    common = {"source": "s", "entity": "e", "period_end": "2023-12-31", "is_nil": False}
+    rows = [
+        {**common, "ordinal": 0, "concept": "{http://fasb.org/us-gaap/2023}Assets", "period_type": "instant", "value": "1000", "decimals": "-3", "numerator": usd, "denominator": [], "scale": "3", "sign": "-"},
+        {**common, "ordinal": 1, "concept": "{urn:x}Note", "period_type": "duration", "period_start": "2023-01-01", "dimensions": [("a", "m")], "value": "1,000"},
+    ]
+    raw = spark.createDataFrame([tuple(r.get(n) for n in xbrl.NAMES) for r in rows], xbrl.SCHEMA)
     a, b = registry.canonical_facts(raw).orderBy("concept").collect()
     assert (a["taxonomy"], a["concept"], a["unit"], float(a["value"]), a["consolidated"]) == ("us-gaap", "Assets", "USD", -1_000_000.0, True)
-    assert (b["taxonomy"], b["unit"], b["value"], b["lexical"], b["dimensions_key"], b["consolidated"]) == ("custom", "unknown", None, "text", "a=m", False)
+    assert (b["taxonomy"], b["unit"], b["value"], b["text"], b["dimensions_key"], b["consolidated"]) == ("custom", "unknown", None, "1,000", "a=m", False)  # commas are no part of a number
 
 
 def test_formula_tells_the_first_missing_input(spark):
