@@ -678,12 +678,6 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 # calendars, corpora
 
 
-@query("select day, isodow(day) < 6 as weekday from (select unnest(generate_series(date '2024-01-01', date '2024-12-31', interval 1 day))::date as day)".replace("select day, isodow(day) < 6 as weekday", "select day, isodow(day) < 6 and day not in (date '2024-01-01', date '2024-01-15', date '2024-02-19', date '2024-05-27', date '2024-06-19', date '2024-07-04', date '2024-09-02', date '2024-10-14', date '2024-11-11', date '2024-11-28', date '2024-12-25') as is_business_day"))
-def business_day_calendar(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))).alias("day"))
-    return days.withColumn("is_business_day", s.is_business_day(F.col("day")))
-
-
 @query("select o_orderdate::date as day, last_day(o_orderdate::date) as month_end, case when o_orderdate::date = last_day(o_orderdate::date) then last_day((o_orderdate + interval 1 month)::date) else (o_orderdate::date + interval 1 month)::date end as sticky from (select distinct o_orderdate from orders)")
 def month_end_schedule(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")

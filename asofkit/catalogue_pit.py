@@ -308,15 +308,28 @@ def session_publication(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.date_format(made, "yyyy-MM-dd HH:mm:ss").alias("available"))
 
 
-@query(f"with {_CALENDAR} select max(day) as day from business where day between date '1994-02-10' and date '1998-11-12' group by date_trunc('month', day)")
+@query(f"with {_CALENDAR} select distinct o_orderdate::date as day, o_orderdate::date in (select day from business) as is_business_day from orders")
+def business_day_calendar(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return days.withColumn("is_business_day", s.is_business_day(F.col("day")))
+
+
+@query(f"""
+with {_CALENDAR}, bounds as (select o_orderpriority, min(o_orderdate::date) as first, max(o_orderdate::date) as last from orders where o_orderkey % 7 = 3 group by o_orderpriority)
+select o_orderpriority, max(day) as day from bounds join business on day between first and last group by o_orderpriority, date_trunc('month', day)""")
 def month_end_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return s.month_end_business_days(spark, "1994-02-10", "1998-11-12")
+    day = F.col("o_orderdate").cast("date")
+    bounds = table(spark, d, "orders").where("o_orderkey % 7 = 3").groupBy("o_orderpriority").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return s.month_ends_within(bounds, ["o_orderpriority"], "first", "last")
 
 
-@query("""select 'annual' as axis, (date '1998-03-01' - to_years(k + 1))::date as period_start, (date '1998-03-01' - to_years(k) - interval 1 day)::date as period_end, (3 - k)::bigint as ordinal from (select unnest(range(4))::int as k)
-union all select 'quarterly', (date '1998-03-01' - to_months(3 * k + 3))::date, (date '1998-03-01' - to_months(3 * k) - interval 1 day)::date, (5 - k)::bigint from (select unnest(range(6))::int as k)""")
+@query("""
+with l as (select (last_day(max(o_orderdate)::date) + 1)::date as next from orders),
+k as (select next, unnest(range(6))::int as k from l)
+select 'annual' as axis, (next - to_years(k + 1))::date as period_start, (next - to_years(k) - interval 1 day)::date as period_end, (3 - k)::bigint as ordinal from k where k < 4
+union all select 'quarterly', (next - to_months(3 * k + 3))::date, (next - to_months(3 * k) - interval 1 day)::date, (5 - k)::bigint from k""")
 def axes_of_periods(spark: SparkSession, d: str) -> DataFrame:
-    last = date(1998, 2, 28)
+    last = table(spark, d, "orders").agg(F.last_day(F.max(F.col("o_orderdate").cast("date")))).first()[0]  # one date
     a = metrics.annual_axis(spark, last, 4).withColumn("axis", F.lit("annual"))
     both = a.unionByName(metrics.quarterly_axis(spark, last, 6).withColumn("axis", F.lit("quarterly")))
     return both.select("axis", "period_start", "period_end", F.col("ordinal").cast("long").alias("ordinal"))
@@ -389,11 +402,23 @@ def dataset_versions(spark: SparkSession, d: str) -> DataFrame:
     return store.dataset_version(rows, ["company_id"], "t1", ["p1"], "document", "fact")
 
 
-@query("""with w as (select c_mktsegment as series, (year(o_orderdate) - 1990)::bigint as win, sum(o_totalprice::decimal(18,2))::double as v from orders join customer on o_custkey = c_custkey where year(o_orderdate) <> 1998 group by all)
-select win, count(distinct series) < 0 or bool_and(true) as commensurable, null::varchar as differs from w group by 1""")
+_HELD = "from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P'"
+
+
+@query(f"""
+with months as (select distinct date_trunc('quarter', o_orderdate)::date::varchar as win, c_mktsegment as series, strftime(o_orderdate, '%Y-%m') as month {_HELD}),
+series as (select win, series, count(*) as n, string_agg(month, ',' order by month) as schedule from months group by win, series)
+select win, count(distinct n) = 1 and count(distinct schedule) = 1 as commensurable,
+  case when count(distinct n) > 1 then 'n' when count(distinct schedule) > 1 then 'schedule' end as differs
+from series group by win""")
 def commensurable_series(spark: SparkSession, d: str) -> DataFrame:
-    w = _yearly_weights(spark, d).withColumn("schedule", F.lit("yearly"))
-    return research.commensurable(w, ["win"], ["schedule"])
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    held = o.join(c, o["o_custkey"] == c["c_custkey"]).where("o_orderstatus = 'P'")
+    win = F.trunc(F.col("o_orderdate").cast("date"), "quarter").cast("string")
+    months = F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM")))  # three at most
+    schedules = held.groupBy(win.alias("win"), F.col("c_mktsegment").alias("series")).agg(months.alias("_months"))
+    schedules = schedules.select("win", "series", F.size("_months").alias("n"), F.array_join("_months", ",").alias("schedule"))
+    return research.commensurable(schedules, ["win"], ["n", "schedule"])
 
 
 @query("""with levels as (select c_mktsegment as series_id, date_trunc('month', o_orderdate)::date as month, sum(o_totalprice::decimal(18,2))::double as level from orders join customer on o_custkey = c_custkey group by 1, 2),

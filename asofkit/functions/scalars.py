@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -158,6 +159,12 @@ def month_end_business_days(spark, first: str, last: str) -> DataFrame:
     return days.where(is_business_day(F.col("day"))).groupBy(F.trunc("day", "MM")).agg(F.max("day").alias("day")).select("day")
 
 
+def month_ends_within(bounds: DataFrame, by: Sequence[str], first: str, last: str) -> DataFrame:
+    """by and day: the last business day of each month within the two dates of each row of bounds."""
+    days = bounds.select(*by, F.explode(F.sequence(first, last)).alias("day")).where(is_business_day(F.col("day")))
+    return days.groupBy(*by, F.trunc("day", "MM").alias("_month")).agg(F.max("day").alias("day")).drop("_month")
+
+
 def _eastern(d: Column, clock: str) -> Column:
     return F.to_utc_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(clock)).cast("timestamp"), "America/New_York")
 

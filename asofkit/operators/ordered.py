@@ -19,7 +19,7 @@ from ..shared import written
 
 #: Rows of one range are numbered below this by monotonically_increasing_id.
 _PER_PART = 1 << 33
-_PART, _AT = "_range", "_place"
+_PART, _AT = "_range", "_at_in_range"
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -62,3 +62,17 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) ->
     here = Window.partitionBy(_PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(F.broadcast(starts), _PART).select(*[c for c in df.columns if c not in sums], *[(F.col(f"_s_{k}") + F.coalesce(F.sum(f"_v_{k}").over(here), F.lit(0))).alias(k) for k in sums])
     return out
+
+
+def followed(df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """df and `name`: `value` of the next row of its group in the order; null for the last one."""
+    rows = _ranged(df, [*[F.col(c).asc_nulls_first() for c in groups], *order])
+    keyed = F.struct(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], F.col(value).alias("_v"))
+    firsts = rows.groupBy(_PART).agg(F.min_by(keyed, _AT).alias("_first"))
+    after = firsts.select(_PART, F.lead("_first").over(Window.orderBy(_PART)).alias("_after"))
+    following = F.coalesce(F.lead(keyed).over(Window.partitionBy(_PART).orderBy(_AT)), F.col("_after"))
+    same = F.lit(True)
+    for i, c in enumerate(groups):
+        same = same & F.col(c).eqNullSafe(F.col(f"_next._g{i}"))
+    out = rows.join(F.broadcast(after), _PART).withColumn("_next", following)
+    return out.select(*[c for c in df.columns if c != name], F.when(F.col("_next").isNotNull() & same, F.col("_next._v")).alias(name))

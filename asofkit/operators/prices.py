@@ -14,8 +14,9 @@ KEY = ("security_id", "trading_date", "field")
 
 
 def with_sessions(observations: DataFrame, sessions: DataFrame) -> DataFrame:
-    """observations with available and status of their session (security_id, trading_date); unknown where there is no record of it."""
-    return observations.join(sessions.select("security_id", "trading_date", "available", "status"), ["security_id", "trading_date"], "left")
+    """observations with available and status of their session (security_id, trading_date). Those without a record of it are left out: nothing tells when they were
+    known, so a series gives not_reported there, not unavailable."""
+    return observations.join(sessions.select("security_id", "trading_date", "available", "status"), ["security_id", "trading_date"])
 
 
 def earliest_evidence(sessions: DataFrame) -> DataFrame:

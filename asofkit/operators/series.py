@@ -93,10 +93,10 @@ def reference_closes(closes: DataFrame, dividends: DataFrame, key: str, date: st
 def adjustment_factors(closes: DataFrame, actions: DataFrame, key: str, date: str, ex_date: str, ratio: str, amount: str | None = None, reference: str | None = None) -> DataFrame:
     """closes with factor: the product, over actions with a later ex-date, of 1 / ratio and, if asked for, of 1 - amount / reference.
 
-    Null where a later action has a ratio that is missing or not above 0, or a dividend without a reference above 0. A running product in one window, no
+    Null where a later action has a ratio that is missing or not above 0, or a dividend that is not below a reference above 0 (no factor is 0 or below). A running product in one window, no
     theta join and no logarithms."""
     split = F.when(F.col(ratio) > 0, F.lit(1.0) / F.col(ratio).cast("double"))
-    paid = F.when(F.col(reference) > 0, F.lit(1.0) - F.col(amount).cast("double") / F.col(reference)) if amount else None
+    paid = F.when((F.col(reference) > 0) & (F.col(amount) < F.col(reference)), F.lit(1.0) - F.col(amount).cast("double") / F.col(reference)) if amount else None
     f = split if paid is None else F.when(F.col(amount).isNotNull(), paid).otherwise(split)
     mine = closes.select("*", F.lit(None).cast("double").alias("_f"), F.col(date).alias("_at"), F.lit(1).alias("_row"))
     theirs = actions.select(F.col(key), F.col(ex_date).alias("_at"), f.alias("_f"), F.lit(0).alias("_row"))

@@ -19,11 +19,16 @@ def with_id(df: DataFrame, kind: str, columns: Sequence[str]) -> DataFrame:
 
 
 def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """The new rows that the store lacks, once each. A record_id with another payload than the stored one is an error."""
-    both = new.dropDuplicates(["record_id", "payload"]).join(stored.select("record_id", F.col("payload").alias("_old")), "record_id", "left")
-    clash = F.col("_old").isNotNull() & (F.col("_old") != F.col("payload"))
+    """The new rows that the store lacks, once each. A record_id with several payloads, among the new rows or in the store, is an error.
+
+    Payloads are compared within each record_id before the shuffle, so repetitions of one record cost a row for each task."""
+    others = [c for c in new.columns if c not in ("record_id", "payload")]
+    payload = F.col("payload")
+    mine = new.groupBy("record_id").agg(F.min(payload).alias("payload"), F.max(payload).alias("_most"), *[F.min_by(c, payload).alias(c) for c in others])
+    both = mine.join(stored.groupBy("record_id").agg(F.min(payload).alias("_old"), F.max(payload).alias("_old_most")), "record_id", "left")
+    clash = ~payload.eqNullSafe(F.col("_most")) | F.col("_old").isNotNull() & ((F.col("_old") != payload) | (F.col("_old_most") != payload))
     guarded = both.withColumn("record_id", F.when(clash, F.raise_error(F.concat(F.lit("record written with another payload: "), "record_id"))).otherwise(F.col("record_id")))
-    return guarded.where(F.col("_old").isNull() | clash).drop("_old")
+    return guarded.where(F.col("_old").isNull() | clash).select(*new.columns)
 
 
 def _level(nodes: DataFrame, by: Sequence[str], height: int) -> DataFrame:

@@ -338,3 +338,24 @@ def test_windows_must_be_the_same(spark):
     places = spark.createDataFrame([(0, "test", 7), (0, "test", 5), (0, "train", 1)], "window int, role string, d int")
     made = research.dated(spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.2)], "window int, i int, r double"), places, "window", "i", "d")
     assert rows(made.select("d", "r"), "d") == [(5, 0.1), (7, 0.2)]
+
+
+def test_prices_without_a_session_are_not_reported(spark):
+    from datetime import date, datetime
+
+    from asofkit.operators import prices
+
+    seen = spark.createDataFrame([("s", date(2024, 1, d), "close", f"o{d}", float(d)) for d in (2, 3)], "security_id string, trading_date date, field string, observation_id string, value double")
+    sessions = spark.createDataFrame([("s", date(2024, 1, 2), datetime(2024, 1, 2, 22), "derived")], "security_id string, trading_date date, available timestamp, status string")
+    cells = prices.price_series(prices.with_sessions(seen, sessions), seen.select("security_id", "trading_date"), "close", datetime(2024, 2, 1)).orderBy("trading_date").collect()
+    assert [(r["value"], r["reason"]) for r in cells] == [(2.0, None), (None, "not_reported")]
+
+
+def test_dividends_at_their_reference_give_no_factor(spark):
+    from asofkit.operators import series
+
+    closes = spark.createDataFrame([("s", 1, 10.0), ("s", 5, 10.0)], "s string, d int, close double")
+    for amount, factor in ((9.0, 0.1), (10.0, None), (11.0, None)):
+        actions = spark.createDataFrame([("s", 3, None, amount, 10.0)], "s string, ex int, ratio double, amount double, ref double")
+        found = series.adjustment_factors(closes, actions, "s", "d", "ex", "ratio", "amount", "ref").orderBy("d").collect()
+        assert found[1]["factor"] == 1.0 and (found[0]["factor"] is None if factor is None else abs(found[0]["factor"] - factor) < 1e-12)

@@ -50,6 +50,10 @@ def test_store_is_write_once(spark):
     assert store.appended(df, df).count() == 0 and store.appended(df.limit(0), df).count() == 2
     with pytest.raises(Exception, match="another payload"):
         store.appended(df, df.withColumn("payload", F.lit("{}"))).collect()
+    with pytest.raises(Exception, match="another payload"):  # within one batch
+        store.appended(df.limit(0), df.unionByName(df.limit(1).withColumn("payload", F.lit("{}")))).collect()
+    again = store.appended(df.limit(1), df.unionByName(df))
+    assert again.columns == df.columns and again.count() == 1
 
 
 def test_corpus_root_does_not_depend_on_order(spark):
