@@ -6,9 +6,9 @@ a title or without. Each entity is replaced by a keyed surrogate of its type: di
 their case and script, punctuation kept; card numbers keep their issuer digit and whether their check digit is right; names keep
 title, gender and script. A name's surrogate is made of those of its parts (a first name with its gender, a last name), so that all mentions of
 a person agree within a text and between texts (coreference). Surrogates depend on the key, the type and the entity in
-normal form (without case and punctuation where these vary), so one entity has one surrogate in all spellings.
+normal form (without case and punctuation where these vary) alone and are then put into the spelling, so one entity has one surrogate in all spellings.
 
-Distinct entities must stay distinct: over all entities of all texts, those whose surrogate another entity also
+Distinct entities must stay distinct, which normal forms show, for they are what a spelling is made of: over all entities of all texts, those whose surrogate another entity also
 has, or that is itself an entity of the texts, get another attempt until none is left; later attempts draw from more surrogates. Only entities
 with more than one attempt (few) are brought back to the texts: by a broadcast if they are at most `broadcast_rows`, else by a join.
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
+#: One name: also O'Neil, Jean-Luc, McDonald.
+NAME = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}+)+(?:['’\-](?:\p{Lu}\p{Ll}+)+)*"
 #: What the patterns find, tried in this order at each position.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}+"),
@@ -36,8 +38,8 @@ PATTERNS = (
     ("ssn", r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\p{L}\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"),
     ("iban", r"(?<![\p{L}\d])(?![0-9A-F]{32})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"),
-    ("secret", r"(?<![\p{L}\d])(?:[0-9a-fA-F]{32,}+|(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|sk-[A-Z0-9]{20,}+))(?![\p{L}\d])"),
-    ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
+    ("secret", r"(?<![\p{L}\d])(?:[0-9a-fA-F]{32,}+|(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|github_pat_[A-Z0-9_]{20,}+|sk-[A-Z0-9]{20,}+)|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+)(?![\p{L}\d])"),
+    ("name", rf"(?<!\p{{L}})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Г-н|Г-жа)\.? {NAME}(?: {NAME}){{0,3}}"),
 )
 TITLE = r"^(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora|Г-н|Г-жа)\.? "
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Señora|Г-жа)\b"
@@ -60,6 +62,10 @@ SCRIPTS = (
     ("IsCyrillic", (0x430, 0x450), (0x410, 0x430)), ("IsGreek", (0x3B1, 0x3C2), (0x391, 0x3A2)), ("IsArmenian", (0x561, 0x587), (0x531, 0x557)), ("IsHebrew", (0x5D0, 0x5EB), None), ("IsArabic", (0x628, 0x63B), None), ("IsDevanagari", (0x915, 0x93A), None),
     ("IsThai", (0xE01, 0xE2F), None), ("IsHangul", (0xAC00, 0xAD00), None), ("IsHiragana", (0x3042, 0x3094), None), ("IsKatakana", (0x30A2, 0x30F4), None), ("IsHan", (0x4E00, 0x4F00), None), ("IsGeorgian", (0x10D0, 0x10F1), None),
 )
+#: Calling codes of one and two digits; all others have three (fixed values).
+CALLING_1 = "1 7".split()
+CALLING_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+SECRET_PREFIX = r"^(?i:AKIA|gh[pousr]_|github_pat_|sk-|(?-i:eyJ))"
 #: Goes round entities while a text is cut; texts that hold it are cut in another way.
 MARK = "\uffff"
 
@@ -78,7 +84,8 @@ def gender_of(entity: Column) -> Column:
 def normal_of(kind: Column, entity: Column) -> Column:
     """The form that spellings of one entity share."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(entity, r"\D", ""))
+        .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), F.regexp_replace(entity, r"\D", "")))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when((kind == "email") | ((kind == "secret") & entity.rlike("^[0-9a-fA-F]+$")), F.lower(entity))
         .otherwise(entity)
@@ -105,10 +112,10 @@ def _digits(n: Column, digest: Column) -> Column:
     return F.concat_ws("", F.transform(F.sequence(F.lit(1), n), lambda i: (_byte(digest, i) % 10).cast("string")))
 
 
-def _refilled(entity: Column, digits: Column) -> Column:
-    """entity with its digits replaced by those of `digits`, in order."""
-    chars = F.split(entity, "")
-    step = lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct((s["n"] + 1).alias("n"), F.concat(s["out"], F.substr(digits, s["n"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(s["n"].alias("n"), F.concat(s["out"], c).alias("out")))
+def _refilled(entity: Column, made: Column) -> Column:
+    """entity with its digits and letters replaced by those of `made`, in order: a surrogate in the spelling of its entity."""
+    chars, plain = F.split(entity, ""), F.regexp_replace(made, r"[^0-9A-Za-z]", "")
+    step = lambda s, c: F.when(c.rlike("^[0-9A-Za-z]$"), F.struct((s["n"] + 1).alias("n"), F.concat(s["out"], F.substr(plain, s["n"] + 1, F.lit(1))).alias("out"))).otherwise(F.struct(s["n"].alias("n"), F.concat(s["out"], c).alias("out")))
     return F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
 
 
@@ -160,29 +167,30 @@ def parts_of(text: Column, pattern: Column) -> Column:
 
 
 def _people(parts: Column) -> Column:
-    """array<struct<gender,names>> of the names after a title: one name (taken for the last) or two."""
+    """array<struct<gender,names>> of the names after a title: one name (taken for the last), or given names and a last one."""
     titled = F.filter(parts, lambda x, i: (i % 2 == 1) & x.rlike(TITLE))
     return F.transform(titled, lambda x: F.struct(gender_of(x).alias("gender"), F.split(F.regexp_replace(x, TITLE, ""), " ").alias("names")))
 
 
 def _mentions(people: Column) -> Column:
-    """The pattern of all entities and, besides, all mentions of these people; names are letters alone."""
+    """The pattern of all entities and, besides, all mentions of these people; names are letters, apostrophes and hyphens."""
     names = F.array_distinct(F.flatten(F.transform(people, lambda p: F.concat(p["names"], F.array(F.array_join(p["names"], " "))))))
     longest_first = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
     return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def _units_of_name(entity: Column, people: Column) -> Column:
-    """array<struct<kind,normal>>: the parts of a name, a first name with its gender. Without a title, the people of the text tell."""
+    """array<struct<kind,normal>>: the parts of a name, given names with their gender. Without a title, the people of the text tell."""
     names, titled = F.split(F.regexp_replace(entity, TITLE, ""), " "), entity.rlike(TITLE)
-    full = F.filter(people, lambda p: F.size(p["names"]) == 2)
-    given, last = F.get(names, F.lit(0)), F.get(names, F.lit(1))
-    same = F.filter(full, lambda p: (p["names"][0] == given) & (last.isNull() | (p["names"][1] == last)))
-    gender = F.when(titled & (last.isNotNull() | (F.size(same) == 0)), gender_of(entity)).otherwise(F.coalesce(F.get(same, F.lit(0))["gender"], gender_of(entity)))
+    several, given, last = F.size(names) > 1, names[0], F.element_at(names, -1)
+    full = F.filter(people, lambda p: F.size(p["names"]) > 1)
+    given_of = lambda p: F.slice(p["names"], F.lit(1), F.size(p["names"]) - 1)
+    same = F.filter(full, lambda p: F.array_contains(given_of(p), given) & (~several | (F.element_at(p["names"], -1) == last)))
+    gender = F.when(titled & (several | (F.size(same) == 0)), gender_of(entity)).otherwise(F.coalesce(F.get(same, F.lit(0))["gender"], gender_of(entity)))
     unit = lambda kind, normal: F.struct(F.lit(kind).alias("kind"), normal.alias("normal"))
-    first = unit("first", F.concat(gender, F.lit(" "), given))
-    only_first = (F.size(same) > 0) & ~F.exists(full, lambda p: p["names"][1] == given)
-    return F.when(last.isNotNull(), F.array(first, unit("last", last))).when(only_first, F.array(first)).otherwise(F.array(unit("last", given)))
+    firsts = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda n: unit("first", F.concat(gender, F.lit(" "), n)))
+    only_first = (F.size(same) > 0) & ~F.exists(full, lambda p: F.element_at(p["names"], -1) == given)
+    return F.when(several, F.concat(firsts, F.array(unit("last", last)))).when(only_first, F.array(unit("first", F.concat(gender, F.lit(" "), given)))).otherwise(F.array(unit("last", given)))
 
 
 def _described(parts: Column, people: Column) -> Column:
@@ -207,31 +215,45 @@ def units_of(held: DataFrame) -> DataFrame:
     return held.select("uid", F.explode("entities").alias("e")).select("uid", F.explode("e.units").alias("u")).select("uid", "u.kind", "u.normal")
 
 
-def _surrogate(kind: Column, entity: Column, normal: Column, d: Column, attempt: Column) -> Column:
+def _country(normal: Column) -> Column:
+    """How many digits of a phone number in normal form are its calling code; none without a +."""
+    size = F.when(F.substr(normal, F.lit(2), F.lit(1)).isin(*CALLING_1), 1).when(F.substr(normal, F.lit(2), F.lit(2)).isin(*CALLING_2), 2).otherwise(3)
+    return F.when(normal.startswith("+"), size).otherwise(0)
+
+
+def _surrogate(kind: Column, normal: Column, d: Column, attempt: Column) -> Column:
+    """The surrogate of an entity, in normal form as the entity is: it depends on no spelling."""
     n, more = F.length(normal), F.least(F.floor(attempt / 2), F.lit(12)).cast("int")
     body = F.concat(F.substr(normal, F.lit(1), F.lit(1)), _digits(n - 2, d))
     check = (_luhn(normal) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10
-    country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?!\d)|^\+(\d)", 0)) - 1).otherwise(0)
+    kept = F.when(normal.startswith("+"), _country(normal) + 1).otherwise(0)  # of a phone number: + and calling code
     net = F.when(attempt < 4, F.lit(10)).otherwise(F.lit(11) + _byte(d, F.lit(4)) % 116)
     octets = F.concat_ws(".", net.cast("string"), *[_byte(d, F.lit(i)).cast("string") for i in (1, 2, 3)])
     at = F.instr(normal, "@")
     domain = F.regexp_extract(normal, r"@(.*)\.[^.]*$", 1)
     email = F.concat(_alike(F.substr(normal, F.lit(1), at - 1), d), F.lit("@"), _alike(domain, F.substr(d, F.lit(65), F.lit(64))), F.regexp_extract(normal, r"(\.[^.]*)$", 1))
     hexes = F.concat_ws("", F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.lit(HEX), _byte(d, i) % 16 + 1, F.lit(1))))
+    prefix = F.regexp_extract(normal, SECRET_PREFIX, 0)
     return (
         F.when(kind == "first", _first_name(normal, d, more))
         .when(kind == "last", _last_name(normal, d, more))
         .when(kind == "email", email)
         .when(kind == "ip", octets)
-        .when(kind == "card", _refilled(entity, F.concat(body, check.cast("string"))))
-        .when(kind == "phone", _refilled(entity, F.concat(F.substr(normal, F.lit(1), country), _digits(n - country, d))))
-        .when(kind == "ssn", _refilled(entity, _digits(n, d)))
-        .when(kind == "iban", F.concat(F.substr(entity, F.lit(1), F.lit(2)), _alike(F.substr(entity, F.lit(3)), d)))
-        .when(normal.rlike("^[0-9a-f]+$"), F.when((F.upper(entity) == entity) & (F.lower(entity) != entity), F.upper(hexes)).otherwise(hexes))
-        .otherwise(F.concat(F.substr(entity, F.lit(1), F.lit(4)), _alike(F.substr(entity, F.lit(5)), d)))
+        .when(kind == "card", F.concat(body, check.cast("string")))
+        .when(kind == "phone", F.concat(F.substr(normal, F.lit(1), kept), _digits(n - kept, d)))
+        .when(kind == "ssn", _digits(n, d))
+        .when(kind == "iban", F.concat(F.substr(normal, F.lit(1), F.lit(2)), _alike(F.substr(normal, F.lit(3)), d)))
+        .when(normal.rlike("^[0-9a-f]+$"), hexes)
+        .otherwise(F.concat(prefix, _alike(F.substr(normal, F.length(prefix) + 1), d)))
     )
 
 
+def _spelled(kind: Column, entity: Column, made: Column) -> Column:
+    """A surrogate in the spelling of the entity: separators and the case of hexadecimal digits."""
+    shouted = (kind == "secret") & entity.rlike("^[0-9A-F]+$") & (F.lower(entity) != entity)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), _refilled(entity, made)).when(shouted, F.upper(made)).otherwise(made)
+
+
 def surrogates(entities: Column, attempt_of: Callable[[Column], Column], key: str) -> Column:
     """array<string>: the surrogate of each struct<entity,kind,units>."""
     with_attempt = lambda u: F.struct(u["kind"].alias("kind"), u["normal"].alias("normal"), attempt_of(u).alias("attempt"))
@@ -239,8 +261,8 @@ def surrogates(entities: Column, attempt_of: Callable[[Column], Column], key: st
     worked = F.transform(entities, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), F.transform(F.transform(s["units"], with_attempt), with_digest).alias("units")))
 
     def put(s: Column) -> Column:
-        made = F.transform(s["units"], lambda u: _surrogate(u["kind"], s["entity"], u["normal"], u["digest"], u["attempt"]))
-        return F.when(s["kind"] == "name", F.concat(F.regexp_extract(s["entity"], TITLE, 0), F.array_join(made, " "))).otherwise(made[0])
+        made = F.transform(s["units"], lambda u: _surrogate(u["kind"], u["normal"], u["digest"], u["attempt"]))
+        return F.when(s["kind"] == "name", F.concat(F.regexp_extract(s["entity"], TITLE, 0), F.array_join(made, " "))).otherwise(_spelled(s["kind"], s["entity"], made[0]))
 
     return F.transform(worked, put)
 
@@ -256,9 +278,8 @@ def later_attempts(units: DataFrame, key: str, idle_rounds: int = 30) -> DataFra
     kind, normal = F.col("kind"), F.col("normal")
 
     def given(df: DataFrame) -> DataFrame:
-        item = F.struct(normal.alias("entity"), F.when(kind.isin("first", "last"), F.lit("unit")).otherwise(kind).alias("kind"), F.array(F.struct(kind.alias("kind"), normal.alias("normal"))).alias("units"))
-        made = F.get(surrogates(F.array(item), lambda _: F.col("attempt"), key), F.lit(0))
-        named = F.when(kind == "first", F.concat(F.substr(normal, F.lit(1), F.lit(2)), F.col("_made"))).otherwise(normal_of(kind, F.col("_made")))
+        made = _surrogate(kind, normal, _digest(key, kind, normal, F.col("attempt")), F.col("attempt"))
+        named = F.when(kind == "first", F.concat(F.substr(normal, F.lit(1), F.lit(2)), F.col("_made"))).otherwise(F.col("_made"))
         return df.repartition(tasks, "kind", "normal").withColumn("_made", made).withColumn("surrogate", named).drop("_made")
 
     waiting, settled, done, idle, left = distinct.withColumn("attempt", F.lit(0)), None, [], 0, None
