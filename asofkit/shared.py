@@ -38,10 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> int:
-    """Delete the tables that the operators have written in this process; how many. For callers that have used or stored all results, which read them."""
+def mark() -> int:
+    """What `released` takes as `since`: tables written from now on."""
+    return len(_WRITTEN)
+
+
+def released(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that the operators have written in this process (since a mark); how many. For callers that have used or stored all results, which read them."""
     n = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
