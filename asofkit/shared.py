@@ -50,3 +50,10 @@ def released(spark: SparkSession, since: int = 0) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
+
+
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete one written table."""
+    _WRITTEN.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
