@@ -297,12 +297,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: i
     marks = written(marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays", (F.col("n_shingles") > 0).alias("some")))
     gone = marks.where("not stays").select("_id", "_hash").distinct()
     repeated = marks.where("stays and some").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash")
-    keyed = docs.withColumn("_own", F.col(id_col).cast("long")).withColumn("_text", text_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    own, text = (next(c for i in range(len(docs.columns) + 1) if (c := f"_{name}{i}").lower() not in {x.lower() for x in docs.columns}) for name in ("own", "text"))
+    keyed = docs.withColumn(own, F.col(id_col).cast("long")).withColumn(text, text_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
     def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(F.broadcast(keys) if _small(keys, broadcast_rows) else keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_hash"]), how)
+        return rows.join(F.broadcast(keys) if _small(keys, broadcast_rows) else keys, rows[own].eqNullSafe(keys["_id"]) & (rows[text] == keys["_hash"]), how)
 
     kept = joined(keyed, gone, "left_anti")
     if not repeated.isEmpty():
-        kept = joined(kept, repeated, "left_anti").unionByName(joined(kept, repeated, "left_semi").dropDuplicates(["_own", "_text"]))
-    return kept.drop("_own", "_text")
+        kept = joined(kept, repeated, "left_anti").unionByName(joined(kept, repeated, "left_semi").dropDuplicates([own, text]))
+    return kept.drop(own, text)

@@ -7,14 +7,13 @@ through all stages but the last, which gives those of the codec.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import decontaminate, near_join, pieces, pii, queries, toxicity
-from asofkit.llm._common import shared_dir
+from asofkit.shared import forgotten, mark, new_folder, released
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        path = f"{folder}/{name}"
+    """The rows of the last stage, which reads what the one before it wrote. Tables of earlier stages, and those that their operators wrote, go as soon as the next stage
+    is written; `asofkit.shared.released(spark)` deletes the rest once the result is stored."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = new_folder(spark, "corpus")
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        released(spark, since)
+        if before:
+            forgotten(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -382,6 +382,58 @@ def test_layouts_and_escapes(spark):
     assert "</s>" not in made[0]["formatted"] and made[0]["formatted"].count(chat.END) == 2
 
 
+def test_further_fields_lose_no_turns_and_columns_stay(spark):
+    record = [
+        '{"messages":[{"role":"user","content":"a","name":"n"},{"content":"b","role":"assistant","meta":{"x":[1]}}],"id":1}', '{"messages":[],"prompt":"p"}', '{"prompt":"p","response":"r","system":"s","score":0.5}', '{"instruction":"i","output":"o","extra":null}',
+        '{"unknown":1}', '[1]', '"text"', None, '{"question":"q"}', '{"turns":[{"role":"user","text":"t"}],"prompt":"p","response":"r"}', '{"messages":"no list"}',
+    ]
+    df = spark.createDataFrame([(i, r, "kept", "own", "mask", "p") for i, r in enumerate(record)], "i int, record string, layout string, formatted string, turns string, _paths string")
+    made = chat.format_chats(df)
+    assert made.columns == [*df.columns, "layout_", "schema_fingerprint", "formatted_", "loss_mask"]
+    rows = made.withColumn("back", chat.read_turns(F.col("formatted_"))).orderBy("i").collect()
+    assert [r["layout_"] for r in rows] == ["messages", "messages", "system_prompt_response", "instruction", None, None, None, None, None, "turns", None]
+    assert [r["formatted_"] is None for r in rows] == [r["layout_"] is None for r in rows] and rows[1]["formatted_"] == "" and rows[0]["turns"] == "mask"
+    assert [[tuple(t) for t in r["back"]] for r in rows if r["formatted_"]] == [[("user", "a"), ("assistant", "b")], [("system", "s"), ("user", "p"), ("assistant", "r")], [("user", "i"), ("assistant", "o")], [("user", "t")]]
+
+
+def test_all_conversations_in_every_layout(spark, sf):
+    """The given conversations, written in each layout that can hold them, come back turn by turn."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    gathered = chat.turns_of_rows(rows)
+    list_of = lambda a, b: F.transform("turns", lambda t: F.struct(t["role"].alias(a), t["text"].alias(b), F.lit(1).alias("more")))
+    for name, field, a, b in (("messages", "messages", "role", "content"), ("turns", "turns", "role", "text"), ("from_value", "conversations", "from", "value")):
+        records = gathered.select("conv_id", F.to_json(F.struct(F.lit("x").alias("id"), list_of(a, b).alias(field))).alias("record"), F.col("turns").alias("was"))
+        made = chat.canonical_turns(records)
+        assert made.where(F.col("layout") == name).count() == gathered.count() and made.where("turns <> was").count() == 0
+    pairs = gathered.select(F.get(F.filter("turns", lambda t: t["role"] == "user"), F.lit(0))["text"].alias("q"), F.get(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0))["text"].alias("a")).where("length(q) > 0 and length(a) > 0")
+    for name, q, a in (("instruction", "instruction", "output"), ("prompt_response", "prompt", "response"), ("prompt_completion", "prompt", "completion"), ("question_answer", "question", "answer")):
+        made = chat.canonical_turns(pairs.select("*", F.to_json(F.struct(F.col("q").alias(q), F.col("a").alias(a), F.lit(3).alias("n"))).alias("record")))
+        assert made.where((F.col("layout") == name) & (F.col("turns")[0]["text"] == F.col("q")) & (F.col("turns")[1]["text"] == F.col("a"))).count() == pairs.count() > 0
+
+
+def test_pipeline_leaves_the_last_table_alone(spark, sf):
+    import os
+
+    import corpus_pipeline
+    from asofkit import shared
+
+    shared.released(spark)
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    result = corpus_pipeline.run(spark, sf)
+    assert result.count() > 0
+    left = set(os.listdir(folder)) - before
+    assert len([x for x in left if x.startswith("corpus-")]) == 1
+    shared.released(spark)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith(("corpus-", "asofkit-"))]
+
+
+def test_one_of_each_group_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, "x", 2, "y"), (2, "a b c d e f", 3, "z", 4, "w")], "doc_id long, text string, _own int, _text string, _id int, _hash string")
+    made = near_join.one_of_each_group(df)
+    assert made.columns == df.columns and [tuple(r) for r in made.collect()] == [(1, "a b c d e f", 1, "x", 2, "y")]
+
+
 def test_long_conversations_are_whole(spark):
     long = F.when(F.col("id") == 0, F.expr("repeat('a</s>', 4200000)")).otherwise(F.lit("ok"))
     rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), long.alias("text"))
