@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .functions import numbers
-from .operators import pit, ranks
+from .operators import exact, pit, ranks
 from .sources import registry, xbrl
 
 # exact numbers: prices as texts with powers of ten from -12 to 12
@@ -156,3 +156,33 @@ def percentiles_of_large_dates(spark: SparkSession, d: str) -> DataFrame:
     q = lambda c: (F.floor(F.max(c) * 1e4 + 0.5) / 1e4)
     outside = [F.count_if(F.col("l_extendedprice") < F.col("p0")).alias("below"), F.count_if(F.col("l_extendedprice") > F.col("p1")).alias("above")]
     return joined.groupBy("l_returnflag").agg(F.max("n").alias("n"), q("p0").alias("low"), q("p1").alias("high"), *outside)
+
+
+# moments without rounding: prices and quantities as decimals, and as doubles of powers of two
+
+
+def _floored(name: str, factor: int) -> Column:
+    return F.floor(F.col(name).cast("decimal(38,10)") * factor).cast("string").alias(name)
+
+
+@query("""
+with v as (select l_returnflag, l_linestatus, round(l_extendedprice * 100)::hugeint as x, round(l_quantity * 100)::hugeint as y from lineitem),
+s as (select l_returnflag, l_linestatus, count(*)::hugeint as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(y * y) as yy, sum(x * y) as xy from v group by l_returnflag, l_linestatus)
+select l_returnflag, l_linestatus, n::bigint as n, (x * 10000 // n)::varchar as mean_x, ((n * xx - x * x) // (n * n))::varchar as variance_x,
+  ((n * yy - y * y) // (n * n))::varchar as variance_y, ((n * xy - x * y) // (n * n) - case when n * xy < x * y and (n * xy - x * y) % (n * n) <> 0 then 1 else 0 end)::varchar as covariance
+from s""")
+def exact_moments(spark: SparkSession, d: str) -> DataFrame:
+    price, quantity = (F.round(c, 2).cast("decimal(12,2)").alias(c) for c in ("l_extendedprice", "l_quantity"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", price, quantity)
+    made = exact.moments(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity", text=True)
+    return made.select("l_returnflag", "l_linestatus", "n", _floored("mean_x", 10**6), _floored("variance_x", 10**4), _floored("variance_y", 10**4), _floored("covariance", 10**4))
+
+
+@query("""
+with v as (select l_linenumber, floor(l_extendedprice * 64)::hugeint * (1 << (l_partkey % 13)::int) * case when l_orderkey % 2 = 0 then -1 else 1 end as x from lineitem),
+s as (select l_linenumber, count(*)::hugeint as n, sum(x) as x, sum(x * x) as xx from v group by l_linenumber)
+select l_linenumber, n::bigint as n, (x // n - case when x < 0 and x % n <> 0 then 1 else 0 end)::varchar as mean_x, ((n * xx - x * x) // (n * n))::varchar as variance_x from s""")
+def exact_moments_of_doubles(spark: SparkSession, d: str) -> DataFrame:
+    x = F.floor(F.col("l_extendedprice") * 64).cast("double") / 4096 * F.pow(F.lit(2.0), F.col("l_partkey") % 13) * F.when(F.col("l_orderkey") % 2 == 0, -1).otherwise(1)
+    made = exact.moments(table(spark, d, "lineitem").select("l_linenumber", x.alias("x")), ["l_linenumber"], "x", text=True)
+    return made.select("l_linenumber", "n", _floored("mean_x", 2**12), _floored("variance_x", 2**24))

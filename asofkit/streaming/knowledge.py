@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -27,3 +29,85 @@ def latest(stream: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str
 def windowed(stream: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str) -> DataFrame:
     """Sums of tumbling windows, closed once the watermark passes them."""
     return _timed(stream, time, delay).groupBy(F.window(time, width), *keys).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+
+CORRECTIONS = "valid_from timestamp, value double, previous double, kind string, eligible_count bigint"
+
+
+def _processor(keys: Sequence[str], time: str, ties: Sequence[str], value: str, key_types: str, tie_types: str) -> StatefulProcessor:
+    class Corrections(StatefulProcessor):
+        """pending: for each instant that the watermark has not passed, its winner and how many rows it has. last: the value that stands."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.pending = handle.getMapState("pending", "at bigint", f"ties struct<{tie_types}>, value double, n bigint")
+            self.last = handle.getValueState("last", "value double, n bigint")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            best: dict[int, list] = {}
+            for batch in rows:
+                instants = (batch[time].astype("datetime64[us]").astype("int64")).tolist()
+                for at, v, *tie in zip(instants, batch[value].tolist(), *[batch[t].tolist() for t in ties]):
+                    old = best.get(at)
+                    mine = (tuple(tie), v)
+                    best[at] = [mine, 1] if old is None else [max(old[0], mine, key=_order), old[1] + 1]
+            for at, (won, n) in best.items():
+                if self.pending.containsKey((at,)):
+                    tie, v, before = self.pending.getValue((at,))
+                    won, n = max(won, (tuple(tie), v), key=_order), n + before
+                else:
+                    self.handle.registerTimer(_due(at))
+                self.pending.updateValue((at,), (won[0], won[1], n))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            due = timerValues.getCurrentWatermarkInMs()
+            ready = sorted(at for (at,) in self.pending.keys() if _due(at) <= due)
+            stands, seen = self.last.get() if self.last.exists() else (None, 0)
+            first, out = not self.last.exists(), []
+            for at in ready:
+                _, v, n = self.pending.getValue((at,))
+                seen += n
+                kind = "first" if first else "confirmation" if v == stands or v != v and stands != stands else "correction"
+                out.append((*key, pd.Timestamp(at, unit="us"), v, stands, kind, seen))
+                stands, first = v, False
+                self.pending.removeKey((at,))
+            if out:
+                self.last.update((stands, seen))
+                yield pd.DataFrame(out, columns=[*keys, "valid_from", "value", "previous", "kind", "eligible_count"])
+
+        def close(self) -> None:
+            pass
+
+    return Corrections()
+
+
+def _order(won: tuple) -> tuple:
+    """Winners in order of their ties, nulls first; of equal ties the greater value (a missing one last)."""
+    tie, v = won
+    none = v is None or v != v
+    return (tuple((t is not None, t) if t is not None else (False,) for t in tie), not none, 0.0 if none else v)
+
+
+def _due(at: int) -> int:
+    """The first whole millisecond of the watermark at which no more rows of an instant (in microseconds) can come."""
+    return at // 1000 + 1
+
+
+def corrections(stream: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], value: str, delay: str) -> DataFrame:
+    """What was known of each key, version by version: a row once the watermark has passed an instant at which its value became known.
+
+    keys, valid_from, value, previous (the value that stood until then), kind (first, correction, or confirmation of the same value) and eligible_count (rows
+    known so far). Rows of one instant are reduced to the winner of the greatest ties. Within the delay rows may come in any order: the result is that of the
+    batch (`pit.validity`). State holds the instants within the delay, one winner each, and one value for each key; nothing of closed instants stays.
+    Rows without a time, or later than the watermark, are left out, as in every stateful operation of a stream. For append
+    output; the session needs RocksDB as its state store (`STATE_STORE`)."""
+    kept = _timed(stream.select(*keys, time, *ties, F.col(value).cast("double").alias(value)).where(F.col(time).isNotNull()), time, delay)
+    kinds = dict(kept.dtypes)
+    key_types = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    tie_types = ",".join(f"{t}:{kinds[t]}" for t in ties)
+    made = _processor(keys, time, ties, value, key_types, tie_types)
+    return kept.groupBy(*keys).transformWithStateInPandas(made, f"{key_types}, {CORRECTIONS}", "append", "eventTime")
+
+
+#: Settings that `corrections` needs.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
