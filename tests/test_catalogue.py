@@ -1,7 +1,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from asofkit import catalogue, catalogue_facts, catalogue_pit  # noqa: F401
+from asofkit import catalogue, catalogue_facts, catalogue_pit, catalogue_stored  # noqa: F401
 
 SQL, QUERIES = catalogue.oracle_sql(), catalogue.queries()
 
