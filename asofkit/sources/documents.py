@@ -17,7 +17,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: Settings under which Spark hands filters to the source.
 PUSHDOWN = {"spark.sql.python.filterPushdown.enabled": "true"}
@@ -53,7 +53,7 @@ class _Reader(DataSourceReader):
                 self.securities = asked if self.securities is None else self.securities & asked
             elif column == ("trading_date",) and type(f) in kinds and isinstance(f.value, date):
                 self.tests.append((kinds[type(f)], f.value))
-            else:
+            elif not (isinstance(f, IsNotNull) and column in (("security_id",), ("trading_date",))):  # these two are never null
                 yield f
 
     def _kept(self, day: date) -> bool:
