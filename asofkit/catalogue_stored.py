@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .shared import new_folder
-from .sources import hashtree, store
-from .sources.documents import PUSHDOWN, BarDocuments
+from .sources import documents, hashtree, store
 from .streaming import knowledge, records
 
 
@@ -24,10 +25,7 @@ def bars_of_documents(spark: SparkSession, d: str) -> DataFrame:
     of_year = bars.groupBy("security_id", F.year("trading_date").alias("year")).agg(F.collect_list(F.struct("trading_date", "low", "high", "volume")).alias("bars"))
     root = new_folder(spark, "bars")
     of_year.select("security_id", "year", F.to_json(F.struct(F.lit("USD").alias("currency"), "bars")).alias("value")).write.partitionBy("security_id", "year").text(root)
-    spark.dataSource.register(BarDocuments)
-    for k, v in PUSHDOWN.items():
-        spark.conf.set(k, v)
-    read = spark.read.format(BarDocuments.name()).load(root).where(F.col("trading_date") <= F.lit("1997-06-30").cast("date"))
+    read = documents.bars(spark, root, last=date(1997, 6, 30))
     return read.select("security_id", F.col("trading_date").cast("string").alias("trading_date"), "currency", "low", "high", "volume")
 
 

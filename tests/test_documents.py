@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.sources.documents import PUSHDOWN, BarDocuments
+from asofkit.sources.documents import BarDocuments, bars, problems
 
 
 def bar(day, close):
@@ -31,11 +31,7 @@ def root(spark, tmp_path_factory):
     put("E", 2024, b"no document", name="_SUCCESS")
     (at / "README").write_text("no folder")
     spark.dataSource.register(BarDocuments)
-    for k, v in PUSHDOWN.items():
-        spark.conf.set(k, v)
-    yield str(at)
-    for k in PUSHDOWN:
-        spark.conf.unset(k)
+    return str(at)
 
 
 def rows(df):
@@ -49,24 +45,24 @@ def test_bars_and_problems(spark, root):
     read = spark.read.format("asofkit_bars").option("bytes", 200)
     assert rows(read.load(root)) == ALL and rows(read.load(f"file://{root}")) == ALL
     assert read.load(root).rdd.getNumPartitions() > 3
-    bad = spark.read.format("asofkit_bars").option("problems", "true").load(root).collect()
+    bad = problems(spark, root).collect()
     assert sorted((r["security_id"], r["year"], r["path"].rsplit("/", 1)[1]) for r in bad) == [("D", 2023, "part-0.txt"), ("D", 2024, "part-0.txt"), ("D", 2024, "part-1.txt"), ("E", 2024, "part-0.txt")]
     assert read.load(f"{root}/nothing").count() == 0
 
 
-@pytest.mark.parametrize(
-    "condition",
-    ["security_id = 'A'", "security_id in ('A', 'B/C', 'Z')", "trading_date >= date '2023-12-29'", "trading_date > date '2023-12-29' and trading_date < date '2024-01-03'", "trading_date = date '2024-01-02'",
-     "security_id = 'A' and security_id = 'D'", "trading_date <= date '2023-12-31' and close > 1", "close = 5 or security_id = 'D'", "security_id <> 'A'", "currency is null and trading_date <= date '2024-01-02'"],
-)
-def test_filters_give_what_spark_gives(spark, root, condition):
-    everything = spark.createDataFrame([(s, date.fromisoformat(t), c, x, v) for s, t, c, x, v in ALL], "security_id string, trading_date date, currency string, close double, volume double")
-    assert rows(spark.read.format("asofkit_bars").load(root).where(condition)) == rows(everything.where(condition))
+@pytest.mark.parametrize("securities", [None, ["A"], ["A", "B/C", "Z"], []])
+@pytest.mark.parametrize("first, last", [(None, None), ("2023-12-29", None), ("2023-12-30", "2024-01-02"), (None, "2023-01-03"), ("2024-06-01", "2024-05-01")])
+def test_what_is_asked_for_is_what_is_read(spark, root, securities, first, last):
+    days = [d and date.fromisoformat(d) for d in (first, last)]
+    want = [r for r in ALL if (securities is None or r[0] in securities) and (not first or r[1] >= first) and (not last or r[1] <= last)]
+    assert rows(bars(spark, root, securities, *days)) == want
 
 
-def test_filters_reach_the_source(spark, root):
-    read = spark.read.format("asofkit_bars").option("bytes", 1).load(root)
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    asked = read.where((F.col("security_id") == "A") & (F.col("trading_date") > F.lit("2024-01-01").cast("date")))
-    assert "Filter (" not in plan(asked.where("security_id in ('A', 'D')")) and "Filter (" in plan(asked.where("close > 1"))  # what the source takes, Spark leaves to it
-    assert asked.rdd.getNumPartitions() == 1 < read.rdd.getNumPartitions()  # one file of six companies' years
+def test_a_read_keeps_its_rows_after_a_filtered_one(spark, root):
+    df = bars(spark, root)
+    assert [df.count(), df.where("security_id = 'A'").count(), df.count(), df.where("trading_date < date '2024-01-01'").count(), df.count()] == [6, 4, 6, 2, 6]
+
+
+def test_other_companies_and_years_are_not_opened(spark, root):
+    read = lambda *asked: spark.read.format("asofkit_bars").options(bytes=1, **dict(asked)).load(root).rdd.getNumPartitions()
+    assert [read(("securities", '["A"]')), read(("securities", '["A"]'), ("first", "2024-06-01")), read(("last", "2023-12-31")), read()] == [2, 1, 2, 8]  # files
