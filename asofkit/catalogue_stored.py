@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
+from .catalogue_pit import _CALENDAR
 from .shared import new_folder
-from .sources import documents, hashtree, store
+from .sources import documents, hashtree, market, store
 from .streaming import knowledge, records
 
 
@@ -88,3 +89,78 @@ def late_corrections(spark: SparkSession, d: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(out.schema).parquet(made)
     return rows.withColumn("valid_from", F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+# market corpora: line items are evidence of their suppliers' sessions, those of odd numbers stored before
+
+_SESSIONS = """
+evidence as (
+  select 's' || l_suppkey as security_id, l_shipdate::date as trading_date, case when l_partkey % 9 <> 0 then l_shipdate::date + (l_linenumber % 5)::int end as available,
+    case when l_orderkey % 23 = 0 then 'unknown' when l_orderkey % 2 = 0 then 'verified' else 'derived' end as status, 'p' || (l_orderkey % 2) as policy_id, l_linenumber % 2 as stored
+  from lineitem)"""
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    day, key = F.col("l_shipdate").cast("date"), F.col("l_orderkey")
+    status = F.when(key % 23 == 0, "unknown").when(key % 2 == 0, "verified").otherwise("derived")
+    made = [F.when(F.col("l_partkey") % 9 != 0, F.date_add(day, (F.col("l_linenumber") % 5).cast("int"))).alias("available"), status.alias("status")]
+    names = [F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("security_id"), day.alias("trading_date")]
+    return table(spark, d, "lineitem").select(*names, *made, F.concat(F.lit("p"), (key % 2).cast("string")).alias("policy_id"), (F.col("l_linenumber") % 2).alias("stored"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    rows = _evidence(spark, d)
+    none = rows.limit(0)
+    return market.merged_sessions(market.merged_sessions(none, rows.where("stored = 1")), rows.where("stored = 0"))
+
+
+_KNOWN = "status in ('verified', 'derived') and available is not null"
+
+
+@query(f"""
+with {_SESSIONS}, r as (
+  select *, row_number() over (partition by security_id, trading_date order by ({_KNOWN}), case when {_KNOWN} then available end desc, stored desc, policy_id desc) as place,
+    bool_and({_KNOWN}) over (partition by security_id, trading_date) as all_known from evidence)
+select security_id, trading_date::varchar as trading_date, all_known as known, case when all_known then available::varchar end as available from r where place = 1""")
+def sessions_merged(spark: SparkSession, d: str) -> DataFrame:
+    """When each session became known; of those that cannot be known only that."""
+    known = F.coalesce(F.expr(_KNOWN), F.lit(False))
+    return _merged(spark, d).select("security_id", F.col("trading_date").cast("string").alias("trading_date"), known.alias("known"), F.when(known, F.col("available").cast("string")).alias("available"))
+
+
+@query("""
+with leaves as (
+  select distinct 's' || l_suppkey as security_id, unnest(['tv' || chr(0) || 'v1', 'pol' || chr(0) || 'p' || (l_orderkey % 2), 'raw' || chr(0) || 'd' || l_orderkey,
+    'obs' || chr(0) || l_orderkey || '-' || l_linenumber]) as leaf from lineitem
+  union select 's' || l_suppkey, 'act' || chr(0) || 'a' || l_orderkey from lineitem where l_returnflag = 'R'),
+i as (select security_id, sha256(leaf) as h from leaves),
+l2 as (select security_id, h[1:2] as p, sha256(string_agg(h, '' order by h)) as hash, count(*) as n from i group by security_id, h[1:2]),
+l1 as (select security_id, p[1:1] as q, sha256(string_agg(p || hash, '' order by p)) as hash, sum(n) as n from l2 group by security_id, p[1:1]),
+l0 as (select security_id, 'sha256:' || sha256(string_agg(q || hash, '' order by q)) as root, sum(n)::bigint as n from l1 group by security_id)
+select 'one' as pinned, security_id, root, n from l0
+union all select 'all', null, 'sha256:' || sha256(string_agg('{"security_id":"' || security_id || '"}=' || root, chr(10) order by security_id)), sum(n)::bigint from l0""")
+def market_pins(spark: SparkSession, d: str) -> DataFrame:
+    """The version of each supplier's market data, and one pin over all of them."""
+    key = F.col("l_orderkey").cast("string")
+    rows = table(spark, d, "lineitem").withColumn("security_id", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+    observations = rows.select("security_id", F.concat(F.lit("d"), key).alias("document_id"), F.concat(key, F.lit("-"), F.col("l_linenumber").cast("string")).alias("observation_id"))
+    actions = rows.where("l_returnflag = 'R'").select("security_id", F.concat(F.lit("a"), key).alias("action_id"))
+    sessions = rows.select("security_id", F.concat(F.lit("p"), (F.col("l_orderkey") % 2).cast("string")).alias("policy_id"))
+    each = market.market_version(observations, actions, sessions, "v1")
+    whole = hashtree.pin(each, ["security_id"]).select(F.lit("all").alias("pinned"), F.lit(None).cast("string").alias("security_id"), "root", "n")
+    return each.select(F.lit("one").alias("pinned"), "security_id", "root", "n").unionByName(whole)
+
+
+@query(f"""
+with {_CALENDAR}, bounds as (select c_mktsegment as segment, min(o_orderdate)::date as first, max(o_orderdate)::date as last from orders join customer on o_custkey = c_custkey group by 1),
+traded as (select distinct c_mktsegment as segment, o_orderdate::date as day from orders join customer on o_custkey = c_custkey)
+select b.segment, count(*) as days, count(t.day) as traded, min(c.day)::varchar as first_day, max(c.day)::varchar as last_day
+from bounds b join business c on c.day between b.first and b.last left join traded t on t.segment = b.segment and t.day = c.day group by b.segment""")
+def business_daily_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment's axis of business days between its first and last order, and on how many of them it ordered."""
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    traded = joined.select(F.col("c_mktsegment").alias("segment"), F.col("o_orderdate").cast("date").alias("trading_date")).distinct()
+    bounds = traded.groupBy("segment").agg(F.min("trading_date").alias("first"), F.max("trading_date").alias("last"))
+    cells = market.business_days_within(bounds, ["segment"], "first", "last").join(traded.withColumn("_t", F.lit(1)), ["segment", "trading_date"], "left")
+    ends = [f("trading_date").cast("string").alias(n) for f, n in ((F.min, "first_day"), (F.max, "last_day"))]
+    return cells.groupBy("segment").agg(F.count("*").alias("days"), F.count("_t").alias("traded"), *ends)
