@@ -327,10 +327,12 @@ def spearman_ic(spark: SparkSession, d: str) -> DataFrame:
     return _quantised(panels.correlation(ranked, ["month"], "rx", "ry"), "ic")
 
 
-@query(f"with {PRICES}, ok as (select * from fwd where fwd is not null and signal is not null), i as ({_ic_sql('signal', 'fwd', 'ok')}) select count(ic) as n_valid, count(*) as n, {sq('avg(ic)')} as mean, {sq('stddev_pop(ic)')} as sd, {sq('avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(ic))')} as t_stat, {sq('avg((ic > 0)::int)')} as hit_rate from i")
+@query(f"with {PRICES}, ok as (select * from fwd where fwd is not null and signal is not null), i as ({_ic_sql('signal', 'fwd', 'ok')}) select count(ic) as n_valid, count(*) as n, {sq('avg(ic)')} as mean, {sq('stddev_pop(ic)')} as sd, {sq('avg(ic) / nullif(stddev_pop(ic), 0)')} as ir, {sq('avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(ic))')} as t_stat, {sq('avg((ic > 0)::int)')} as hit_rate from i")
 def ic_summary(spark: SparkSession, d: str) -> DataFrame:
     m = pearson_ic(spark, d).agg(F.count("ic").alias("n_valid"), F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_pop("ic").alias("sd"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
-    return _quantised(m.withColumn("t_stat", s.div(F.col("mean"), F.col("sd")) * F.sqrt("n_valid")), "mean", "sd", "t_stat", "hit_rate").select("n_valid", "n", "mean", "sd", "t_stat", "hit_rate")
+    ir = s.div(F.col("mean"), F.col("sd"))
+    made = m.withColumn("ir", ir).withColumn("t_stat", ir * F.sqrt("n_valid"))
+    return _quantised(made, "mean", "sd", "ir", "t_stat", "hit_rate").select("n_valid", "n", "mean", "sd", "ir", "t_stat", "hit_rate")
 
 
 _BUCKETS = """b as (select *, case when count(*) over (partition by month) >= 4 then (row_number() over (partition by month order by signal, security_id) - 1) * 4 // count(*) over (partition by month) end as bucket from fwd where fwd is not null)"""
