@@ -20,6 +20,9 @@ Sorting the suffixes of the whole corpus would move each byte hundreds of times,
 4. A hash with more than `hot` kinds of context does not go to one task: each of its 400-byte strings becomes a row, by its
    128-bit digest, counted with pre-aggregation.
 
+Anchors learn the counts of their contexts, and strings those of their digests, without a task for all occurrences of a common
+one: keys with more than a 100,000th of all rows, fewer than 100,000 by that very count, are sent to all tasks, the others are shuffled.
+
 Null texts count as empty; texts below 400 bytes stay whole. Repeated rows repeat each other. Rows of one id with different texts
 are documents of their own.
 """
@@ -39,6 +42,7 @@ from ._common import id_text, once, written
 
 LENGTH, K = 400, 200
 SPAN = LENGTH - K + 1  # k-strings inside a string of LENGTH; LENGTH - K bytes may lie before one
+HEAVY = 100_000  # keys sent to all tasks are fewer
 HOT = 8192  # contexts of 600 bytes: 5 MB at most go to one task together
 NO_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
@@ -335,18 +339,28 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def counted_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, least: int) -> DataFrame:
+    """rows with the columns of keys, which are unique by `on` and hold in n how many of the rows have the key; `total` is at least the number of all rows. Rows of keys
+    with n above `least` and total / HEAVY (so fewer than HEAVY keys) are not shuffled."""
+    heavy = F.col("n") > max(least, total // HEAVY)
+    sent = F.broadcast(keys.where(heavy))
+    return rows.join(sent, on).unionByName(rows.join(sent.select(*on), on, "left_anti").join(keys.where(~heavy), on))
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, least: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, which may cut a character)."""
     texts = id_text(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
     found = written(anchor_rows(texts.where(F.octet_length("text") >= LENGTH)))
     kinds = found.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
     hashes = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     repeated = written(kinds.join(hashes, "h").select("h", "ctx", "n", "first", "kinds"))
-    here = found.join(repeated, ["h", "ctx"])
+    here = counted_join(found, repeated, ["h", "ctx"], found.count(), least)
     settled = F.col("n") > 1
     emit = (F.col("kinds") > 1) & (~settled | (F.struct("doc_id", "th", "pos") == F.col("first")))
     mark = F.struct("pos", "h", "ctx", settled.alias("settled"), emit.alias("emit"), (F.col("kinds") > hot).alias("hot"))
     marks = here.select("doc_id", "th", mark.alias("m")).where("m.settled or m.emit").groupBy("doc_id", "th").agg(F.collect_set("m").alias("marks"))
+    marks = written(marks)
+    strings = SPAN * (marks.agg(F.sum(F.size(F.filter("marks", lambda m: m["hot"] & m["emit"])))).first()[0] or 0)  # at most so many of kind 1
     joined = texts.join(marks, ["doc_id", "th"], "left")
     sent = joined.mapInArrow(_contexts, _EMIT)
     contexts = sent.where("kind = 0").select("h", "doc_id", "th", "pos", "before", "after", "settled")
@@ -354,8 +368,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     singles = sent.where("kind > 0")
     counted = singles.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
     collided = F.raise_error(F.lit("two contexts of one hash have different bytes")).cast("boolean")
-    common = counted.where(F.when(F.col("least") < F.col("most"), collided).otherwise((F.col("kind") == 1) & (F.col("n") > 1))).select("key")
-    single_spans = singles.where("kind = 1").join(common, "key").select("doc_id", "th", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
+    common = counted.where(F.when(F.col("least") < F.col("most"), collided).otherwise((F.col("kind") == 1) & (F.col("n") > 1))).select("key", "n")
+    single_spans = counted_join(singles.where("kind = 1").select("key", "doc_id", "th", "pos"), common, ["key"], strings, least).select("doc_id", "th", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
     spans = sorted_spans.unionByName(single_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     done = joined.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "marks", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

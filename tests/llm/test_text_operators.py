@@ -471,8 +471,8 @@ def without_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 1, 0])
-def test_suffix_removal_equals_counting_all_strings(spark, hot):
+@pytest.mark.parametrize(("hot", "least"), [(8192, 4096), (1, 4096), (0, 3), (8192, 3)])  # above `least`: counts sent to all tasks
+def test_suffix_removal_equals_counting_all_strings(spark, hot, least):
     rng = random.Random(8)
     shared = [words(rng, n) for n in (90, 130, 240)] + ["é" * 260, "ab" * 350]
     texts = [None, "", "x" * 399, "x" * 400, "y" * 401, shared[1], shared[1]]
@@ -480,7 +480,7 @@ def test_suffix_removal_equals_counting_all_strings(spark, hot):
         at = rng.choice(shared)
         lo = rng.randrange(60)
         texts.append(words(rng, rng.randrange(60)) + at[lo : len(at) - rng.randrange(60)] + rng.choice(["", " ", words(rng, 40)]) + rng.choice([*shared, ""])[: rng.randrange(900)])
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(docs(spark, texts), hot=hot).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(docs(spark, texts), hot=hot, least=least).collect()}
     assert [got[i] for i in range(len(texts))] == without_repeats(texts)
 
 
