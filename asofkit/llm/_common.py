@@ -1,9 +1,10 @@
-"""What the text operators share: inputs, the shared folder, a bounded memo."""
+"""What the text operators share: inputs, batches, the shared folder, a bounded memo."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,19 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's batches, few at a time, so that neither what is made of thousands of texts nor what is given back of them is held at once. Before and
+    after them, freed memory goes back to the system: a Python worker is used again by later tasks and stages, also of other operators."""
+    pools = (pa.default_memory_pool(), pa.system_memory_pool())
+    for pool in pools:
+        pool.release_unused()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    for pool in pools:
+        pool.release_unused()
+
+
 class Memo(dict):
     """Results of a pure function by word, at most `limit` of them: when half of that is full, words not asked for since the last time are forgotten."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_text, once
+from ._common import id_text, once, sliced
 
 SCHEMA = "doc_id long, item_id long, distance int, match_end long, n_chars long"
 
@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of()
             size = {i: len(t) for i, t, _, _ in matcher.items} | {i: len(t) for t, ids in matcher.short.items() for i in ids}
-            for batch in batches:
+            for batch in sliced(batches):
                 rows: list[tuple] = []
                 for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                     rows += [(doc, i, d, end, size[i]) for i, d, end in matcher.hits(normal(text.as_py()))]
@@ -193,7 +193,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
 
         def run(batches: Iterator[pa.RecordBatch], matcher_of=matcher_of) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of()
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher.hits(normal(t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, id_text, once, written
+from ._common import Memo, id_text, sliced, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP = 40, 5, 25
@@ -49,15 +49,9 @@ _SEEDS = _mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * _BASE)
 _A, _B = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[HASHES:] >> np.uint64(32)).astype(np.uint32)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that no task holds the shingles of thousands of texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _word_hashes(memo: int = 150_000):
-    return once(("word hashes", memo), lambda: Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), memo)).__getitem__
+    """Hashes of words, for use within one task."""
+    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), memo).__getitem__
 
 
 def shingles(text: str, word_hash) -> np.ndarray:
@@ -117,7 +111,7 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = _word_hashes()
-        for batch in _slices(batches):
+        for batch in sliced(batches):
             sets = [shingles(t.as_py(), word_hash) for t in batch["text"]]
             bands = [band_keys(signature(s)) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "cls", "n_shingles", "bands"])
@@ -201,7 +195,7 @@ def _linked(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
         def closed() -> list[tuple]:
             return list(_Group(held, name[0], name[1] == name[2], least, threshold).rows()) if len(held) > 1 else []
 
-        for batch in batches:
+        for batch in sliced(batches):
             ready: list[tuple] = []
             columns = [batch[c].to_pylist() for c in ("key", "i", "j", "cls", "size", "sig", "shingles", "keys", "own")]
             for key, i, j, *row in zip(*columns, strict=True):
@@ -266,7 +260,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = _word_hashes()
-        for batch in _slices(batches):
+        for batch in sliced(batches):
             made = [shingles(t.as_py(), word_hash) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.binary()), pa.array([signature(s).tobytes() for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary()), batch["cls"], batch["keys"], batch["size"]], names=["made", "sig", "shingles", "cls", "keys", "size"])
 

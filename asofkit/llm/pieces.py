@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, id_text, once
+from ._common import Memo, id_text, once, sliced
 from .vocab import BYTE, NORMAL, SPACE, UNKNOWN, USER_DEFINED, Piece, load_pieces, model_path
 
 UNKNOWN_PENALTY = 10.0
@@ -152,10 +152,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, memo)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([codec.encode(t.as_py()) for t in part["text"]], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for part in sliced(batches, 256):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([codec.encode(t.as_py()) for t in part["text"]], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -179,18 +177,16 @@ def encoded_and_decoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, memo)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, n, odd, sha, same = [], [], [], [], []
-                for text in part["text"].to_pylist():
-                    i = codec.encode(text)
-                    back = codec.decode(i)
-                    ids.append(i)
-                    n.append(len(i))
-                    odd.append(sum(map(codec.byte_of.__contains__, i)))
-                    sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(back == text)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha), pa.array(same)], names=names)
+        for part in sliced(batches, 256):
+            ids, n, odd, sha, same = [], [], [], [], []
+            for text in part["text"].to_pylist():
+                i = codec.encode(text)
+                back = codec.decode(i)
+                ids.append(i)
+                n.append(len(i))
+                odd.append(sum(map(codec.byte_of.__contains__, i)))
+                sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                same.append(back == text)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha), pa.array(same)], names=names)
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, n_byte_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, id_text
+from ._common import Memo, id_text, sliced
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -149,7 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_co
     joined = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = pa.array([np.array(features(t.as_py()), np.uint32).tobytes() for t in batch["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], columns], names=["doc_id", "grade", "columns"])
 
@@ -183,7 +183,7 @@ def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scorer(sent.value, memo)
-        for batch in batches:
+        for batch in sliced(batches):
             severity, toxic = _judged(sent.value, np.array([scored(t.as_py()) for t in batch["text"]], np.float64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(severity), pa.array(toxic)], names=["doc_id", "severity", "p_toxic"])
 
@@ -196,7 +196,7 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scorer(sent.value, memo)
-        for batch in batches:
+        for batch in sliced(batches):
             _, toxic = _judged(sent.value, np.array([scored(t.as_py() or "") for t in batch.column(at)], np.float64))
             yield batch.filter(pa.array(toxic < threshold))
 
