@@ -456,6 +456,18 @@ def test_odd_conversations(spark):
 # 8
 
 
+def test_slices_hold_all_rows_in_order():
+    import pyarrow as pa
+
+    from asofkit.llm._common import sliced
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["a"]) for n in (0, 3, 7, 1)]
+    made = list(sliced(iter(batches), 3))
+    assert [b.num_rows for b in made] == [3, 3, 3, 1, 1]
+    assert [x for b in made for x in b["a"].to_pylist()] == [x for b in batches for x in b["a"].to_pylist()]
+    assert list(sliced(iter([]))) == []
+
+
 def without_repeats(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
