@@ -50,3 +50,16 @@ def test_shuffled_arrival_gives_the_batch(stateful, tmp_path):
         mine = got.where(F.col("k").eqNullSafe(F.lit(k))).orderBy("valid_from").collect()
         assert [r["previous"] for r in mine] == [None, *[r["value"] for r in mine[:-1]]]
         assert [r["kind"] for r in mine] == ["first", *["confirmation" if a["value"] == b["value"] else "correction" for a, b in zip(mine, mine[1:])]]
+
+
+def test_keys_share_state_and_stay_exact(stateful, tmp_path):
+    big = 2**60
+    schema = "k long, id int, at timestamp, v double"
+    rows = [(k, i, BASE + timedelta(minutes=i, microseconds=i), float(i // 2)) for k in (big, big + 1, None, -1, *range(40)) for i in range(4)]
+    out = streamed(stateful, tmp_path, [rows[::2], rows[1::2], [(-5, 9, BASE + timedelta(days=9), 0.0)]], schema)
+    got = sorted(map(tuple, out.select("k", "valid_from", "value", "previous", "kind", "eligible_count").collect()), key=str)
+    kinds = ["first", "confirmation", "correction", "confirmation"]
+    assert got == sorted(((k, at, v, None if i == 0 else float((i - 1) // 2), kinds[i], i + 1) for k, i, at, v in rows), key=str)
+    # one row of state for some keys together, not a row and a call for each key or instant
+    held = knowledge.corrections(stateful.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "at", ["id"], "v", "1 minute")
+    assert "_bucket" in held._jdf.queryExecution().analyzed().toString()
