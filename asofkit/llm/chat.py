@@ -3,8 +3,8 @@
 Records come as JSON in several layouts. The nested field paths of a record are read from its schema, types
 left out, and hashed; the fingerprint selects a declarative mapping that turns the record into canonical turns
 (role, text). A record of an unknown layout gets no turns (null) and its fingerprint, so that a mapping can be added.
-A record beyond the limits of Spark's JSON parser is an error, not an unknown layout. Rows of turns never become JSON:
-their turns are gathered as they are, and only a record of blank values is parsed for the fingerprint.
+A record beyond the limits of Spark's JSON parser is an error, not an unknown layout. Records may be structs too: rows of
+turns are gathered into structs of the layout `messages` and go through the same fingerprint and mapping, without JSON.
 
 Formatting marks turns with control strings. Control strings inside a role or a text are escaped: each
 backslash is doubled and one is put after the first character of each control string, which taking one
@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common chat templates (fixed values), escaped wherever a text holds them.
@@ -49,11 +50,20 @@ class Layout(NamedTuple):
         """The field paths without which the mapping says nothing."""
         return sorted(f"{self.turns}[].{f}" for f in (self.role, self.text)) if self.turns else sorted(f for _, f in self.fields)
 
-    def turns_of(self, json: Column) -> Column:
+    def readable(self, kind: StructType) -> bool:
+        """Whether a struct of this type has the fields of the mapping."""
+        if not self.turns:
+            return {f for _, f in self.fields} <= set(kind.names)
+        inner = kind[self.turns].dataType.elementType if self.turns in kind.names and isinstance(kind[self.turns].dataType, ArrayType) else None
+        return isinstance(inner, StructType) and {self.role, self.text} <= set(inner.names)
+
+    def schema(self) -> str:
+        """The type of what the mapping reads of a record."""
+        return f"struct<{self.turns}:array<struct<{self.role}:string,{self.text}:string>>>" if self.turns else "struct<" + ",".join(f"{f}:string" for _, f in self.fields) + ">"
+
+    def turns_of(self, record: Column) -> Column:
         if self.turns:
-            kind = f"struct<{self.turns}:array<struct<{self.role}:string,{self.text}:string>>>"
-            return F.transform(F.from_json(json, kind, ANY_LENGTH)[self.turns], lambda t: _turn(t[self.role], t[self.text], self.role != "role"))
-        record = F.from_json(json, "struct<" + ",".join(f"{f}:string" for _, f in self.fields) + ">", ANY_LENGTH)
+            return F.transform(record[self.turns], lambda t: _turn(t[self.role], t[self.text], self.role != "role"))
         grouped: list[tuple[str, list[str]]] = []
         for role, field in self.fields:
             if grouped and grouped[-1][0] == role:
@@ -101,6 +111,16 @@ def paths_of(json: Column, lists: Sequence[str]) -> Column:
     return F.array_sort(F.concat(fields, *[inner(name) for name in lists]))
 
 
+def paths_of_struct(record: Column, schema: StructType, lists: Sequence[str]) -> Column:
+    """array<string>: the same paths of a record that is a struct; its lists have the fields of their type, an empty one any, a null one none."""
+    found = F.array(*[F.lit(c) for c in schema.names]) if schema.names else F.array().cast("array<string>")
+    for f in schema.fields:
+        if f.name in lists and isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            inner, size = F.array(*[F.lit(f"{f.name}[].{c}") for c in f.dataType.elementType.names]), F.size(record[f.name])
+            found = F.concat(found, F.when(size == 0, F.array(F.lit(f"{f.name}[]"))).when(size > 0, inner).otherwise(F.array().cast("array<string>")))
+    return F.when(record.isNotNull(), F.array_sort(found))
+
+
 def fingerprint_of(paths: Column) -> Column:
     return F.sha2(F.array_join(paths, "\n"), 256)
 
@@ -112,24 +132,29 @@ def _free(name: str, taken: Sequence[str]) -> str:
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records plus layout, schema_fingerprint (of all paths) and turns array<struct<role,text>>.
+    """records plus layout, schema_fingerprint (of all paths) and turns array<struct<role,text>>. A record is JSON, or a struct: its paths are those of its type, and it is never JSON.
 
     A mapping is chosen by the fingerprint of those paths that it needs, so further fields do no harm; of several, lists of turns come before fields, then the one
     that needs more paths, then the first. An unknown layout gives null, a list without turns an empty array. Where records has a column of an added name, the
     added one gets an underscore behind its name."""
-    json, held = F.col(json_col), F.col("_paths")
-    too_long = F.raise_error(F.concat(F.lit("a record is no JSON or beyond the limits of Spark's parser, chars: "), F.length(json).cast("string"))).cast("array<string>")
+    source, record, held, kind = F.col(json_col), F.col("_record"), F.col("_paths"), records.select(json_col).schema[0].dataType
     lists = sorted({x.turns for x in layouts if x.turns})
-    found = paths_of(json, lists)
-    paths = F.when(found.isNull() & (F.length(json) >= LONG), too_long).otherwise(found)
+    if isinstance(kind, StructType):
+        paths, layouts = paths_of_struct(source, kind, lists), tuple(x for x in layouts if x.readable(kind))
+        parsed = lambda layout: record
+    else:
+        too_long = F.raise_error(F.concat(F.lit("a record is no JSON or beyond the limits of Spark's parser, chars: "), F.length(source).cast("string"))).cast("array<string>")
+        found = paths_of(source, lists)
+        paths = F.when(found.isNull() & (F.length(source) >= LONG), too_long).otherwise(found)
+        parsed = lambda layout: F.from_json(record, layout.schema(), ANY_LENGTH)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in sorted(layouts, key=lambda x: (not x.turns, -len(x.needs())), reverse=True):
         needs = F.array(*[F.lit(p) for p in layout.needs()])
         mine = fingerprint_of(F.array_sort(F.array_intersect(held, needs))) == fingerprint_of(needs)
         if layout.turns:
             mine = mine | F.array_contains(held, f"{layout.turns}[]")
-        name, turns = F.when(mine, F.lit(layout.name)).otherwise(name), F.when(mine, layout.turns_of(F.col("_json"))).otherwise(turns)
-    row = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("_row"), json.alias("_json"), paths.alias("_paths"))
+        name, turns = F.when(mine, F.lit(layout.name)).otherwise(name), F.when(mine, layout.turns_of(parsed(layout))).otherwise(turns)
+    row = records.select(F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("_row"), source.alias("_record"), paths.alias("_paths"))
     new = [_free(c, records.columns) for c in ("layout", "schema_fingerprint", "turns")]
     made = zip((name, F.when(held.isNotNull(), fingerprint_of(held)), turns), new, strict=True)
     return row.select(*[F.col("_row")[c].alias(c) for c in records.columns], *[c.alias(n) for c, n in made])
@@ -183,13 +208,13 @@ def read_loss(text: Column, mask: Column) -> Column:
     return F.concat_ws("", F.transform(mask, lambda s: unescaped(F.substr(text, s["start"] + F.lit(1), s["length"]))))
 
 
-def turns_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, layout, schema_fingerprint and turns: rows of turns gathered by conversation, of any size that a row can have."""
+def turns_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """conv_id, layout, schema_fingerprint and turns: rows of turns gathered by conversation into records of the layout `messages`, of any size that a row can have, whose turns
+    are read by the mapping that their fingerprint selects."""
     said = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gathered = rows.select(F.col(id_col).cast("long").alias("conv_id"), said.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    blank = F.transform(F.slice("t", 1, 1), lambda t: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    known = canonical_turns(gathered.withColumn("_blank", F.to_json(F.struct(blank.alias("messages")))), "_blank")
-    return known.select("conv_id", "layout", "schema_fingerprint", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return canonical_turns(gathered.select("conv_id", F.struct(messages.alias("messages")).alias("record")), "record", layouts).select("conv_id", "layout", "schema_fingerprint", "turns")
 
 
 def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -774,3 +774,18 @@ def test_intermediate_tables_can_be_released(spark, corpus):
 
     table = _common.written(corpus.limit(5))
     assert table.count() == 5 and _common.released(spark) > 0 and _common.released(spark) == 0
+
+
+def test_turns_of_rows_are_what_the_mapping_reads(spark):
+    df = spark.createDataFrame([(1, 1, "prompter", "q"), (1, 2, "bot", "a")], "conv_id int, turn int, role string, text string")
+    assert chat.turns_of_rows(df, layouts=()).select("layout", "turns").first() == (None, None)  # no mapping, no turns
+    swapped = chat.Layout("swapped", turns="messages", role="content", text="role")
+    assert [tuple(t) for t in chat.turns_of_rows(df, layouts=(swapped,)).first()["turns"]] == [("q", "prompter"), ("a", "bot")]
+    made = chat.turns_of_rows(df)
+    assert "from_json" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "to_json" not in plan
+    assert [tuple(t) for t in made.first()["turns"]] == [("prompter", "q"), ("bot", "a")]
+    structs = spark.createDataFrame([(1, ("p", "r", 1), None), (2, None, [("gpt", "x")]), (3, None, [])], "i int, a struct<prompt:string,response:string,n:int>, b array<struct<`from`:string,value:string>>")
+    pairs = chat.canonical_turns(structs.select("i", F.col("a").alias("record"))).orderBy("i").collect()
+    assert [r["layout"] for r in pairs] == ["prompt_response", None, None] and [tuple(t) for t in pairs[0]["turns"]] == [("user", "p"), ("assistant", "r")]
+    lists = chat.canonical_turns(structs.select("i", F.struct(F.col("b").alias("conversations")).alias("record"))).orderBy("i").collect()
+    assert [(r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in lists] == [(None, None), ("from_value", [("assistant", "x")]), ("from_value", [])]
