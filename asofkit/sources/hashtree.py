@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 
 def _placed(ids: DataFrame, by: Sequence[str], id_col: str, fresh: bool) -> DataFrame:
     known = ids.where(F.col(id_col).isNotNull())
-    return known.select(*by, F.sha2(F.col(id_col).cast("string"), 256).alias("_h"), F.lit(fresh).alias("_fresh"))
+    return known.select(*by, F.unhex(F.sha2(F.col(id_col).cast("string"), 256)).alias("_h"), F.lit(fresh).alias("_fresh"))
 
 
 def _blocks(placed: DataFrame, by: Sequence[str], depth: int) -> DataFrame:
-    """Blocks that hold an id which is new to them."""
-    once = placed.groupBy(*by, "_h").agg(F.min("_fresh").alias("_fresh"))
-    held = once.groupBy(*by, F.substring("_h", 1, depth).alias("prefix")).agg(F.array_sort(F.collect_list("_h")).alias("_parts"), F.count("*").alias("n"), F.max("_fresh").alias("changed"))
-    return held.where("changed").select(*by, F.lit(depth).alias("level"), "prefix", F.sha2(F.concat_ws("", "_parts"), 256).alias("hash"), "n", "changed")
+    """Blocks that hold an id which is new to them. Digests are shuffled once, as bytes, to their blocks; there they are made distinct and gathered."""
+    sent = placed.withColumn("prefix", _prefix("_h", depth)).repartition(*by, "prefix")
+    once = sent.groupBy(*by, "prefix", "_h").agg(F.min("_fresh").alias("_fresh"))
+    held = once.groupBy(*by, "prefix").agg(F.array_sort(F.collect_list("_h")).alias("_parts"), F.count("*").alias("n"), F.max("_fresh").alias("changed"))
+    text = F.concat_ws("", F.transform("_parts", _hex))
+    return held.where("changed").select(*by, F.lit(depth).alias("level"), "prefix", F.sha2(text, 256).alias("hash"), "n", "changed")
+
+
+def _hex(digest: Column | str) -> Column:
+    return F.lower(F.hex(digest))
+
+
+def _prefix(digest: str, depth: int) -> Column:
+    return F.substring(_hex(F.substring(digest, 1, (depth + 1) // 2)), 1, depth)
 
 
 def _above(nodes: DataFrame, by: Sequence[str], level: int) -> DataFrame:
@@ -54,9 +64,9 @@ def grown(old: DataFrame, stored: DataFrame, new: DataFrame, by: Sequence[str],
 
     For a long series of appends write each tree and read it again."""
     fresh = _placed(new, by, id_col, True)
-    met = fresh.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.substring("_h", 1, depth).alias("_met")).distinct()
+    met = fresh.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], _prefix("_h", depth).alias("_met")).distinct()
     before = _placed(stored, by, id_col, False)
-    same: Column = F.substring("_h", 1, depth) == F.col("_met")
+    same: Column = _prefix("_h", depth) == F.col("_met")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     made = _blocks(before.join(met, same, "left_semi").unionByName(fresh), by, depth)
@@ -99,7 +109,7 @@ def proofs(nodes: DataFrame, stored: DataFrame, asked: DataFrame, by: Sequence[s
     parts = inner.agg(F.array_sort(F.collect_list(F.struct(F.col("prefix").alias("at"), "hash"))).alias("parts"))
     wanted = way.where(F.col("level") == depth).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_p").alias("_w")).distinct()
     same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[d]) for c, d in zip(by, [f"_by{i}" for i in range(len(by))])], F.lit(True))
-    held = _placed(stored, by, id_col, False).drop("_fresh").distinct().withColumn("_p", F.substring("_h", 1, depth))
+    held = _placed(stored, by, id_col, False).withColumn("_h", _hex("_h")).drop("_fresh").distinct().withColumn("_p", F.substring("_h", 1, depth))
     held = held.join(wanted, (F.col("_p") == F.col("_w")) & same(held, wanted), "left_semi")
     blocks = held.groupBy(*by, "_p").agg(F.array_sort(F.collect_list(F.struct(F.col("_h").alias("at"), F.lit("").alias("hash")))).alias("parts"))
     every = parts.unionByName(blocks.withColumn("level", F.lit(depth)))

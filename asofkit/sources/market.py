@@ -127,11 +127,11 @@ def classification(assignments: DataFrame) -> DataFrame:
 
 def market_leaves(observations: DataFrame, actions: DataFrame, sessions: DataFrame, transformation: str) -> DataFrame:
     """security_id and leaf: all that a security's market data is made of, each under a tag: the transformation, the policies of its sessions, its raw documents,
-    observations and actions. Nulls are left out."""
+    observations and actions. Nulls are left out; leaves may come again, which a tree ignores."""
     tagged = lambda df, tag, c: df.where(F.col(c).isNotNull()).select("security_id", F.concat(F.lit(f"{tag}\0"), F.col(c)).alias("leaf"))
-    parts = [tagged(sessions, "pol", "policy_id"), tagged(observations, "raw", "document_id"), tagged(observations, "obs", "observation_id"), tagged(actions, "act", "action_id")]
+    parts = [tagged(sessions, "pol", "policy_id").distinct(), tagged(observations, "raw", "document_id"), tagged(observations, "obs", "observation_id"), tagged(actions, "act", "action_id")]
     held = observations.select("security_id").unionByName(actions.select("security_id")).distinct()
-    return reduce(DataFrame.unionByName, parts, held.withColumn("leaf", F.lit(f"tv\0{transformation}"))).distinct()
+    return reduce(DataFrame.unionByName, parts, held.withColumn("leaf", F.lit(f"tv\0{transformation}")))
 
 
 def market_version(observations: DataFrame, actions: DataFrame, sessions: DataFrame, transformation: str, depth: int = 2) -> DataFrame:

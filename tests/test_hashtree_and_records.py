@@ -104,3 +104,15 @@ def test_stream_that_starts_again_writes_nothing_twice(spark, tmp_path):
         assert q.exception() is None
     got = records.records(spark, path, rows.drop("id").schema).collect()
     assert sorted(r["v"] for r in got) == list(range(7)) and {r["epoch"] for r in got} == {0}
+
+
+def test_digests_are_shuffled_once(spark):
+    ids = spark.range(500).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("id"))
+    nodes = hashtree.tree(ids.unionByName(ids), ["g"], "id", 3)
+    blocks = nodes.where("level = 3")
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for i in range(500):
+        h = hashlib.sha256(str(i).encode()).hexdigest()
+        want.setdefault((i % 2, h[:3]), []).append(h)
+    assert {(r["g"], r["prefix"]): (r["hash"], r["n"]) for r in blocks.collect()} == {k: (hashlib.sha256("".join(sorted(v)).encode()).hexdigest(), len(v)) for k, v in want.items()}
