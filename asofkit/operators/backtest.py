@@ -27,10 +27,15 @@ def sweep(axes: dict[str, Sequence], spark) -> DataFrame:
 def run(targets: DataFrame, prices: DataFrame, by: Sequence[str], date: str, member: str, weight: str, close: str, cash: float = 1_000_000.0, bps: float = 10.0) -> DataFrame:
     """by, date, equity, turnover, n_held, unfilled: at each date the portfolio is marked, then sells (by member), then buys.
 
-    A target without a price stays unfilled and its weight stays cash; a holding without a price keeps its last mark. A strategy is
-    one group: its rows are dates times members held, bounded by the universe; many strategies run in parallel."""
-    priced = targets.select(*by, member).distinct().join(prices.select(date, member, close), member)  # what a strategy may hold, at all dates
-    rows = targets.join(priced, [*by, date, member], "full").select(*by, date, member, F.col(weight).cast("double").alias("weight"), F.col(close).cast("double").alias("close"))
+    A target without a price stays unfilled and its weight stays cash; a holding without a price keeps its last mark. A target without a weight is none, it only adds its
+    dates. A strategy is one group, for each date needs the one before: its rows are dates times the members that ever have a weight, not the universe; many strategies run in parallel."""
+    goal = F.col(weight).cast("double")
+    wanted = targets.where(goal.isNotNull() & ~F.isnan(goal)).select(*by, date, member, goal.alias("weight"))
+    at = prices.select(date, member, close)
+    priced = wanted.select(*by, member).distinct().join(at, member)  # what a strategy may hold, at all dates
+    held = wanted.join(priced, [*by, date, member], "full").select(*by, date, member, "weight", F.col(close).cast("double").alias("close"))
+    dates = targets.select(*by, date).unionByName(targets.select(*by, member).distinct().join(at, member).select(*by, date)).distinct()
+    rows = held.unionByName(dates, allowMissingColumns=True)
     kinds = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{kinds}{', ' if by else ''}`{date}` {targets.schema[date].dataType.simpleString()}, equity double, turnover double, n_held long, unfilled long"
 

@@ -1,6 +1,7 @@
 from datetime import datetime as T
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 from pytest import approx
 
@@ -308,6 +309,16 @@ def test_backtest_sells_before_it_buys_and_leaves_unpriced_targets(spark):
     assert rows(alone.select("d", "equity", "n_held", "unfilled"), "d") == [(1, 1000.0, 1, 1), (2, 1500.0, 1, 0)]
 
 
+def test_backtest_folds_only_what_it_may_hold(spark, monkeypatch):
+    targets = spark.createDataFrame([("s", 1, "a", 1.0), ("s", 4, "y", float("nan")), *[("s", 1, f"m{i}", None) for i in range(300)]], "s string, d int, m string, w double")
+    prices = spark.createDataFrame([(1, "a", 10.0), (2, "a", 20.0), *[(d, f"m{i}", 1.0) for d in (1, 2, 3) for i in range(300)], (9, "other", 1.0)], "d int, m string, c double")
+    seen, real = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: seen.append(self.count()) or real(self, f, schema))
+    found = backtest.run(targets, prices, ["s"], "d", "m", "w", "c", cash=1000.0, bps=0.0)
+    assert rows(found.select("d", "equity", "n_held", "unfilled"), "d") == [(1, 1000.0, 1, 0), (2, 2000.0, 1, 0), (3, 2000.0, 1, 0), (4, 2000.0, 1, 0)]
+    assert seen[0].first()["count"] == 2 + 4  # two rows of a, four dates
+
+
 def test_leaderboard_leaves_out_what_is_not_finite(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None), ("d", 2.0)], "n string, x double")
     assert rows(backtest.leaderboard(df, "x", "n").select("n", "place", "excluded"), "n") == [("a", 3, None), ("b", 1, None), ("c", None, "not_finite"), ("d", 2, None)]
