@@ -3,6 +3,7 @@
 import random
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import pyarrow as pa
 import pytest
 
 from asofkit.sources import registry, xbrl
@@ -144,3 +145,16 @@ def test_facts_come_in_batches_and_leave_no_tree_behind():
     rows = list(xbrl.facts("s", doc))
     assert [r["value"] for r in rows] == [str(i) for i in range(5000)] and [r["ordinal"] for r in rows] == list(range(5000))
     assert max(len(list(e)) for e in xbrl._children(doc)) <= 2
+
+
+def test_small_documents_are_read_once_and_share_batches(spark, monkeypatch):
+    doc = instance(context("c") + UNIT + FACT * 3)
+    reads, real = [], xbrl._children
+    monkeypatch.setattr(xbrl, "_children", lambda *a: reads.append(1) or real(*a))
+    small = list(xbrl.facts("s", doc.encode()))
+    assert len(reads) == 1
+    monkeypatch.setattr(xbrl, "WHOLE", 0)
+    assert list(xbrl.facts("s", doc.encode())) == small and len(reads) == 3 and len(small) == 3
+    monkeypatch.undo()
+    sizes = read(spark, *[doc] * 50, "<").coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r["n"] for r in sizes.collect()] == [151]
