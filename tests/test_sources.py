@@ -167,3 +167,12 @@ def test_lookups_addresses_and_versions(spark):
     ids = {identity(f) for f in BUILTIN.values()}
     assert len(ids) == 8 and all(i.startswith("formula:") for i in ids)
     assert str(one(s.parse_utc(F.lit("2024-01-02T03:04:05Z")))) == "2024-01-02 03:04:05" and one(s.parse_utc(F.lit("2024-01-02T03:04:05"))) is None and one(s.format_utc(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05Z"
+
+
+def test_version_leaves_are_shuffled_once_and_stored_as_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "d", str(i)) for i in range(20)], "g int, d string, f string")
+    stored, real = [], store.written
+    monkeypatch.setattr(store, "written", lambda placed: stored.append(placed) or real(placed))
+    made = store.dataset_version(df, ["g"], "t", ["p"], "d", "f").first()
+    assert made["n"] == 23 and dict(stored[0].dtypes)["_h"] == "binary"
+    assert "_leaf" not in stored[0].columns and stored[0].count() == 23
