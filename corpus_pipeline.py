@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import decontaminate, near_join, pieces, pii, queries, toxicity
+from asofkit.llm._common import small_batches
 from asofkit.shared import forgotten, mark, new_folder, released
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,17 +21,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model rejects go."""
+    small_batches(spark)
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model, queries.REJECT)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark)
     return near_join.one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item within its error budget go."""
+    small_batches(spark)
     return decontaminate.without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +45,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text as ids of pieces, with the digest of what they decode to."""
+    small_batches(spark)
     return pieces.encoded_and_decoded(docs)
 
 

@@ -756,6 +756,30 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids
 
 
+def test_batches_of_the_pipeline_are_small(spark):
+    import pyarrow as pa
+    import corpus_pipeline
+    from asofkit.llm import _common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefgh', 512)").alias("text"))
+    try:
+        for given, most in ((None, 4_300_000), ("256mb", 4_300_000), ("1m", 1_100_000)):
+            spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+            made = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, rows, "")
+            seen = rows.mapInArrow(sizes, "bytes long, n long").collect()
+            assert max(r["bytes"] for r in seen) <= most and sum(r["n"] for r in seen) == 3000
+        assert made.agg(F.count("*"), F.count_if("round_trip")).first() == (3000, 3000)
+    finally:
+        spark.conf.unset(key)
+    assert [_common._bytes(x) for x in ("1024", "4k", "4KB", " 4m ")] == [1024, 4096, 4096, 4 << 20]
+    assert min(_common._bytes(x) for x in (None, "", "0", "-1")) > 1 << 60
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, sf, odd):
     import corpus_pipeline
 
